@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, linededup, merkle, ngram_join, packing, secrets, substring_index, tokencount, warc
+from . import decontam, langid, linededup, merkle, ngram_join, oracles, packing, secrets, substring_index, tokencount, warc
 from .common import documents, sha
 
 
@@ -84,4 +84,12 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["pipeline"] = pipeline
-ORACLE_SQL: dict[str, str] = {}
+#: Not here: op1 (a fitted model), op2 and op7 (a tokenizer), op8 (tests of randomness), pipeline (all of these).
+ORACLE_SQL: dict[str, str] = {
+    "op3_ngram_jaccard_join": oracles.NGRAM_JOIN,
+    "op4_warc_revisits": oracles.WARC,
+    "op5_document_fingerprints": oracles.FINGERPRINTS,
+    "op6_substring_dedup": oracles.SUBSTRINGS,
+    "op9_decontamination": oracles.DECONTAMINATION,
+    "op10_line_dedup": oracles.LINES,
+}

@@ -14,23 +14,27 @@ from pyspark.sql import functions as F
 from caseloom.llm import decontam, langid, linededup, ngram_join, packing
 from caseloom.llm.common import documents, scratch_root
 from caseloom.llm.queries import tokenizer_file
+from caseloom.session import ship
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows in no language go; lang stays as it is, since it is the label."""
+    ship(spark)
     return langid.identify(docs.select(*COLUMNS)).filter(~langid.rejects()).select(*COLUMNS)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Boilerplate lines go from the texts; every row stays."""
+    ship(spark)
     found = linededup.drop_boilerplate(docs.select(*COLUMNS), host="source")
     return found.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the least id stays; texts without words have no duplicates."""
+    ship(spark)
     found = ngram_join.near_duplicates(docs).filter("id = class_id or class_id is null").select(F.col("id").alias("_id"))
     stays = found.filter("_id is not null").distinct()
     return docs.join(stays, docs["doc_id"] == stays["_id"], "left_semi").select(*COLUMNS).unionByName(docs.filter("doc_id is null").select(*COLUMNS))
@@ -38,11 +42,13 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Contaminated documents go."""
+    ship(spark)
     return decontam.hits(docs.select(*COLUMNS), documents(spark, sf_dir, "benchmark")).filter(~decontam.contaminated()).select(*COLUMNS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of at most 2048 tokens with their sequence and place."""
+    ship(spark)
     cut = packing.pieces(docs.select("doc_id", "text"), tokenizer_file("word_bpe_49k.json"))
     return packing.pack(cut).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
