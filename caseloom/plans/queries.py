@@ -414,7 +414,7 @@ def grf_05_07_08_09_11_13_16_edges(spark, sf_dir):
 @registered(f"{_GRAPH} SELECT case_id, id FROM weak")
 def grf_14_weak_claims(spark, sf_dir):
     profiles, cited = _inputs(spark, sf_dir)
-    return graph.weak_claims(graph.nodes(profiles, cited, weak=False), graph.edges(profiles, cited))
+    return graph.weak_claims(graph.nodes(profiles, cited), graph.edges(profiles, cited))
 
 
 @registered(f"{_GRAPH} SELECT case_id, node_count, edge_count, n_weak FROM stats")

@@ -142,6 +142,8 @@ def test_graph_closed_form(spark, sf_dir):
     sizes = profiles.join(cited.groupBy("case_id").agg(F.least(F.count("*"), F.lit(3)).alias("p")), "case_id", "left").select(
         "case_id", n("legal_issues").alias("i"), (F.col("petitioner").isNotNull().cast("int") + F.col("respondent").isNotNull().cast("int")).alias("c"), n("ipc_sections").alias("s"), n("acts_referenced").alias("a"), n("key_facts").alias("f"), F.coalesce("p", F.lit(0)).alias("p"),
     )
+    tables = profiles.select("case_id").join(graph.nodes(profiles, cited).groupBy("case_id").agg(F.count("*").alias("n_nodes"), F.count_if("weak").alias("n_weak")), "case_id", "left").join(graph.edges(profiles, cited).groupBy("case_id").agg(F.count("*").alias("n_edges")), "case_id", "left")
+    assert graph.graph_stats(profiles, cited).join(tables, "case_id").filter("node_count <> coalesce(n_nodes, 0) or edge_count <> coalesce(n_edges, 0) or size(weak_nodes) <> coalesce(n_weak, 0)").count() == 0
     bad = graph.graph_stats(profiles, cited).join(sizes, "case_id").filter("node_count <> i + c + s + a + f + p or edge_count <> c * i + s * i + s * c + a * c + f * c + p * i or not (size(weak_nodes) = 0 or (size(weak_nodes) = c and f = 0))")
     assert bad.count() == 0
 
