@@ -17,6 +17,8 @@ def scratch_root(spark: SparkSession) -> str:
     """This application's folder under spark.checkpoint.dir; a folder of our own only where that is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="caseloom-")
         spark.conf.set("spark.checkpoint.dir", f"file://{root}")
         root = f"file://{root}"
