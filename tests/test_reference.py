@@ -46,7 +46,7 @@ def test_parties(spark):
     assert one(spark, "Petitioner: Asha versus others", lambda t: extract.party(t, 1)) == "Asha"
     assert one(spark, "nothing here", lambda t: extract.party(t, 2)) is None
     long = "\n" + "word " * 60 + "\nvs\nB\nCORAM"
-    assert one(spark, long, lambda t: extract.party(t, 1)) == ("word " * 40)[:199].rsplit(" ", 1)[0] + "..."
+    assert one(spark, long, lambda t: extract.party(t, 1)) == ("word " * 60)[:200].rsplit(" ", 1)[0] + "..."
 
 
 @pytest.mark.parametrize(("text", "want"), [("the District Court then the Supreme Court", "District Court"), ("NCLAT", "Tribunal"), ("Consumer Commission", "Commission"), ("Family Court", "Family Court"), ("x", "Unknown")])
