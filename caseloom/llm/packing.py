@@ -13,7 +13,6 @@ occur. An empty table -> no rows. Ties among documents of one length are settled
 
 from __future__ import annotations
 
-import os
 import zlib
 from collections.abc import Iterator
 
@@ -23,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .chunk_ids import ChunkIds
 from .common import saved
-from .tokencount import tokenizer
 
 #: Characters that are encoded at once.
 BATCH_CHARS = 400_000
@@ -39,13 +38,13 @@ def pieces(docs: DataFrame, path: str, *, text: str = "text", capacity: int = 20
     @F.arrow_udf("array<struct<piece:int,start:long,length:long,ids_crc32:long>>")
     def cut(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         shape = pa.list_(pa.struct([("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]))
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder = tokenizer(path)
+        encoder, last = ChunkIds(path), np.array([end_id], "<u4").tobytes()
+        width = 4 * capacity
 
         def of(texts: list[str]) -> Iterator[list[dict]]:
-            for e in encoder.encode_batch_fast(texts, add_special_tokens=False):
-                ids = np.array([*e.ids, end_id], "<u4")
-                yield [{"piece": i, "start": at, "length": len(part), "ids_crc32": zlib.crc32(part.tobytes())} for i, at in enumerate(range(0, len(ids), capacity)) for part in [ids[at : at + capacity]]]
+            for found in encoder.of(texts):
+                ids = found + last
+                yield [{"piece": i, "start": at // 4, "length": len(part) // 4, "ids_crc32": zlib.crc32(part)} for i, at in enumerate(range(0, len(ids), width)) for part in [ids[at : at + width]]]
 
         for batch in batches:
             out: list[list[dict]] = []
