@@ -262,7 +262,7 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     # A repeated id has one row here: its rows of that set are equal.
     distinct = saved(every.filter("n > 0").join(first.select("same", "id", "copies"), ["same", "id"]).select("id", "same", "copies", "sig").dropDuplicates(["same", "id"]), "distinct")
     units = saved(_units(_groups(distinct)), "units")
-    needed = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).join(units.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
+    needed = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).hint("merge").join(units.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
     work = units.join(distinct.drop("same"), "id").join(needed, "id")
     found = saved(work.groupBy("unit").applyInPandas(_compared(threshold, tolerance), "id long, links long, texts long, root long"), "links")
     classes = components(found.select("id", "root"), "id", "root")
