@@ -232,3 +232,26 @@ def test_state(spark):
 def test_ranges(spark):
     bad = schemas.violations(spark.createDataFrame([(51, 0.5), (5, 1.5), (5, 0.5), (None, None)], "top_k int, confidence double")).collect()
     assert [r["violations"] for r in bad] == [["top_k"], ["confidence"]]
+
+
+def test_remote_search_pushes_its_filters(spark):
+    from caseloom.sources import remote
+
+    def answer(url: str) -> str:
+        return f'<div class="result"><a href="/doc/7/">{url.split("?")[1].replace("&", " ")}</a></div><div class="result"><a href="/doc/8/">x</a></div>'
+
+    remote.register(spark, answer)
+    rows = spark.read.format("judgment_search").option("queries", "a b\nc").option("court", "sc").option("year_from", "1990").option("limit", "1").load().collect()
+    assert {r["query"]: r["title"] for r in rows} == {"a b": "formInput=a+b order=date court=sc minYear=1990", "c": "formInput=c order=date court=sc minYear=1990"}
+    assert remote.judgment_url("5") == "https://indiankanoon.org/doc/5/"
+
+
+def test_latest_status_of_a_stream(spark, tmp_path):
+    from caseloom.streaming import stream
+
+    log = spark.createDataFrame([("a", 1, "pending"), ("a", 9, "completed"), ("b", 3, "failed")], "task_id string, s int, status string").select("task_id", "status", F.timestamp_seconds("s").alias("ts"))
+    log.write.parquet(str(tmp_path / "log"))
+    out: list = []
+    found = stream.latest_status(stream.read_stream(spark, str(tmp_path / "log"), log.schema))
+    stream.run_available(found, lambda df, _: out.extend(df.collect()), str(tmp_path / "checkpoint"), mode="update")
+    assert {(r["task_id"], r["status"]) for r in out} == {("a", "completed"), ("b", "failed")}
