@@ -2,8 +2,9 @@
 
 Every window of ``window`` (35) words is represented by its minimiser: of the hashes of its 8-word grams the least, leftmost
 first. Equal windows have equal minimisers, and neighbouring windows mostly share one, so about one position in 14 is kept. The
-index is a list of immutable runs (fingerprint, occurrences), each sorted by fingerprint. A batch becomes one run and is
-merge-joined with each run of history; runs of one size are compacted by merging, so there are about log(batches) of them.
+index is a list of immutable runs (fingerprint, occurrences), each sorted by fingerprint. A batch becomes one run, which is
+merge-joined with each run of history to find what repeats; runs of one size are then compacted by merging, so there are about
+log(batches) of them.
 
 A fingerprint that occurs once rules its windows out. The windows of the others are verified by a 96-bit hash of all their
 words: those that occur once are let go, all words in the rest are removed. Hashes are counted with map-side combination, so
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +32,7 @@ from .hashing import Windows, WordHashes
 
 GRAM = 8
 #: Runs of one level that are merged into one of the next.
-FANOUT = 4
+FANOUT = 2
 _grams, _whole, _check = Windows(0x9E3779B97F4A7C15), Windows(0xD1342543DE82EF95), Windows(0xAF251AF3B0F025B5)
 _hashes = WordHashes()
 
@@ -78,32 +80,24 @@ class FingerprintIndex:
         return [run for level in self.levels for run in level]
 
     def add(self, batch: DataFrame) -> DataFrame:
-        """Adds the anchors of a batch as a run; merges full levels."""
+        """Adds the anchors of a batch as a run. Returns (print): those that history has too, or that the batch has twice."""
         run = saved(_sorted(batch.groupBy("print").agg(F.count("*").alias("n"))), "run")
-        level = 0
-        while True:
-            if level == len(self.levels):
-                self.levels.append([])
-            self.levels[level].append(run)
-            if len(self.levels[level]) < FANOUT:
-                return run
+        seen = run.filter("n > 1").select("print")
+        for old in self.runs:
+            seen = seen.unionByName(run.select("print").hint("merge").join(old.select("print"), "print"))
+        seen = saved(seen, "seen")
+        self._insert(run, 0)
+        return seen
+
+    def _insert(self, run: DataFrame, level: int) -> None:
+        """Puts a run into its level; a full level is compacted into one run of the next."""
+        if level == len(self.levels):
+            self.levels.append([])
+        self.levels[level].append(run)
+        if len(self.levels[level]) == FANOUT:
             run = self._merged(self.levels[level])
             self.levels[level] = []
-            level += 1
-
-    def seen(self, batch: DataFrame) -> DataFrame:
-        """(print): those of a batch that history has, or that the batch itself has twice; one merge join with each run."""
-        own = batch.groupBy("print").agg(F.count("*").alias("n"))
-        out = own.filter("n > 1").select("print")
-        for run in self.runs:
-            out = out.unionByName(own.select("print").hint("merge").join(run.select("print"), "print"))
-        return out.distinct()
-
-    def compact(self) -> DataFrame | None:
-        """All runs as one."""
-        if len(self.runs) > 1:
-            self.levels = [[], [self._merged(self.runs)]]
-        return next(iter(self.runs), None)
+            self._insert(run, level + 1)
 
     @staticmethod
     def _merged(runs: list[DataFrame]) -> DataFrame:
@@ -140,9 +134,9 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     index = index or FingerprintIndex()
     base = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), F.col(text).alias("text"))
     every = saved(anchors(base, window=window), "anchors")
-    for k in range(batches):
-        index.add(every.filter(F.pmod(F.xxhash64("row"), F.lit(batches)) == k))
-    repeated = index.compact().filter("n > 1").select("print")
+    # A print repeats if some batch has it twice or meets it in history; the older occurrences are flagged by the same list.
+    seen = [index.add(every.filter(F.pmod(F.xxhash64("row"), F.lit(batches)) == k)) for k in range(batches)]
+    repeated = reduce(DataFrame.unionByName, seen).distinct()
     flags = every.join(repeated.hint("merge"), "print").groupBy("row").agg(F.collect_list("pos").alias("flags"))
 
     @F.arrow_udf("struct<n_words:long,kept_sha256:string>")
