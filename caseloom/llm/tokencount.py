@@ -43,9 +43,9 @@ def specials(path: str) -> tuple[str, ...]:
 
 
 def frequent(docs: DataFrame, path: str, *, text: str = "text", table_size: int = 65_536, sample_docs: int = 2_000, sample_chars: int = 20_000) -> dict[str, int]:
-    """Lengths of the most frequent pre-tokens of a few texts; limit() reads no more partitions than it needs."""
+    """Lengths of the most frequent pre-tokens of a few texts; taking the first rows reads no more partitions than it needs."""
     seen: Counter = Counter()
-    for row in docs.filter(F.length(text) <= sample_chars).select(text).limit(sample_docs).toLocalIterator():
+    for row in docs.filter(F.length(text) <= sample_chars).select(text).take(sample_docs):
         seen.update(UNITS.findall(row[0]))
     units = [u for u, n in seen.most_common(table_size) if n > 1 and len(u) <= 64]
     return {u: len(e.ids) for u, e in zip(units, tokenizer(path).encode_batch_fast(units, add_special_tokens=False), strict=True)}
