@@ -15,12 +15,12 @@ point order. Repeated rows are rows of their own. Columns named like an output a
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,7 +31,7 @@ N_MAX = 5
 SMOOTH = 0.5
 #: Words that a worker remembers the scores of; beyond that it starts anew.
 CACHE_WORDS = 60_000
-_LETTERS = re.compile(r"[^\W\d_]+")
+_LETTERS = regex.compile(r"\p{L}+")
 
 
 def held_out(key: Column, folds: int = 5) -> Column:

@@ -259,7 +259,6 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     texts = saved(texts, "texts")
     first = texts.withColumnRenamed("text_id", "id")
     # A repeated id has one row here: its rows of that set are equal.
-    # A repeated id has one row here: its rows of that set are equal.
     distinct = saved(every.filter("n > 0").join(first.select("same", "id", "copies"), ["same", "id"]).select("id", "same", "copies", "sig").dropDuplicates(["same", "id"]), "distinct")
     units = saved(_units(_groups(distinct)), "units")
     needed = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).hint("merge").join(units.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])

@@ -3,8 +3,8 @@
 Base spans come from three patterns (assignments, access keys, hex runs). Further candidates are runs of
 ``[A-Za-z0-9+/_=-]`` of at least ``min_len`` characters outside base spans. For each the encoding is inferred from its
 characters (decimal, hex, base32, base64) and three tests give p-values under "uniform over that alphabet": chi-squared of symbol
-counts, Wald-Wolfowitz runs about the alphabet's middle, and lag-one serial correlation. They are combined by Bonferroni
-(three times the least).
+counts, Wald-Wolfowitz runs about the alphabet's middle, and lag-one serial correlation. A fourth asks whether letters alone,
+of one case, are likely at this length. They are combined by Bonferroni (four times the least).
 
 False discoveries are controlled by length class with decoys: each candidate-length stretch of ordinary words is put
 through the same battery, and within a class a p-value cutoff is the lowest at which decoys that pass are at most
