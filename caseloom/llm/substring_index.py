@@ -136,7 +136,8 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     every = saved(anchors(base, window=window), "anchors")
     # A print repeats if some batch has it twice or meets it in history; the older occurrences are flagged by the same list.
     seen = [index.add(every.filter(F.pmod(F.xxhash64("row"), F.lit(batches)) == k)) for k in range(batches)]
-    repeated = reduce(DataFrame.unionByName, seen).distinct()
+    # As a table, so that both sides of the join are plain exchanges and adaptive execution can split a print with many occurrences.
+    repeated = saved(reduce(DataFrame.unionByName, seen).distinct(), "repeated")
     flags = every.join(repeated.hint("merge"), "print").groupBy("row").agg(F.collect_list("pos").alias("flags"))
 
     @F.arrow_udf("struct<n_words:long,kept_sha256:string>")
