@@ -132,7 +132,8 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     The documents join the index in batches by a hash of the row; what history and every batch hold decides about all of them.
     """
     index = index or FingerprintIndex()
-    base = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), F.col(text).alias("text"))
+    # Row numbers depend on the partitions of the input: they are given once, and every later step reads this table.
+    base = saved(docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), F.col(text).alias("text")), "texts")
     every = saved(anchors(base, window=window), "anchors")
     # A print repeats if some batch has it twice or meets it in history; the older occurrences are flagged by the same list.
     seen = [index.add(every.filter(F.pmod(F.xxhash64("row"), F.lit(batches)) == k)) for k in range(batches)]
@@ -147,6 +148,8 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
             yield pa.StructArray.from_arrays([pa.array([len(w) for w in words], pa.int64()), pa.array([_digest(w) for w in words], pa.string())], ["n_words", "kept_sha256"])
 
     joined = saved(base.join(flags, "row", "left").withColumn("text", F.coalesce("text", F.lit(""))), "flagged")
+    for table in (base, every, repeated, *seen):
+        dropped(table)
     some, none = joined.filter("flags is not null"), joined.filter("flags is null")
 
     @F.arrow_udf("array<struct<hash:long,check:int,pos:int>>")

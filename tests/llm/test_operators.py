@@ -288,6 +288,32 @@ def test_substrings_on_edited_copies(spark):
     assert substring_index.remove_repeats(empty(spark)).count() == 0
 
 
+def test_substrings_when_the_splits_of_the_input_change(spark, tmp_path, monkeypatch):
+    """Later steps may split the input otherwise (an executor lost or joined); rows must keep their numbers."""
+    texts = [(r[0], r[1]) for r in rows()]
+    some(spark, *texts).repartition(6, "doc_id").write.parquet(str(tmp_path / "docs"))
+    options = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before, save = [spark.conf.get(o) for o in options], substring_index.saved
+
+    def then_split(df, name):
+        out = save(df, name)
+        for o in options:
+            spark.conf.set(o, "64")
+        return out
+
+    monkeypatch.setattr(substring_index, "saved", then_split)
+    try:
+        for o in options:
+            spark.conf.set(o, "128m")
+        spark.conf.set("spark.sql.files.minPartitionNum", "1")
+        got = substring_index.remove_repeats(spark.read.parquet(str(tmp_path / "docs"))).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+        for o, v in zip(options, before, strict=True):
+            spark.conf.set(o, v)
+    assert sorted((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got) == _repeats(texts)
+
+
 def test_index_runs_merge_and_find_history(spark):
     index = substring_index.FingerprintIndex()
     batch = lambda *prints: spark.createDataFrame([(p, 0, 0) for p in prints], "print long, row long, pos int")
