@@ -4,10 +4,11 @@ Every window of ``window`` (35) words is represented by its minimiser: of the ha
 first. Equal windows have equal minimisers, and neighbouring windows mostly share one, so about one position in 14 is kept. The
 index is a list of immutable runs (fingerprint, occurrences), each sorted by fingerprint. A batch becomes one run, which is
 merge-joined with each run of history to find what repeats; runs of one size are then compacted by merging, so there are about
-log(batches) of them.
+log(batches) of them. An index that the caller passes, for further calls, also keeps the distinct hashes of all windows as runs of
+their own, so that a passage which only an earlier call's text has is found and verified too.
 
 A fingerprint that occurs once rules its windows out. The windows of the others are verified by a 96-bit hash of all their
-words: those that occur once are let go, all words in the rest are removed. Hashes are counted with map-side combination, so
+words: those that occur once, in this call and all earlier ones of its index, are let go, all words in the rest are removed. Hashes are counted with map-side combination, so
 one passage in any share of the documents is a few rows per task.
 
 Words are runs of anything but ASCII white space, unchanged. Defined results: null text -> no words, nothing removed. Texts of
@@ -24,7 +25,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 from numpy.lib.stride_tricks import sliding_window_view
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import dropped, saved
@@ -69,8 +70,10 @@ def anchors(docs: DataFrame, *, key: str = "row", text: str = "text", window: in
     return docs.select(F.col(key).alias("row"), F.explode(found(F.col(text))).alias("a")).select("a.print", "row", "a.pos")
 
 
-class FingerprintIndex:
-    """Sorted immutable runs of (print, n) in the shared folder, by level."""
+class _Runs:
+    """Sorted immutable runs (keys, n) in the shared folder, by level."""
+
+    keys: tuple[str, ...]
 
     def __init__(self) -> None:
         self.levels: list[list[DataFrame]] = []
@@ -79,45 +82,64 @@ class FingerprintIndex:
     def runs(self) -> list[DataFrame]:
         return [run for level in self.levels for run in level]
 
-    def add(self, batch: DataFrame) -> DataFrame:
-        """Adds the anchors of a batch as a run. Returns (print): those that history has too, or that the batch has twice."""
-        run = saved(_sorted(batch.groupBy("print").agg(F.count("*").alias("n"))), "run")
-        seen = run.filter("n > 1").select("print")
-        for old in self.runs:
-            seen = seen.unionByName(run.select("print").hint("merge").join(old.select("print"), "print"))
-        seen = saved(seen, "seen")
-        self._insert(run, 0)
-        return seen
+    def _run(self, rows: DataFrame, n: Column) -> DataFrame:
+        # The aggregation has dealt the rows by the keys: sorting needs no other shuffle.
+        return saved(rows.groupBy(*self.keys).agg(n.alias("n")).sortWithinPartitions(*self.keys), "run")
 
-    def _insert(self, run: DataFrame, level: int) -> None:
+    def _insert(self, run: DataFrame, level: int = 0) -> None:
         """Puts a run into its level; a full level is compacted into one run of the next."""
         if level == len(self.levels):
             self.levels.append([])
         self.levels[level].append(run)
         if len(self.levels[level]) == FANOUT:
-            run = self._merged(self.levels[level])
+            full = self.levels[level]
+            run = self._run(reduce(DataFrame.unionByName, full), F.sum("n"))
+            for old in full:
+                dropped(old)
             self.levels[level] = []
             self._insert(run, level + 1)
 
-    @staticmethod
-    def _merged(runs: list[DataFrame]) -> DataFrame:
-        every = runs[0]
-        for run in runs[1:]:
-            every = every.unionByName(run)
-        out = saved(_sorted(every.groupBy("print").agg(F.sum("n").alias("n"))), "run")
-        for run in runs:
-            dropped(run)
-        return out
+
+class WindowIndex(_Runs):
+    """(hash, check) of every window of earlier calls."""
+
+    keys = ("hash", "check")
+
+    def add(self, windows: DataFrame) -> None:
+        self._insert(self._run(windows, F.count("*")))
+
+    def without_known(self, windows: DataFrame) -> DataFrame:
+        """windows that no run holds, by a merge join with each."""
+        for run in self.runs:
+            windows = windows.join(run.select(*self.keys).hint("merge"), list(self.keys), "left_anti")
+        return windows
 
 
-def _sorted(run: DataFrame) -> DataFrame:
-    # The aggregation has dealt the rows by print: no other shuffle.
-    return run.sortWithinPartitions("print")
+class FingerprintIndex(_Runs):
+    """(print, n) of the anchors, and the windows behind them."""
+
+    keys = ("print",)
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.windows = WindowIndex()
+
+    def add(self, batch: DataFrame) -> DataFrame:
+        """Adds the anchors of a batch as a run. Returns (print): those that history has too, or that the batch has twice."""
+        run = self._run(batch, F.count("*"))
+        seen = run.filter("n > 1").select("print")
+        for old in self.runs:
+            seen = seen.unionByName(run.select("print").hint("merge").join(old.select("print"), "print"))
+        seen = saved(seen, "seen")
+        self._insert(run)
+        return seen
 
 
-def _flagged_windows(words: list[bytes], flagged: list[int], window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts of the windows whose minimiser is flagged, and the hashes of all words."""
+def _flagged_windows(words: list[bytes], flagged: list[int] | None, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of the windows whose minimiser is flagged (of all, if flagged is None), and the hashes of all words."""
     h = _hashes.of(words)
+    if flagged is None:
+        return np.arange(max(0, len(words) - window + 1)), h
     at, _ = minimisers(h, window)
     return np.flatnonzero(np.isin(at, flagged)), h
 
@@ -130,8 +152,9 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     """key, n_words, n_removed, kept_text, kept_sha256: every word covered by a window that starts anywhere else too goes.
 
     The documents join the index in batches by a hash of the row; what history and every batch hold decides about all of them.
+    Calls with one index must have one window.
     """
-    index = index or FingerprintIndex()
+    lasting, index = index is not None, FingerprintIndex() if index is None else index
     # Row numbers depend on the partitions of the input: they are given once, and every later step reads this table.
     base = saved(docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), F.col(text).alias("text")), "texts")
     every = saved(anchors(base, window=window), "anchors")
@@ -152,6 +175,7 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
         dropped(table)
     some, none = joined.filter("flags is not null"), joined.filter("flags is null")
 
+    # Flags of null ask for all windows.
     @F.arrow_udf("array<struct<hash:long,check:int,pos:int>>")
     def windows(pairs: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for texts, flagged in pairs:
@@ -168,6 +192,10 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     checked = some.select("row", F.explode(windows("text", "flags")).alias("w")).select("w.hash", "w.check", "row", "w.pos")
     # Most flagged windows do repeat; only those that do not are sent on.
     single = checked.groupBy("hash", "check").agg(F.count("*").alias("n"), F.min("row").alias("row"), F.min("pos").alias("pos")).filter("n = 1")
+    if lasting:
+        # History decides before this call's windows join it.
+        single = saved(index.windows.without_known(single), "single")
+        index.windows.add(joined.select(F.explode(windows("text", F.lit(None).cast("array<int>"))).alias("w")).select("w.hash", "w.check"))
     free = single.groupBy("row").agg(F.collect_list("pos").alias("free"))
 
     @F.arrow_udf("struct<n_words:long,n_removed:long,kept_text:string,kept_sha256:string>")

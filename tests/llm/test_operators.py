@@ -314,6 +314,17 @@ def test_substrings_when_the_splits_of_the_input_change(spark, tmp_path, monkeyp
     assert sorted((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got) == _repeats(texts)
 
 
+def test_substrings_repeat_text_of_earlier_calls(spark):
+    """Each call with one index sees what it and the calls before it hold, and no more."""
+    index, before = substring_index.FingerprintIndex(), []
+    calls = [[(0, words(50, 200)), (1, words(51, 30))], [(2, words(52, 40) + " " + " ".join(words(50, 200).split()[60:120]) + " " + words(53, 40)), (3, words(54, 90)), (4, None)], [(5, words(54, 90)), (6, words(50, 200)), (7, words(55, 90))]]
+    for texts in calls:
+        got = substring_index.remove_repeats(some(spark, *texts), index=index)
+        before += texts
+        asked = {k for k, _ in texts}
+        assert sorted((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got.collect()) == [r for r in _repeats(before) if r[0] in asked]
+
+
 def test_index_runs_merge_and_find_history(spark):
     index = substring_index.FingerprintIndex()
     batch = lambda *prints: spark.createDataFrame([(p, 0, 0) for p in prints], "print long, row long, pos int")
