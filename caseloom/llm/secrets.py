@@ -1,13 +1,15 @@
 """Secret scanning: fixed base patterns, and a battery of randomness tests on further long strings.
 
 Base spans come from three patterns (assignments, access keys, hex runs). Further candidates are runs of
-``[A-Za-z0-9+/_=-]`` of at least ``min_len`` characters outside base spans. For each the encoding is inferred from its
+``[A-Za-z0-9+/_-]``, with one or two ``=`` as closing padding, of at least ``min_len`` characters outside base spans. A run that
+fits no alphabet, meets a base span or fails the battery as a whole is split at ``/``, ``_`` and ``-``, and its parts of that
+length are the candidates. For each the encoding is inferred from its
 characters (decimal, hex, base32, base64) and three tests give p-values under "uniform over that alphabet": chi-squared of symbol
 counts, Wald-Wolfowitz runs about the alphabet's middle, and lag-one serial correlation. A fourth asks whether letters alone,
 of one case, are likely at this length. They are combined by Bonferroni (four times the least).
 
-False discoveries are controlled by length class with decoys: each candidate-length stretch of ordinary words is put
-through the same battery, and within a class a p-value cutoff is the lowest at which decoys that pass are at most
+False discoveries are controlled by length class with decoys: all ordinary words of all documents, joined without space and
+cut into stretches of every candidate length up to 255, are put through the same battery, and within a class a p-value cutoff is the lowest at which decoys that pass are at most
 ``fdr`` of candidates that pass. The counts behind it cover all rows; only a table of length classes by score bins (of
 fixed size) reaches the driver.
 
@@ -19,6 +21,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -31,7 +34,8 @@ KINDS = ("assign", "access", "hex", "random")
 _ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
-_LONG = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+_LONG = re.compile(r"[A-Za-z0-9+/_-]+(?:={1,2}(?![A-Za-z0-9+/_=-]))?")
+_PART = re.compile(r"[A-Za-z0-9+]+={0,2}")
 _WORDS = re.compile(r"[A-Za-z]+")
 
 #: The alphabets that a candidate's encoding is inferred from, narrowest first.
@@ -49,6 +53,11 @@ _PLACES = [(name, {c: i for i, c in enumerate(letters)}) for name, letters in AL
 #: Length classes (least length of each) and score bins of the table that the cutoffs are read from.
 CLASSES = (16, 24, 32, 48, 64, 128)
 BINS = 60
+#: No cutoff lies below this bin: a whole run below it is never reported.
+LEAST_BIN = int(BINS * 9.5 / 12)
+_HOPELESS = 10 ** (12 * LEAST_BIN / BINS - 12.001)
+#: Decoys of the last class are shorter than this.
+LONGEST_DECOY = 256
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -66,12 +75,22 @@ def _chi2_tail(x: float, k: int) -> float:
     return 0.5 * math.erfc(z / math.sqrt(2))
 
 
-def battery(s: str) -> float:
-    """The combined p-value under uniform randomness over the inferred alphabet; 0 if no alphabet fits."""
+def battery(s: str, enough: float = 0.0) -> float:
+    """The combined p-value under uniform randomness over the inferred alphabet; 0 if no alphabet fits. Below ``enough`` any value below it."""
     core = s.rstrip("=")
-    places = next((p for _, p in _PLACES if all(c in p for c in core)), None)
+    held = set(core)
+    places = next((p for _, p in _PLACES if held <= p.keys()), None)
     if places is None or len(core) < 8:
         return 0.0
+    # A random string of this length rarely keeps to letters of one case; ordinary words always do.
+    p_mixed = 1.0
+    if len(places) >= 32 and core.isalpha():
+        letters = sum(c.isalpha() for c in places)
+        p_mixed = (letters / len(places)) ** len(core)
+        if core.islower() or core.isupper() or (core[1:].islower() and len(places) == 64):
+            p_mixed *= (26 / max(letters, 26)) ** (len(core) - 1)
+    if 4 * p_mixed < enough:
+        return 4 * p_mixed
     x, n, k = [places[c] for c in core], len(core), len(places)
     counts: dict[int, int] = {}
     for v in x:
@@ -91,13 +110,6 @@ def battery(s: str) -> float:
     spread = sum((v - m) ** 2 for v in x)
     r = sum((u - m) * (v - m) for u, v in zip(x, x[1:], strict=False)) / spread if spread else 1.0
     p_serial = math.erfc(abs(r + 1 / n) * math.sqrt(n) / math.sqrt(2))
-    # A random string of this length rarely keeps to letters of one case; ordinary words always do.
-    p_mixed = 1.0
-    if k >= 32 and core.isalpha():
-        letters = sum(c.isalpha() for c in places)
-        p_mixed = (letters / k) ** n
-        if core.islower() or core.isupper() or (core[1:].islower() and k == 64):
-            p_mixed *= (26 / max(letters, 26)) ** (n - 1)
     return max(0.0, min(1.0, 4 * min(p_chi, p_runs, p_serial, p_mixed)))
 
 
@@ -110,12 +122,37 @@ def score_bin(p: float) -> int:
     return min(BINS - 1, max(0, int((12 + math.log10(max(p, 1e-12))) / 12 * BINS)))
 
 
-def scan(docs: DataFrame, *, text: str = "text", min_len: int = 20, decoy_every: int = 40) -> DataFrame:
-    """docs with base: array<struct<start, kind, end>>, more: the same with the battery's class and bin, and decoys: array<int> (class * BINS + bin).
+def candidates(s: str, base: list[tuple[int, int, int]], min_len: int = 20) -> list[tuple[int, int, int]]:
+    """(start, end, score bin) of the candidates outside base spans."""
+
+    def scored(a: int, e: int) -> list[tuple[int, int, int]]:
+        if e - a < min_len or any(x < e and a < y for x, _, y in base):
+            return []
+        return [(a, e, score_bin(battery(s[a:e], _HOPELESS)))]
+
+    out = []
+    for m in _LONG.finditer(s):
+        if m.end() - m.start() >= min_len:
+            run = scored(*m.span())
+            if not run or run[0][2] < LEAST_BIN:
+                run = [c for p in _PART.finditer(s, *m.span()) for c in scored(*p.span())] or run
+            out += run
+    return out
+
+
+def decoy_stretches(s: str, min_len: int = 20) -> Iterator[str]:
+    """All ASCII words of s joined, cut into stretches: the classes in turn, and each length of a class in turn."""
+    words = "".join(_WORDS.findall(s))
+    ranges = [(max(a, min_len), b) for a, b in zip(CLASSES, (*CLASSES[1:], LONGEST_DECOY), strict=True) if b > min_len]
+    at, i = 0, zlib.crc32(words.encode())  # texts start at different places, as short ones have few
+    while len(words) - at >= min_len:
+        low, high = ranges[i % len(ranges)]
+        yield words[at : (at := at + low + i // len(ranges) % (high - low))]
+        i += 1
+
 
-    A decoy is a stretch of ordinary words joined without space, of a candidate's length, one from each
-    ``decoy_every`` words of the text.
-    """
+def scan(docs: DataFrame, *, text: str = "text", min_len: int = 20) -> DataFrame:
+    """docs with base: array<struct<start, kind, end>>, more: the same with the battery's class and bin, and decoys: array<int> (class * BINS + bin)."""
     kind = "array<struct<start:int,kind:int,end:int>>"
 
     @F.arrow_udf(f"struct<base:{kind},more:array<struct<start:int,end:int,cls:int,bin:int>>,decoys:array<int>>")
@@ -126,24 +163,15 @@ def scan(docs: DataFrame, *, text: str = "text", min_len: int = 20, decoy_every:
             for value in batch:
                 s = value.as_py() or ""
                 base = base_spans(s)
-                more, decoys = [], []
-                for m in _LONG.finditer(s):
-                    if len(m[0]) >= min_len and not any(a < m.end() and m.start() < e for a, _, e in base):
-                        more.append({"start": m.start(), "end": m.end(), "cls": length_class(len(m[0])), "bin": score_bin(battery(m[0]))})
-                if more:
-                    words = _WORDS.findall(s)
-                    for i in range(0, len(words), decoy_every):
-                        n = CLASSES[(i // decoy_every) % len(CLASSES)]
-                        joined = "".join(words[i : i + n])[:n]
-                        if len(joined) == n:
-                            decoys.append(length_class(n) * BINS + score_bin(battery(joined)))
+                more = [{"start": a, "end": e, "cls": length_class(e - a), "bin": b} for a, e, b in candidates(s, base, min_len)]
+                decoys = [length_class(len(x)) * BINS + score_bin(battery(x, _HOPELESS)) for x in decoy_stretches(s, min_len)]
                 out.append({"base": [{"start": a, "kind": k, "end": e} for a, k, e in base], "more": more, "decoys": decoys})
             yield pa.array(out, shape)
 
     return docs.withColumn("_found", scanned(F.col(text))).select(*docs.columns, "_found.*")
 
 
-def cutoffs(found: DataFrame, *, fdr: float = 0.05, least_bin: int = int(BINS * 9.5 / 12)) -> list[int]:
+def cutoffs(found: DataFrame, *, fdr: float = 0.05, least_bin: int = LEAST_BIN) -> list[int]:
     """For each length class the lowest bin that is reported: decoys in it and above are at most fdr of candidates."""
     real = found.select(F.explode("more").alias("x")).select((F.col("x.cls") * BINS + F.col("x.bin")).alias("cell"), F.lit(0).alias("decoy"))
     decoy = found.select(F.explode("decoys").alias("cell"), F.lit(1).alias("decoy"))

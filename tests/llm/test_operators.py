@@ -1,6 +1,7 @@
 """Each operator against brute force, and on the inputs of cases.py."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter
@@ -404,6 +405,24 @@ def test_battery_tells_random_from_words():
         assert secrets.battery(word) < 0.01, word
 
 
+def test_random_values_after_names_and_paths_are_candidates():
+    rng = random.Random(5)
+    token = "".join(rng.choice(secrets.ALPHABETS[6][1][:62]) for _ in range(40))
+    for around in ("AWS_SIGNING_VALUE_OF_A_HOST={}", "private_key={}", "sig={} and more", "client_id={}==", "path/to_x/{}", "some-name/of_it/{}/tail", "see {}, or", "the/long/path/of/ordinary/words/{}"):
+        text = around.format(token)
+        found = secrets.candidates(text, secrets.base_spans(text))
+        assert any(token in text[a:e] and b >= secrets.LEAST_BIN for a, e, b in found), around
+
+
+def test_decoys_are_all_words_in_every_length():
+    text = words(3, 4000).replace("1", "one").replace("2", "two") + " plain words of a text" * 3000
+    stretches = list(secrets.decoy_stretches(text))
+    joined = "".join(re.findall("[A-Za-z]+", text))
+    assert joined.startswith("".join(stretches)) and len(joined) - len("".join(stretches)) < 20
+    assert set(map(len, stretches)) >= set(range(20, 128))
+    assert list(secrets.decoy_stretches("a " * 19)) == []
+
+
 def test_secrets_of_a_corpus(spark):
     import random
     import string
