@@ -56,39 +56,80 @@ def nearest(queries: DataFrame, index: DataFrame, k: int = 10, *, query_id: str
     return ranked.select(F.col("query_id").alias(query_id), "rank", F.col("vec_id").alias(vector_id), "distance", similarity(F.col("distance")).alias("similarity"))
 
 
+def _matrix(vectors: pd.Series) -> np.ndarray:
+    return np.stack(vectors.to_numpy()).astype(np.float32) if len(vectors) else np.zeros((0, 0), np.float32)
+
+
 def _candidates(sent, k: int, block: int) -> Callable:
     def find(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, q = sent.value
-        q2 = (q.astype(np.float64) ** 2).sum(axis=1)
-        # k + 16 by the fast product in single precision, then exactly: rounding there is far below that margin's gap.
-        keep = k + 16
-        held_id = np.full((len(q), 0), -1, np.int64)
-        held_d, held_v = np.zeros((len(q), 0)), None
-        for frame in frames:
-            for at in range(0, len(frame), block):
-                rows = frame.iloc[at : at + block]
-                x = np.stack(rows.iloc[:, 1].to_numpy()).astype(np.float32)
-                vid = rows.iloc[:, 0].to_numpy()
-                approx = q2[:, None] + (x.astype(np.float64) ** 2).sum(axis=1)[None, :] - 2 * (q @ x.T).astype(np.float64)
-                near = np.argpartition(approx, keep - 1, axis=1)[:, :keep] if len(rows) > keep else np.tile(np.arange(len(rows)), (len(q), 1))
-                exact = np.empty(near.shape)
-                for j in range(near.shape[1]):
-                    diff = q.astype(np.float64) - x[near[:, j]].astype(np.float64)
-                    total = np.zeros(len(q))
-                    for c in range(diff.shape[1]):  # left to right, as a fold does
-                        total += diff[:, c] * diff[:, c]
-                    exact[:, j] = total
-                held_d = np.concatenate([held_d, exact], axis=1)
-                held_id = np.concatenate([held_id, vid[near]], axis=1)
-                if held_d.shape[1] > k:
-                    order = np.lexsort((held_id, held_d), axis=1)[:, :k]
-                    held_d, held_id = np.take_along_axis(held_d, order, 1), np.take_along_axis(held_id, order, 1)
-        if held_d.shape[1]:
-            yield pd.DataFrame({"query_id": np.repeat(ids, held_d.shape[1]), "vec_id": held_id.ravel(), "distance": held_d.ravel()})
+        yield _least(*sent.value, frames, k, block)
 
     return find
 
 
+def _exact(q: np.ndarray, x: np.ndarray, qi: np.ndarray, xi: np.ndarray) -> np.ndarray:
+    """Squared distances of pairs of rows, summed left to right in double, as a fold does."""
+    out = np.zeros(len(qi))
+    for i in range(0, len(qi), 8192):
+        diff = np.ascontiguousarray((q[qi[i : i + 8192]].astype(np.float64) - x[xi[i : i + 8192]]).T)
+        for c in diff:
+            out[i : i + 8192] += c * c
+    return out
+
+
+def _first_copies(ids: np.ndarray, x: np.ndarray, k: int) -> np.ndarray:
+    """Row numbers without those that k rows with the same vector and lesser ids exclude from any k best."""
+    seen: dict[bytes, int] = {}
+    kept = []
+    for i in np.argsort(ids, kind="stable"):
+        seen[v] = n = seen.get(v := x[i].tobytes(), 0) + 1
+        if n <= k:
+            kept.append(i)
+    return np.array(kept, np.int64)
+
+
+def _least(ids: np.ndarray, q: np.ndarray, frames: Iterator[pd.DataFrame], k: int, block: int) -> pd.DataFrame:
+    """(query_id, vec_id, distance): for each query the k least of all rows by (exact distance, id).
+
+    A row is left out only if its approximate distance less its rounding bound lies above k others' approximate distances plus theirs,
+    or above the k-th exact distance so far.
+    """
+    q2 = (q.astype(np.float64) ** 2).sum(axis=1)
+    held = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))  # number of the query, id, distance
+    limit = np.full(len(q), np.inf)
+    for frame in frames if len(q) else ():
+        for at in range(0, len(frame), block):
+            rows = frame.iloc[at : at + block]
+            vid, x = rows.iloc[:, 0].to_numpy(), _matrix(rows.iloc[:, 1])
+            some = _first_copies(vid, x, k)
+            vid, x = vid[some], x[some]
+            x2 = (x.astype(np.float64) ** 2).sum(axis=1)
+            d = x.shape[1] + 8
+            new = [held]
+            for i in range(0, len(q), block):
+                part = slice(i, i + block)
+                with np.errstate(over="ignore", invalid="ignore"):
+                    scale = q2[part, None] + x2[None, :]
+                    near = scale - 2 * (q[part] @ x.T).astype(np.float64)
+                    # Any order of summation: |fl(q.x) - q.x| <= g |q| |x| with g = d u / (1 - d u), u = 2**-24; then the steps in double.
+                    u = d * 2.0**-24
+                    bound = 2 * u / (1 - u) * np.sqrt(q2[part, None] * x2[None, :]) + 8 * d * 2.0**-53 * scale + d * 2.0**-147
+                    low, high = near - bound, near + bound
+                low[~np.isfinite(low)], high[~np.isfinite(high)] = -np.inf, np.inf
+                most = limit[part]
+                if len(vid) > k:
+                    most = np.minimum(most, np.partition(high, k - 1, axis=1)[:, k - 1])
+                qi, xi = np.nonzero(low <= most[:, None])
+                new.append((qi + i, vid[xi], _exact(q, x, qi + i, xi)))
+            qi, found, distance = (np.concatenate(c) for c in zip(*new, strict=True))
+            order = np.lexsort((found, distance, qi))
+            qi, found, distance = qi[order], found[order], distance[order]
+            place = np.arange(len(qi)) - np.searchsorted(qi, qi)
+            limit[qi[place == k - 1]] = distance[place == k - 1]
+            held = tuple(c[place < k] for c in (qi, found, distance))
+    return pd.DataFrame({"query_id": ids[held[0]], "vec_id": held[1], "distance": held[2]})
+
+
 def first_per_document(hits: DataFrame, query_id: str = "query_id", doc_id: str = "doc_id") -> DataFrame:
     """VEC-8: the best chunk of each document, after the cut to k; a query may keep fewer than k."""
     best = Window.partitionBy(query_id, doc_id).orderBy("rank")

@@ -188,6 +188,33 @@ def test_nearest_in_any_partitioning(spark):
     assert vector.nearest(asked, index, 5, max_broadcast_mb=0 or 1).count() == 45
 
 
+def _copies(n: int = 600) -> tuple[np.ndarray, np.ndarray]:
+    """Ids against the order of rows; many exact copies and copies that differ by less than single precision resolves in a product."""
+    rng = np.random.default_rng(3)
+    v = np.tile(rng.normal(size=(3, 16)), (n // 3, 1)).astype(np.float32)
+    v[: n // 2, 0] = np.nextafter(v[: n // 2, 0], np.float32(9))
+    v[n // 4 : n // 3, 5] = np.nextafter(v[n // 4 : n // 3, 5], np.float32(-9))
+    return np.arange(n)[::-1].copy(), v
+
+
+def _brute(ids: np.ndarray, v: np.ndarray, k: int) -> set:
+    out = set()
+    for i in range(len(v)):
+        total = np.zeros(len(v))
+        for c in range(v.shape[1]):
+            total += (v[i, c].astype(np.float64) - v[:, c]) ** 2
+        out |= {(int(ids[i]), n + 1, int(ids[j])) for n, j in enumerate(np.lexsort((ids, total))[:k])}
+    return out
+
+
+@pytest.mark.parametrize("sent_mb", [64])
+def test_nearest_with_more_copies_than_places(spark, sent_mb):
+    ids, v = _copies()
+    index = spark.createDataFrame([(int(i), x.tolist()) for i, x in zip(ids, v, strict=True)], "vec_id long, embedding array<float>").repartition(2)
+    got = vector.nearest(index.withColumnRenamed("vec_id", "query_id"), index, 4, block=32 if sent_mb == 0 else 256, max_broadcast_mb=sent_mb)
+    assert {(r["query_id"], r["rank"], r["vec_id"]) for r in got.collect()} == _brute(ids, v, 4)
+
+
 def test_supplement_cuts_before_it_drops(spark):
     hits = spark.createDataFrame([(1, 10, 0.9)], "query_id long, doc_id long, similarity double")
     kw = spark.createDataFrame([(1, 0, 10), (1, 1, 11), (1, 2, 12)], "query_id long, ordinal int, doc_id long")
