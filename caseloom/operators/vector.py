@@ -32,25 +32,28 @@ def similarity(d2: Column) -> Column:
 def nearest(queries: DataFrame, index: DataFrame, k: int = 10, *, query_id: str = "query_id", vector_id: str = "vec_id", vector: str = "embedding", block: int = 1024, max_broadcast_mb: int = 64) -> DataFrame:
     """VEC-6: (query_id, rank, vec_id, distance, similarity) of the k least squared distances; ties by vec_id.
 
-    Queries are the small side: while ``max_broadcast_mb`` holds them they are sent round in one piece, and each task of the index keeps k
-    candidates per query, by matrix products over blocks. Beyond that they go round in as many parts. Either way the index is read
-    where it lies and only k rows per query and task are shuffled; the last step is exact in double precision.
+    While ``max_broadcast_mb`` holds the queries they are sent round, and each task of the index keeps k candidates per query, by matrix
+    products over blocks. Beyond that queries and index are dealt into groups of about ``8 * block`` rows, each pair of groups is a unit
+    of work, and nothing passes the driver. Either way only k rows per query and task are shuffled at the end, exact in double precision.
     """
     spark = queries.sparkSession
+    schema = "query_id long, vec_id long, distance double"
     one = queries.select(vector).head()
-    parts = max(1, -(-queries.count() * len(one[0] if one else ()) * 4 // (max_broadcast_mb << 20)))
-    found = None
-    for p in range(parts):
-        some = queries if parts == 1 else queries.filter(F.pmod(F.xxhash64(query_id), F.lit(parts)) == p)
-        rows = some.select(query_id, vector).toPandas()
-        if not len(rows):
-            continue
-        q = np.stack(rows[vector].to_numpy()).astype(np.float32)
-        sent = spark.sparkContext.broadcast((rows[query_id].to_numpy(), q))
-        part = index.select(vector_id, vector).mapInPandas(_candidates(sent, k, block), "query_id long, vec_id long, distance double")
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = index.select(F.lit(0).cast("long").alias("query_id"), F.lit(0).cast("long").alias("vec_id"), F.lit(0.0).alias("distance")).limit(0)
+    n = queries.count()
+    if n * len(one[0] if one else ()) * 4 <= max_broadcast_mb << 20:
+        rows = queries.select(query_id, vector).toPandas()
+        sent = spark.sparkContext.broadcast((rows[query_id].to_numpy(), _matrix(rows[vector])))
+        found = index.select(vector_id, vector).mapInPandas(_candidates(sent, k, block), schema)
+    else:
+        across, down = (-(-max(1, c) // (8 * block)) for c in (n, index.count()))
+        group = lambda c, m: F.pmod(F.xxhash64(c), F.lit(m))
+        left = queries.select(F.col(query_id).alias("id"), F.col(vector).alias("v"), F.explode(F.sequence(F.lit(0), F.lit(down - 1))).alias("_x"), group(query_id, across).alias("_q"))
+        right = index.select(F.col(vector_id).alias("id"), F.col(vector).alias("v"), group(vector_id, down).cast("int").alias("_x"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(across - 1).cast("long"))).alias("_q"))
+
+        def pair(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
+            return _least(q["id"].to_numpy(), _matrix(q["v"]), iter([x[["id", "v"]]]), k, block)
+
+        found = left.groupBy("_q", "_x").cogroup(right.groupBy("_q", "_x")).applyInPandas(pair, schema)
     best = Window.partitionBy("query_id").orderBy("distance", "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
     return ranked.select(F.col("query_id").alias(query_id), "rank", F.col("vec_id").alias(vector_id), "distance", similarity(F.col("distance")).alias("similarity"))

@@ -207,8 +207,9 @@ def _brute(ids: np.ndarray, v: np.ndarray, k: int) -> set:
     return out
 
 
-@pytest.mark.parametrize("sent_mb", [64])
+@pytest.mark.parametrize("sent_mb", [64, 0])
 def test_nearest_with_more_copies_than_places(spark, sent_mb):
+    """Also with queries that are too many to be sent round."""
     ids, v = _copies()
     index = spark.createDataFrame([(int(i), x.tolist()) for i, x in zip(ids, v, strict=True)], "vec_id long, embedding array<float>").repartition(2)
     got = vector.nearest(index.withColumnRenamed("vec_id", "query_id"), index, 4, block=32 if sent_mb == 0 else 256, max_broadcast_mb=sent_mb)
