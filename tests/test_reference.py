@@ -216,6 +216,18 @@ def test_nearest_with_more_copies_than_places(spark, sent_mb):
     assert {(r["query_id"], r["rank"], r["vec_id"]) for r in got.collect()} == _brute(ids, v, 4)
 
 
+def test_ingest_counts_chunks_of_all_documents(spark, sf_dir, tmp_path):
+    from caseloom.plans import pipelines, queries
+
+    docs = synth.table(spark, sf_dir, "documents").select("doc_id", "text")
+    want = {(r["doc_id"], r["count"]) for r in chunk.chunks(docs).groupBy("doc_id").count().collect()}
+    assert any(i % 2 == 0 for i, _ in want)
+    assert {tuple(r) for r in queries.pip_04_ingest_new(spark, sf_dir).select("doc_id", "chunks").collect()} == want
+    fixtures.write_index(pipelines.ingest(docs.filter("doc_id % 3 = 0")), str(tmp_path / "index"))
+    index = fixtures.read_index(spark, str(tmp_path / "index"))
+    assert {tuple(r) for r in pipelines.ingest_counts(docs, index).select("doc_id", "chunks").collect()} == want
+
+
 def test_supplement_cuts_before_it_drops(spark):
     hits = spark.createDataFrame([(1, 10, 0.9)], "query_id long, doc_id long, similarity double")
     kw = spark.createDataFrame([(1, 0, 10), (1, 1, 11), (1, 2, 12)], "query_id long, ordinal int, doc_id long")
