@@ -23,9 +23,7 @@ def scratch_root(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", f"file://{root}")
         root = f"file://{root}"
     path = f"{root}/caseloom-{spark.sparkContext.applicationId}"
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    fs = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    place, fs = _folder(spark, path)
     if not fs.exists(place):
         fs.mkdirs(place)
         fs.deleteOnExit(place)
@@ -42,11 +40,25 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def _folder(spark: SparkSession, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def dropped(df: DataFrame) -> None:
     """Deletes a table that saved() wrote and that nothing reads any more."""
-    spark = df.sparkSession
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.saved_path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    removed_folder(df.sparkSession, df.saved_path)
+
+
+def removed_folder(spark: SparkSession, path: str) -> None:
+    place, fs = _folder(spark, path)
+    fs.delete(place, True)
+
+
+def files_in(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none where there is no such folder."""
+    place, fs = _folder(spark, path)
+    return [s.getPath().getName() for s in fs.listStatus(place)] if fs.exists(place) else []
 
 
 def whole(text: Column) -> Column:

@@ -1,40 +1,45 @@
 """Substring deduplication with a log-structured index of window fingerprints.
 
 Every window of ``window`` (35) words is represented by its minimiser: of the hashes of its 8-word grams the least, leftmost
-first. Equal windows have equal minimisers, and neighbouring windows mostly share one, so about one position in 14 is kept. The
-index is a list of immutable runs (fingerprint, occurrences), each sorted by fingerprint. A batch becomes one run, which is
-merge-joined with each run of history to find what repeats; runs of one size are then compacted by merging, so there are about
-log(batches) of them. An index that the caller passes, for further calls, also keeps the distinct hashes of all windows as runs of
-their own, so that a passage which only an earlier call's text has is found and verified too.
+first. Equal windows have equal minimisers, and neighbouring windows mostly share one, so about one position in 14 is kept: an
+anchor. The index is a folder of immutable runs (print, n) of the anchors' fingerprints, each a table bucketed and sorted by
+print. A batch becomes one run, which is merge-joined with each run of history, without exchange or sort, to find what repeats;
+two runs of one level are then compacted by merging, so there are about log(batches) of them. Beside the runs the index keeps
+the texts and anchors of each call, for verification, and a manifest, by which it is opened again later (``FingerprintIndex``).
 
-A fingerprint that occurs once rules its windows out. The windows of the others are verified by a 96-bit hash of all their
-words: those that occur once, in this call and all earlier ones of its index, are let go, all words in the rest are removed. Hashes are counted with map-side combination, so
-one passage in any share of the documents is a few rows per task.
+A fingerprint that occurs once rules its windows out. The windows of the others, in this call's texts and in those of earlier
+calls that share the fingerprint, are verified by a 128-bit hash of the bytes of their words: those of this call that occur
+once are let go, all words in the rest are removed. Hashes are counted with map-side combination, so one passage in any share
+of the documents is a few rows per task.
 
 Words are runs of anything but ASCII white space, unchanged. Defined results: null text -> no words, nothing removed. Texts of
 fewer words than a window are never touched. Repeated rows are documents of their own, so their windows repeat. Rows with
-null ids are dealt with like others. An empty table -> no rows.
+null ids are dealt with like others. An empty table -> no rows. Extra columns are ignored. A call that ends before its
+manifest is written leaves the index as it was.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from numpy.lib.stride_tricks import sliding_window_view
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from xxhash import xxh3_128_digest
 
-from .common import dropped, saved
+from .common import dropped, files_in, removed_folder, saved, scratch_root
 from .hashing import Windows, WordHashes
 
 GRAM = 8
 #: Runs of one level that are merged into one of the next.
 FANOUT = 2
-_grams, _whole, _check = Windows(0x9E3779B97F4A7C15), Windows(0xD1342543DE82EF95), Windows(0xAF251AF3B0F025B5)
+_grams = Windows(0x9E3779B97F4A7C15)
 _hashes = WordHashes()
 
 
@@ -70,132 +75,199 @@ def anchors(docs: DataFrame, *, key: str = "row", text: str = "text", window: in
     return docs.select(F.col(key).alias("row"), F.explode(found(F.col(text))).alias("a")).select("a.print", "row", "a.pos")
 
 
-class _Runs:
-    """Sorted immutable runs (keys, n) in the shared folder, by level."""
-
-    keys: tuple[str, ...]
-
-    def __init__(self) -> None:
-        self.levels: list[list[DataFrame]] = []
+@contextmanager
+def _sorted_scans(spark: SparkSession) -> Iterator[None]:
+    """Within it a scan of a bucketed table is known to be in order, as each bucket is one file."""
+    name = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+class FingerprintIndex:
+    """The index in a folder that all executors reach: made there, or opened as the last call left it."""
+
+    MANIFEST = "version int, buckets int, window int, next_row long, levels array<array<string>>, calls array<string>"
+    RUN = "print long, n long"
+
+    def __init__(self, spark: SparkSession, path: str, *, buckets: int | None = None):
+        self.spark, self.path = spark, path
+        self.version, self.window, self.next_row = 0, None, 0
+        self.levels: list[list[str]] = []
+        self.calls: list[str] = []
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        versions = [name for name in files_in(spark, f"{path}/manifest") if "_SUCCESS" in files_in(spark, f"{path}/manifest/{name}")]
+        if versions:
+            last = spark.read.schema(self.MANIFEST).json(f"{path}/manifest/{max(versions)}").first()
+            self.version, self.buckets, self.window, self.next_row = last["version"], last["buckets"], last["window"], last["next_row"]
+            self.levels, self.calls = [list(level) for level in last["levels"]], list(last["calls"])
+            for name in self.runs:
+                spark.sql(f"CREATE TABLE IF NOT EXISTS {name} (print BIGINT, n BIGINT) USING parquet CLUSTERED BY (print) SORTED BY (print) INTO {self.buckets} BUCKETS LOCATION '{self._place(name)}'")
 
     @property
-    def runs(self) -> list[DataFrame]:
+    def runs(self) -> list[str]:
         return [run for level in self.levels for run in level]
 
-    def _run(self, rows: DataFrame, n: Column) -> DataFrame:
-        # The aggregation has dealt the rows by the keys: sorting needs no other shuffle.
-        return saved(rows.groupBy(*self.keys).agg(n.alias("n")).sortWithinPartitions(*self.keys), "run")
+    def _place(self, run: str) -> str:
+        return f"{self.path}/runs/{run}"
+
+    def _write(self, rows: DataFrame) -> str:
+        """(print, n), dealt by print into as many parts as there are buckets, as a run of one sorted file per bucket."""
+        name = f"run_{uuid.uuid4().hex}"
+        rows.write.format("parquet").option("compression", "zstd").option("path", self._place(name)).bucketBy(self.buckets, "print").sortBy("print").saveAsTable(name)
+        return name
 
-    def _insert(self, run: DataFrame, level: int = 0) -> None:
+    def _counted(self, batch: DataFrame) -> DataFrame:
+        rows = batch.groupBy("print").agg(F.count("*").alias("n"))
+        return rows if self.buckets == int(self.spark.conf.get("spark.sql.shuffle.partitions")) else rows.repartition(self.buckets, "print")
+
+    def merged(self, a: str, b: str, how: str = "inner") -> DataFrame:
+        """Two runs as one by a merge join (to be planned within _sorted_scans): print and the n of both."""
+        left, right = self.spark.table(a), self.spark.table(b)
+        return left.hint("merge").join(right.withColumnRenamed("n", "m"), "print", how)
+
+    def _insert(self, run: str, level: int = 0) -> None:
         """Puts a run into its level; a full level is compacted into one run of the next."""
         if level == len(self.levels):
             self.levels.append([])
         self.levels[level].append(run)
         if len(self.levels[level]) == FANOUT:
             full = self.levels[level]
-            run = self._run(reduce(DataFrame.unionByName, full), F.sum("n"))
-            for old in full:
-                dropped(old)
+            total = lambda rows: rows.select("print", (F.coalesce("n", F.lit(0)) + F.coalesce("m", F.lit(0))).alias("n"))
+            with _sorted_scans(self.spark):
+                run = self._write(total(self.merged(*full, "full_outer")))
             self.levels[level] = []
+            self._outdated += full
             self._insert(run, level + 1)
 
+    def add(self, batch: DataFrame) -> DataFrame:
+        """Adds the anchors of a batch as a run. Returns (print): those that history has too, or that the batch has twice."""
+        run = self._write(self._counted(batch))
+        seen = self.spark.table(run).filter("n > 1").select("print")
+        with _sorted_scans(self.spark):
+            for old in self.runs:
+                seen = seen.unionByName(self.merged(run, old).select("print"))
+            seen = saved(seen, "seen")
+        self._insert(run)
+        return seen
 
-class WindowIndex(_Runs):
-    """(hash, check) of every window of earlier calls."""
+    _outdated: list[str] = []
 
-    keys = ("hash", "check")
+    def begin(self, window: int) -> str:
+        if self.window not in (None, window):
+            raise ValueError(f"this index is of windows of {self.window} words, not {window}")
+        self.window, self._outdated = window, []
+        return uuid.uuid4().hex
 
-    def add(self, windows: DataFrame) -> None:
-        self._insert(self._run(windows, F.count("*")))
+    def store(self, kind: str, call: str, rows: DataFrame) -> DataFrame:
+        place = f"{self.path}/{kind}/{call}"
+        rows.write.option("compression", "zstd").parquet(place)
+        return self.spark.read.schema(rows.schema).parquet(place)
 
-    def without_known(self, windows: DataFrame) -> DataFrame:
-        """windows that no run holds, by a merge join with each."""
-        for run in self.runs:
-            windows = windows.join(run.select(*self.keys).hint("merge"), list(self.keys), "left_anti")
-        return windows
+    def earlier(self, kind: str, like: DataFrame) -> DataFrame | None:
+        """What all earlier calls stored of a kind."""
+        return self.spark.read.schema(like.schema).parquet(*[f"{self.path}/{kind}/{c}" for c in self.calls]) if self.calls else None
 
+    def commit(self, call: str, next_row: int) -> None:
+        """Writes the manifest; only then runs that were compacted go."""
+        self.version, self.next_row = self.version + 1, next_row
+        self.calls.append(call)
+        row = (self.version, self.buckets, self.window, self.next_row, self.levels, self.calls)
+        self.spark.createDataFrame([row], self.MANIFEST).coalesce(1).write.json(f"{self.path}/manifest/{self.version:09d}")
+        for run in self._outdated:
+            self.spark.sql(f"DROP TABLE IF EXISTS {run}")
+            removed_folder(self.spark, self._place(run))
 
-class FingerprintIndex(_Runs):
-    """(print, n) of the anchors, and the windows behind them."""
+    def close(self) -> None:
+        """Forgets the runs' names in this session; the folder stays."""
+        for run in [*self.runs, *self._outdated]:
+            self.spark.sql(f"DROP TABLE IF EXISTS {run}")
 
-    keys = ("print",)
+    def delete(self) -> None:
+        self.close()
+        removed_folder(self.spark, self.path)
 
-    def __init__(self) -> None:
-        super().__init__()
-        self.windows = WindowIndex()
 
-    def add(self, batch: DataFrame) -> DataFrame:
-        """Adds the anchors of a batch as a run. Returns (print): those that history has too, or that the batch has twice."""
-        run = self._run(batch, F.count("*"))
-        seen = run.filter("n > 1").select("print")
-        for old in self.runs:
-            seen = seen.unionByName(run.select("print").hint("merge").join(old.select("print"), "print"))
-        seen = saved(seen, "seen")
-        self._insert(run)
-        return seen
+def _flagged_windows(words: list[bytes], flagged: list[int], window: int) -> np.ndarray:
+    """Starts of the windows whose minimiser is flagged."""
+    at, _ = minimisers(_hashes.of(words), window)
+    return np.flatnonzero(np.isin(at, flagged))
 
 
-def _flagged_windows(words: list[bytes], flagged: list[int] | None, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts of the windows whose minimiser is flagged (of all, if flagged is None), and the hashes of all words."""
-    h = _hashes.of(words)
-    if flagged is None:
-        return np.arange(max(0, len(words) - window + 1)), h
-    at, _ = minimisers(h, window)
-    return np.flatnonzero(np.isin(at, flagged)), h
+def _window_hashes(words: list[bytes], starts: np.ndarray, window: int) -> np.ndarray:
+    """128 bits of the bytes of each window, as rows of two numbers."""
+    text = memoryview(b" ".join(words))
+    place = np.concatenate([[0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)])
+    low, high = place[starts].tolist(), (place[starts + window] - 1).tolist()
+    return np.frombuffer(b"".join([xxh3_128_digest(text[a:e]) for a, e in zip(low, high, strict=True)]), np.int64).reshape(-1, 2)
 
 
 def _digest(words: list[bytes]) -> str:
     return hashlib.sha256(b" ".join(words)).hexdigest()
 
 
+def _windows(window: int):
+    shape = ("hash", "check", "pos")
+
+    @F.arrow_udf("array<struct<hash:long,check:long,pos:int>>")
+    def windows(pairs: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for texts, flagged in pairs:
+            sizes, hashes, places = [0], [np.zeros((0, 2), np.int64)], [np.zeros(0, np.int32)]
+            for value, at in zip(texts.cast(pa.binary()), flagged, strict=True):
+                words = value.as_py().split()
+                starts = _flagged_windows(words, at.as_py(), window)
+                sizes.append(len(starts))
+                hashes.append(_window_hashes(words, starts, window))
+                places.append(starts.astype(np.int32))
+            both = np.concatenate(hashes)
+            rows = pa.StructArray.from_arrays([pa.array(c) for c in (both[:, 0].copy(), both[:, 1].copy(), np.concatenate(places))], shape)
+            yield pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), rows)
+
+    return windows
+
+
 def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", window: int = 35, batches: int = 2, index: FingerprintIndex | None = None) -> DataFrame:
     """key, n_words, n_removed, kept_text, kept_sha256: every word covered by a window that starts anywhere else too goes.
 
     The documents join the index in batches by a hash of the row; what history and every batch hold decides about all of them.
-    Calls with one index must have one window.
+    index: what earlier calls with it brought counts as history, and this call's documents are history for later ones; without
+    one, an index is made for this call alone.
     """
-    lasting, index = index is not None, FingerprintIndex() if index is None else index
+    spark = docs.sparkSession
+    lasting = index is not None
+    index = index if lasting else FingerprintIndex(spark, f"{scratch_root(spark)}/index-{uuid.uuid4().hex}")
+    call = index.begin(window)
     # Row numbers depend on the partitions of the input: they are given once, and every later step reads this table.
-    base = saved(docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), F.col(text).alias("text")), "texts")
-    every = saved(anchors(base, window=window), "anchors")
+    number = F.monotonically_increasing_id() + F.lit(index.next_row)
+    base = index.store("texts", call, docs.select(number.alias("row"), F.col(key).alias("key"), F.col(text).alias("text")))
+    every = index.store("anchors", call, anchors(base, window=window))
     # A print repeats if some batch has it twice or meets it in history; the older occurrences are flagged by the same list.
     seen = [index.add(every.filter(F.pmod(F.xxhash64("row"), F.lit(batches)) == k)) for k in range(batches)]
     # As a table, so that both sides of the join are plain exchanges and adaptive execution can split a print with many occurrences.
     repeated = saved(reduce(DataFrame.unionByName, seen).distinct(), "repeated")
-    flags = every.join(repeated.hint("merge"), "print").groupBy("row").agg(F.collect_list("pos").alias("flags"))
-
-    @F.arrow_udf("struct<n_words:long,kept_sha256:string>")
-    def untouched(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in texts:
-            words = [(x.as_py() or b"").split() for x in batch.cast(pa.binary())]
-            yield pa.StructArray.from_arrays([pa.array([len(w) for w in words], pa.int64()), pa.array([_digest(w) for w in words], pa.string())], ["n_words", "kept_sha256"])
-
-    joined = saved(base.join(flags, "row", "left").withColumn("text", F.coalesce("text", F.lit(""))), "flagged")
-    for table in (base, every, repeated, *seen):
-        dropped(table)
+    flags_of = lambda occurrences: occurrences.join(repeated.hint("merge"), "print").groupBy("row").agg(F.collect_list("pos").alias("flags"))
+    joined = saved(base.join(flags_of(every), "row", "left").withColumn("text", F.coalesce("text", F.lit(""))), "flagged")
+    windows = _windows(window)
+    hashed = lambda rows, new: rows.select("row", F.explode(windows("text", "flags")).alias("w")).select("w.hash", "w.check", "row", "w.pos", F.lit(new).alias("new"))
     some, none = joined.filter("flags is not null"), joined.filter("flags is null")
+    checked = hashed(some, True)
+    if (before := index.earlier("anchors", every)) is not None:
+        texts = index.earlier("texts", base).select("row", "text")
+        checked = checked.unionByName(hashed(texts.join(saved(flags_of(before), "past"), "row"), False))
+    if lasting:
+        last = base.agg(F.max("row").alias("row")).first()["row"]
+        index.commit(call, index.next_row if last is None else last + 1)
+    else:
+        index.delete()
+        dropped(repeated)
+    for table in seen:
+        dropped(table)
 
-    # Flags of null ask for all windows.
-    @F.arrow_udf("array<struct<hash:long,check:int,pos:int>>")
-    def windows(pairs: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for texts, flagged in pairs:
-            sizes, cols = [0], ([], [], [])
-            for value, at in zip(texts.cast(pa.binary()), flagged, strict=True):
-                starts, h = _flagged_windows(value.as_py().split(), at.as_py(), window)
-                sizes.append(len(starts))
-                cols[0].append(_whole.of(h, window)[starts].view(np.int64))
-                cols[1].append((_check.of(h, window)[starts] >> np.uint64(33)).astype(np.int32))
-                cols[2].append(starts.astype(np.int32))
-            rows = pa.StructArray.from_arrays([pa.array(np.concatenate(c) if c else np.zeros(0, t)) for c, t in zip(cols, (np.int64, np.int32, np.int32), strict=True)], ["hash", "check", "pos"])
-            yield pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), rows)
-
-    checked = some.select("row", F.explode(windows("text", "flags")).alias("w")).select("w.hash", "w.check", "row", "w.pos")
     # Most flagged windows do repeat; only those that do not are sent on.
-    single = checked.groupBy("hash", "check").agg(F.count("*").alias("n"), F.min("row").alias("row"), F.min("pos").alias("pos")).filter("n = 1")
-    if lasting:
-        # History decides before this call's windows join it.
-        single = saved(index.windows.without_known(single), "single")
-        index.windows.add(joined.select(F.explode(windows("text", F.lit(None).cast("array<int>"))).alias("w")).select("w.hash", "w.check"))
+    single = checked.groupBy("hash", "check").agg(F.count("*").alias("n"), F.min("row").alias("row"), F.min("pos").alias("pos"), F.max("new").alias("new")).filter("n = 1 and new")
     free = single.groupBy("row").agg(F.collect_list("pos").alias("free"))
 
     @F.arrow_udf("struct<n_words:long,n_removed:long,kept_text:string,kept_sha256:string>")
@@ -204,7 +276,7 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
             out = []
             for value, at, let in zip(texts.cast(pa.binary()), flagged, free, strict=True):
                 words = value.as_py().split()
-                starts, _ = _flagged_windows(words, at.as_py(), window)
+                starts = _flagged_windows(words, at.as_py(), window)
                 starts = starts[~np.isin(starts, let.as_py())] if let.is_valid else starts
                 edge = np.zeros(len(words) + 1, np.int64)
                 np.add.at(edge, starts, 1)
@@ -214,6 +286,13 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
                 out.append({"n_words": len(words), "n_removed": len(words) - len(kept), "kept_text": b" ".join(kept).decode(), "kept_sha256": _digest(kept)})
             yield pa.array(out, pa.struct([("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string()), ("kept_sha256", pa.string())]))
 
+    @F.arrow_udf("struct<n_words:long,kept_sha256:string>")
+    def untouched(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in texts:
+            words = [(x.as_py() or b"").split() for x in batch.cast(pa.binary())]
+            yield pa.StructArray.from_arrays([pa.array([len(w) for w in words], pa.int64()), pa.array([_digest(w) for w in words], pa.string())], ["n_words", "kept_sha256"])
+
     cleaned = some.join(free, "row", "left").select("key", removed("text", "flags", "free").alias("r")).select("key", "r.*")
-    rest = none.select("key", untouched("text").alias("r"), F.array_join(F.filter(F.split("text", "[ \\t-\\r]+", -1), lambda w: w != ""), " ").alias("kept_text")).select("key", "r.n_words", F.lit(0).cast("long").alias("n_removed"), "kept_text", "r.kept_sha256")
+    kept_text = F.array_join(F.filter(F.split("text", "[ \\t-\\r]+", -1), lambda w: w != ""), " ")
+    rest = none.select("key", untouched("text").alias("r"), kept_text.alias("kept_text")).select("key", "r.n_words", F.lit(0).cast("long").alias("n_removed"), "kept_text", "r.kept_sha256")
     return cleaned.unionByName(rest).withColumnRenamed("key", key)
