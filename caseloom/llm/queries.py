@@ -43,7 +43,9 @@ def op4_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = merkle.compare_with_next(documents(spark, sf_dir).select("doc_id", "text"))
-    return found.select("doc_id", "n_chars", sha(F.col("edited_text")).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+    place = lambda e: F.concat_ws(".", e["section"].cast("string"), e["paragraph"].cast("string"))
+    edits = F.array_join(F.transform("edits", place), ",")
+    return found.select("doc_id", "n_chars", sha(F.col("edited_text")).alias("edited_sha256"), "fingerprint", "edited_fingerprint", edits.alias("edits"), "near_edited", "near_next")
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
