@@ -28,7 +28,6 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
@@ -43,17 +42,26 @@ _grams = Windows(0x9E3779B97F4A7C15)
 _hashes = WordHashes()
 
 
+def leftmost_least(values: np.ndarray, span: int) -> np.ndarray:
+    """For each stretch of ``span`` values the place of the least, the leftmost of equals: by doubling the width of stretches."""
+    least, at, width = values, np.arange(len(values)), 1
+
+    def joined(shift: int) -> tuple[np.ndarray, np.ndarray]:
+        right = least[shift:] < least[:-shift]
+        return np.where(right, least[shift:], least[:-shift]), np.where(right, at[shift:], at[:-shift])
+
+    while 2 * width <= span:
+        least, at = joined(width)
+        width *= 2
+    return joined(span - width)[1] if span > width else at
+
+
 def minimisers(words: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     """For each window the position of its minimiser, and the hashes of all grams."""
     if len(words) < window:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     grams = _grams.of(words, GRAM)
-    span = window - GRAM + 1
-    at = np.empty(len(words) - window + 1, np.int64)
-    for i in range(0, len(at), 1 << 16):  # long texts in parts
-        view = sliding_window_view(grams[i : i + (1 << 16) + span - 1], span)[: len(at) - i]
-        at[i : i + len(view)] = view.argmin(axis=1) + np.arange(i, i + len(view))
-    return at, grams
+    return leftmost_least(grams, window - GRAM + 1), grams
 
 
 def anchors(docs: DataFrame, *, key: str = "row", text: str = "text", window: int = 35) -> DataFrame:
