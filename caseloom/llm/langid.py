@@ -6,7 +6,7 @@ n-grams. Words are maximal runs of letters of the lower-cased text.
 
 The model is fitted on a bounded sample of labelled rows (``max_train_docs`` in expectation, chosen by a hash of the
 key, so the same rows whatever the partitioning) and holds at most ``max_words`` words and ``max_grams`` n-grams in
-all; that is the proven bound of what is broadcast. Prediction reads every whole text where it lies: no shuffle.
+all, a like share for each language; that is the proven bound of what is broadcast. Prediction reads every whole text where it lies: no shuffle.
 
 Defined results: null text or no letter -> ``und``, score 0. No labelled row at all -> ``und``, score 0 everywhere.
 Rows with a null key or a null label are predicted but never learnt from. Ties go to the language first in code
@@ -24,7 +24,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
+
+from .common import dropped, saved
 
 UNKNOWN = "und"
 N_MAX = 5
@@ -63,25 +64,24 @@ def fit(docs: DataFrame, *, text: str = "text", label: str = "lang", key: str =
         if seen:
             yield flush()
 
-    words = rows.select(text, label).mapInArrow(counted, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).persist()
+    words = saved(rows.select(text, label).mapInArrow(counted, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
+    grams = None
     try:
         totals = {r["lang"]: r["n"] for r in words.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
         langs = sorted(totals)
         if not langs:
             return {"langs": [], "words": {}, "grams": {}, "scores": np.zeros((0, 0), np.float32)}
         padded = F.concat(F.lit("^"), "word", F.lit("$"))
-        grams = words.select("lang", "n", padded.alias("w")).select(
+        all_grams = words.select("lang", "n", padded.alias("w")).select(
             "lang", "n", F.explode(F.flatten(F.transform(F.sequence(F.lit(1), F.lit(N_MAX)), lambda k: F.when(F.length("w") >= k, F.transform(F.sequence(F.lit(1), F.length("w") - k + 1), lambda i: F.substring(F.col("w"), i, k))).otherwise(F.array().cast("array<string>"))))).alias("word")
         ).groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
-        def top(df: DataFrame, most: int) -> list:
-            # The two limits bound the model, whatever the languages: a share for each, and the whole.
-            by = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
-            return df.filter("n > 1").withColumn("at", F.row_number().over(by)).filter(F.col("at") <= max(1, most // len(langs))).select("lang", "word", "n").collect()
-
-        top_words, top_grams = top(words, max_words), top(grams, max_grams)
+        grams = saved(all_grams, "grams")
+        top_words, top_grams = _top(words, langs, max_words), _top(grams, langs, max_grams)
     finally:
-        words.unpersist()
+        for table in (words, grams):
+            if table is not None:
+                dropped(table)
     at = {lang: i for i, lang in enumerate(langs)}
 
     def table(found: list, size_of, count_of) -> tuple[dict[str, int], np.ndarray]:
@@ -104,6 +104,30 @@ def fit(docs: DataFrame, *, text: str = "text", label: str = "lang", key: str =
     return {"langs": langs, "words": word_at, "grams": {g: i + len(word_at) for g, i in gram_at.items()}, "scores": np.vstack([word_scores, gram_scores]).astype(np.float32)}
 
 
+def _top(counts: DataFrame, langs: list[str], most: int) -> list:
+    """The most frequent words of each language: all with a count from which on they are at most ``most / len(langs)``.
+
+    The count is read from a histogram of counts, a few rows per language. Words of one count stay or go together, so nothing
+    is ranked and no language is sorted in one task.
+    """
+    often = counts.filter("n > 1")
+    histogram: dict[str, list[tuple[int, int]]] = {}
+    for r in often.groupBy("lang", "n").agg(F.count("*").alias("words")).collect():
+        histogram.setdefault(r["lang"], []).append((r["n"], r["words"]))
+    least = {}
+    for lang, found in histogram.items():
+        total, least[lang] = 0, 1 + max(n for n, _ in found)
+        for n, words in sorted(found, reverse=True):
+            total += words
+            if total > most // len(langs):
+                break
+            least[lang] = n
+    if not least:
+        return []
+    border = F.create_map(*[F.lit(x) for pair in least.items() for x in pair])
+    return often.filter(F.col("n") >= border[F.col("lang")]).select("lang", "word", "n").collect()
+
+
 class Scorer:
     """Scores texts in one worker."""
 
@@ -153,13 +177,24 @@ class Scorer:
         return self.langs[best], float(p[best] / p.sum())
 
 
+_scorers: dict[int, tuple[dict, Scorer]] = {}
+
+
+def _scorer(model: dict) -> Scorer:
+    """A worker's own, for the model that it met last: scores that it remembers serve its later tasks too."""
+    if id(model) not in _scorers:
+        _scorers.clear()
+        _scorers[id(model)] = (model, Scorer(model))
+    return _scorers[id(model)][1]
+
+
 def predict(docs: DataFrame, model: dict, *, text: str = "text") -> DataFrame:
     """docs with lang_pred and score; all rows and other columns stay."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf(T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
     def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        scorer = Scorer(sent.value)
+        scorer = _scorer(sent.value)
         for batch in batches:
             found = [scorer.text(x.as_py()) for x in batch]
             yield pa.StructArray.from_arrays([pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], ["lang_pred", "score"])
