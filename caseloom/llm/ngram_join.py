@@ -14,8 +14,9 @@ posterior Beta(m+1, k-m+1); a pair whose probability of reaching the threshold f
 stay are verified exactly on their shingle sets.
 
 Defined results: null text or no word -> no links; such a document is a class of its own. Repeated rows are documents of
-their own with equal text; an id is otherwise taken to name one document. Rows with a null id have no links and null ids of
-text and class. Extra columns are ignored.
+their own with equal text. An id names one document: where it stands on rows with different texts, the text whose
+shingle set has the least digest decides for all of them. Rows with a null id have no links and null ids of text and class.
+Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 
-from .common import saved
+from .common import dropped, saved
 from .components import components
 from .decontam import _FOLD
 from .hashing import Windows, WordHashes, mixed
@@ -159,11 +160,21 @@ def _common(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.n
     return shared[at[left], at[right]].astype(np.int64)
 
 
+def _one_text_each(rows: pd.DataFrame) -> pd.DataFrame:
+    """Where an id came with several texts, the one that its shingle set's digest was made of."""
+    member = ["grp", "by_band", "id"]
+    several = rows.duplicated(member, keep=False)
+    if not several.any():
+        return rows
+    right = [not s or xxh3_128_digest(shingles(t).tobytes()) == same for s, t, same in zip(several, rows["text"], rows["same"], strict=True)]
+    return rows[right].drop_duplicates(member)
+
+
 def _compared(threshold: float, tolerance: float):
     """Links of one unit of work: a row per document with a link, its weighted number and the least linked document."""
 
     def unit(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["grp", "by_band", "id"], ignore_index=True)
+        rows = _one_text_each(rows).sort_values(["grp", "by_band", "id"], ignore_index=True)
         sigs = np.frombuffer(b"".join(rows["sig"]), np.uint32).reshape(-1, VALUES)
         ids, side, copies, band = rows["id"].to_numpy(), rows["side"].to_numpy(), rows["copies"].to_numpy(), rows["band"].to_numpy()
         texts: list[str] = rows["text"].tolist()
@@ -255,19 +266,23 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     documents at or above the threshold, copies counted one by one. n_texts: other texts at or above it.
     """
     every = saved(signed(docs, key=key, text=text), "signatures")
-    texts = every.filter("n > 0 and id is not null").groupBy("same").agg(F.min("id").alias("text_id"), F.count("*").alias("copies"))
-    texts = saved(texts, "texts")
+    owners = saved(every.filter("n > 0 and id is not null").groupBy("id").agg(F.min("same").alias("same"), F.count("*").alias("rows")), "owners")
+    texts = saved(owners.groupBy("same").agg(F.min("id").alias("text_id"), F.sum("rows").alias("copies")), "texts")
     first = texts.withColumnRenamed("text_id", "id")
     # A repeated id has one row here: its rows of that set are equal.
-    distinct = saved(every.filter("n > 0").join(first.select("same", "id", "copies"), ["same", "id"]).select("id", "same", "copies", "sig").dropDuplicates(["same", "id"]), "distinct")
+    distinct = saved(every.filter("n > 0").join(first, ["same", "id"]).select("id", "same", "copies", "sig").dropDuplicates(["same", "id"]), "distinct")
     units = saved(_units(_groups(distinct)), "units")
-    needed = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).hint("merge").join(units.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
-    work = units.join(distinct.drop("same"), "id").join(needed, "id")
+    asked = units.select("id").distinct()
+    # The same merge join at every size: were the ids sent round while they are few, the plan would change as the corpus grows.
+    needed = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).hint("merge").join(asked, "id", "left_semi").dropDuplicates(["id", "text"])
+    work = units.join(distinct, "id").join(needed, "id")
     found = saved(work.groupBy("unit").applyInPandas(_compared(threshold, tolerance), "id long, links long, texts long, root long"), "links")
-    classes = components(found.select("id", "root"), "id", "root")
-    counted = found.groupBy("id").agg(F.sum("links").alias("links"), F.sum("texts").alias("n_texts"))
-    per_text = texts.join(counted.withColumnRenamed("id", "text_id"), "text_id", "left").join(classes.select(F.col("node").alias("text_id"), "component"), "text_id", "left")
-    rows = every.select("id", F.when(F.col("id").isNotNull(), F.col("same")).alias("same")).join(per_text, "same", "left")
+    classes = saved(components(found.select("id", "root"), "id", "root").select(F.col("node").alias("text_id"), "component"), "classes")
+    counted = found.groupBy("id").agg(F.sum("links").alias("links"), F.sum("texts").alias("n_texts")).withColumnRenamed("id", "text_id")
+    per_text = texts.join(counted, "text_id", "left").join(classes, "text_id", "left")
+    rows = saved(every.select("id").join(owners.select("id", "same").join(per_text, "same"), "id", "left").drop("same"), "rows")
+    for table in (every, owners, texts, distinct, units, found, classes):
+        dropped(table)
     return rows.select(
         "id", F.coalesce("text_id", "id").alias("text_id"), F.coalesce("component", "text_id", "id").alias("class_id"),
         (F.coalesce("links", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1).alias("n_links"), F.coalesce("n_texts", F.lit(0)).alias("n_texts"),
