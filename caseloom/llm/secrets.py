@@ -10,10 +10,11 @@ of one case, are likely at this length. They are combined by Bonferroni (four ti
 
 False discoveries are controlled by length class with decoys: all ordinary words of all documents, joined without space and
 cut into stretches of every candidate length up to 255, are put through the same battery, and within a class a p-value cutoff is the lowest at which decoys that pass are at most
-``fdr`` of candidates that pass. The counts behind it cover all rows; only a table of length classes by score bins (of
+``fdr`` of candidates that pass. A class without decoys is judged by those of all classes together; a corpus without any word to
+make decoys of can't be controlled, so nothing beyond base spans is reported. The counts behind it cover all rows; only a table of length classes by score bins (of
 fixed size) reaches the driver.
 
-Defined results: null text -> empty: no spans. Overlaps of kinds are all reported; within a kind matches are leftmost
+Defined results: null text -> empty: no spans. Repeated rows are rows of their own. Columns named like an output are replaced. Overlaps of kinds are all reported; within a kind matches are leftmost
 and do not overlap. Positions are code points, end exclusive. No candidates at all -> only base spans.
 """
 
@@ -22,7 +23,9 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -125,8 +128,12 @@ def score_bin(p: float) -> int:
 def candidates(s: str, base: list[tuple[int, int, int]], min_len: int = 20) -> list[tuple[int, int, int]]:
     """(start, end, score bin) of the candidates outside base spans."""
 
+    # Base spans come sorted by their start; of those that start before a place the furthest end tells of an overlap.
+    starts, furthest = [x for x, _, _ in base], list(accumulate((y for _, _, y in base), max))
+
     def scored(a: int, e: int) -> list[tuple[int, int, int]]:
-        if e - a < min_len or any(x < e and a < y for x, _, y in base):
+        before = bisect_left(starts, e)
+        if e - a < min_len or (before and furthest[before - 1] > a):
             return []
         return [(a, e, score_bin(battery(s[a:e], _HOPELESS)))]
 
@@ -176,15 +183,23 @@ def cutoffs(found: DataFrame, *, fdr: float = 0.05, least_bin: int = LEAST_BIN)
     real = found.select(F.explode("more").alias("x")).select((F.col("x.cls") * BINS + F.col("x.bin")).alias("cell"), F.lit(0).alias("decoy"))
     decoy = found.select(F.explode("decoys").alias("cell"), F.lit(1).alias("decoy"))
     cells = {(r["decoy"], r["cell"]): r["n"] for r in real.unionByName(decoy).groupBy("decoy", "cell").agg(F.count("*").alias("n")).collect()}
+    return _least_bins(cells, fdr, least_bin)
+
+
+def _least_bins(cells: dict[tuple[int, int], int], fdr: float, least_bin: int) -> list[int]:
+    """From counts by (decoy, class * BINS + bin)."""
+    by_class = [[[cells.get((d, c * BINS + b), 0) for b in range(BINS)] for c in range(len(CLASSES))] for d in (0, 1)]
+    every_decoy = [sum(of) for of in zip(*by_class[1], strict=True)]
     out = []
-    for c in range(len(CLASSES)):
-        of = [[cells.get((d, c * BINS + b), 0) for b in range(BINS)] for d in (0, 1)]
-        all_real, all_decoys = sum(of[0]), sum(of[1])
-        scale, best = all_real / all_decoys if all_decoys else 0.0, BINS
-        for b in range(BINS - 1, least_bin - 1, -1):
-            passing = sum(of[0][b:])
-            if passing and sum(of[1][b:]) * scale <= fdr * passing:
-                best = b
+    for real, decoys in zip(*by_class, strict=True):
+        decoys = decoys if any(decoys) else every_decoy
+        best = BINS
+        if any(decoys):
+            scale = sum(real) / sum(decoys)
+            for b in range(BINS - 1, least_bin - 1, -1):
+                passing = sum(real[b:])
+                if passing and sum(decoys[b:]) * scale <= fdr * passing:
+                    best = b
         out.append(best)
     return out
 
