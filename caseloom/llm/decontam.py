@@ -10,7 +10,7 @@ several parts the documents are searched once for each and the hits join in the
 so only one part is held at a time.
 
 Defined results: null text -> no words, no hits. Items without words match nothing. Repeated items count once per
-item_id. An empty benchmark -> nothing is contaminated.
+item_id. An item with a null id marks the words of its occurrences like others, but has no id to be listed or counted by. An empty benchmark -> nothing is contaminated.
 """
 
 from __future__ import annotations
@@ -64,13 +64,15 @@ class WuManber:
             at += 1
 
 
-def tables(items: list[tuple[str, bytes]], window: int) -> list[WuManber]:
+def tables(items: list[tuple[str | None, bytes]], window: int) -> list[WuManber]:
     by_length: dict[int, dict[tuple[bytes, ...], set[str]]] = {}
     for item, text in items:
         words = tuple(words_of(text))
         n = min(window, len(words))
         for i in range(len(words) - n + 1 if n else 0):
-            by_length.setdefault(n, {}).setdefault(words[i : i + n], set()).add(item)
+            named = by_length.setdefault(n, {}).setdefault(words[i : i + n], set())
+            if item is not None:
+                named.add(item)
     return [WuManber(p) for p in by_length.values()]
 
 
@@ -118,7 +120,7 @@ def _searcher(sent):
 def hits(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = 13, part_bytes: int = 32 << 20) -> DataFrame:
     """docs with n_words, n_hit, items (array of item ids as strings, sorted) and hit_spans (word positions, end exclusive)."""
     spark = docs.sparkSession
-    source = benchmark.filter(F.col(item_text).isNotNull() & F.col(item).isNotNull()).select(F.col(item).cast("string").alias("item"), F.col(item_text).cast("binary").alias("bytes"))
+    source = benchmark.filter(F.col(item_text).isNotNull()).select(F.col(item).cast("string").alias("item"), F.col(item_text).cast("binary").alias("bytes"))
     held = source.agg(F.coalesce(F.sum(F.length("bytes")), F.lit(0)).alias("n")).first()["n"]
     parts = max(1, math.ceil(2 * held / part_bytes)) if held > part_bytes else 1
     kept = [c for c in docs.columns if c not in ("_hits", "n_words", "n_hit", "items", "hit_spans")]

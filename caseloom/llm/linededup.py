@@ -2,7 +2,7 @@
 
 Within a host, a line's ratio is the number of pages that contain it over the number of pages of the host. Lines with a
 ratio above ``max_ratio`` on at least ``min_pages`` pages are boilerplate and go from every page of that host; a line
-that is boilerplate on one host stays on the others. Lines are compared trimmed of blanks, by a 64-bit hash within the
+that is boilerplate on one host stays on the others. Lines are compared trimmed of blanks, by their 128-bit digest within the
 host; blank lines are never boilerplate.
 
 Counts are pre-aggregated before their one shuffle, keyed by (host, line), so a hot host or line is spread. The lines found are few
@@ -28,7 +28,7 @@ def lines_of(text: Column) -> Column:
 
 
 def line_key(line: Column) -> Column:
-    return F.xxhash64(F.btrim(line, F.lit(BLANK)))
+    return F.md5(F.btrim(line, F.lit(BLANK)))
 
 
 def host_of(url: Column) -> Column:
@@ -55,7 +55,7 @@ def drop_boilerplate(pages: DataFrame, *, host: str = "source", text: str = "tex
         by_host = found.groupBy(F.col("host").alias("_host")).agg(F.collect_list("line").alias("_bad"))
         joined = pages.join(F.broadcast(by_host), "_host", "left")
         joined = joined.withColumn("_lines", lines_of(F.col(text)))
-        bad = F.coalesce("_bad", F.array().cast("array<bigint>"))
+        bad = F.coalesce("_bad", F.array().cast("array<string>"))
         kept = F.filter("_lines", lambda x: (F.btrim(x, F.lit(BLANK)) == "") | ~F.array_contains(bad, line_key(x)))
         out = joined.withColumn("_kept", F.when(F.size(bad) == 0, F.col("_lines")).otherwise(kept))
         return _shaped(out, columns, text)

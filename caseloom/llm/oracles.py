@@ -38,14 +38,24 @@ def _tree(text: str) -> str:
     return f"list_transform(string_split({text}, chr(10) || chr(10)), lambda s: list_transform(string_split(s, chr(10)), lambda p: list_transform(regexp_extract_all(p, '[^.!?]{{1,{LEAF}}}[.!?]*|[.!?]+', 0), lambda x: sha256(x))))"
 
 
+def _paragraphs(tree: str) -> str:
+    return f"list_transform({tree}, lambda s: list_transform(s, lambda p: sha256(array_to_string(p, ''))))"
+
+
+def _sections(tree: str) -> str:
+    return f"list_transform({_paragraphs(tree)}, lambda s: sha256(array_to_string(s, '')))"
+
+
 def _print(tree: str) -> str:
-    root = f"sha256(array_to_string(list_transform({tree}, lambda s: sha256(array_to_string(list_transform(s, lambda p: sha256(array_to_string(p, ''))), ''))), ''))"
+    root = f"sha256(array_to_string({_sections(tree)}, ''))"
     leaves = f"array_to_string(list_transform({tree}, lambda s: array_to_string(list_transform(s, lambda p: array_to_string(list_transform(p, lambda x: substr(x, 1, 8)), '.')), ',')), ';')"
-    return f"{root} || ':' || {leaves}"
+    paragraphs = f"array_to_string(list_transform({_paragraphs(tree)}, lambda s: array_to_string(list_transform(s, lambda p: substr(p, 1, 16)), '.')), ';')"
+    sections = f"array_to_string(list_transform({_sections(tree)}, lambda s: substr(s, 1, 16)), '.')"
+    return f"{root} || ':' || {leaves} || ':' || {paragraphs} || ':' || {sections}"
 
 
 def _like(a: str, b: str) -> str:
-    leaves = lambda f: f"list_distinct(list_filter(string_split_regex(substr({f}, 66), '[.,;]'), lambda x: x <> ''))"
+    leaves = lambda f: f"list_distinct(list_filter(string_split_regex(split_part({f}, ':', 2), '[.,;]'), lambda x: x <> ''))"
     both = f"(len({leaves(a)}) + len({leaves(b)}))"
     return f"CASE WHEN substr({a}, 1, 64) = substr({b}, 1, 64) THEN 1.0::DOUBLE WHEN {both} = 0 THEN 0.0::DOUBLE ELSE 2.0::DOUBLE * len(list_intersect({leaves(a)}, {leaves(b)})) / {both} END"
 
@@ -54,8 +64,14 @@ FINGERPRINTS = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM docume
     n AS (SELECT doc_id, t, coalesce(lead(t) OVER (ORDER BY doc_id), first_value(t) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS nt FROM d),
     e AS (SELECT doc_id, t, nt, substr(t, 1, length(t) - length(t) // 4) || substr(nt, 1, length(t) // 4) AS et FROM n),
     k AS (SELECT doc_id, t, et, {_tree('t')} AS a, {_tree('et')} AS b, {_tree('nt')} AS c FROM e),
-    f AS (SELECT doc_id, t, et, {_print('a')} AS fp, {_print('b')} AS ep, {_print('c')} AS np FROM k)
-    SELECT doc_id, length(t) AS n_chars, sha256(et) AS edited_sha256, fp AS fingerprint, ep AS edited_fingerprint, {_like('fp', 'ep')} AS near_edited, {_like('fp', 'np')} AS near_next FROM f"""
+    f AS (SELECT doc_id, t, et, {_print('a')} AS fp, {_print('b')} AS ep, {_print('c')} AS np FROM k),
+    bs AS (SELECT doc_id, i - 1 AS s, {_sections('b')}[i] AS sd, {_paragraphs('b')}[i] AS pd FROM (SELECT doc_id, b, unnest(range(1, len(b) + 1)) AS i FROM k)),
+    bp AS (SELECT doc_id, s, sd, i - 1 AS p, pd[i] AS d FROM (SELECT doc_id, s, sd, pd, unnest(range(1, len(pd) + 1)) AS i FROM bs)),
+    sa AS (SELECT DISTINCT doc_id, unnest({_sections('a')}) AS d FROM k),
+    pa AS (SELECT DISTINCT doc_id, unnest(flatten({_paragraphs('a')})) AS d FROM k),
+    x AS (SELECT doc_id, string_agg(CAST(s AS VARCHAR) || '.' || CAST(p AS VARCHAR), ',' ORDER BY s, p) AS edits FROM bp
+        WHERE NOT EXISTS (SELECT 1 FROM sa WHERE sa.doc_id = bp.doc_id AND sa.d = bp.sd) AND NOT EXISTS (SELECT 1 FROM pa WHERE pa.doc_id = bp.doc_id AND pa.d = bp.d) GROUP BY doc_id)
+    SELECT f.doc_id, length(t) AS n_chars, sha256(et) AS edited_sha256, fp AS fingerprint, ep AS edited_fingerprint, coalesce(x.edits, '') AS edits, {_like('fp', 'ep')} AS near_edited, {_like('fp', 'np')} AS near_next FROM f LEFT JOIN x ON x.doc_id = f.doc_id"""
 
 SUBSTRINGS = f"""WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_SPACE}') AS ws FROM documents),
     v AS (SELECT doc_id, i, md5(array_to_string(ws[i:i + 34], ' ')) AS h FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 33)) AS i FROM w WHERE len(ws) >= 35)),
@@ -73,7 +89,7 @@ DECONTAMINATION = f"""WITH i AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp
     v AS (SELECT doc_id, n, j, array_to_string(ws[j:j + n - 1], ' ') AS h FROM (SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS j FROM d, sizes WHERE len(ws) >= n)),
     o AS (SELECT v.doc_id, v.j, v.n, p.item FROM v JOIN p ON p.n = v.n AND p.h = v.h),
     c AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(j, j + n)) AS k FROM o) GROUP BY doc_id),
-    m AS (SELECT doc_id, list_sort(list(DISTINCT item)) AS items FROM o GROUP BY doc_id)
+    m AS (SELECT doc_id, list_sort(list(DISTINCT item) FILTER (WHERE item IS NOT NULL)) AS items FROM o GROUP BY doc_id)
     SELECT d.doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(len(items), 0) AS n_items, sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
     FROM d LEFT JOIN c ON c.doc_id = d.doc_id LEFT JOIN m ON m.doc_id = d.doc_id"""
 

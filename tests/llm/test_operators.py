@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from caseloom.llm import components, decontam, langid, linededup, merkle, ngram_join, packing, secrets, substring_index, tokencount, warc
+from caseloom.llm import chunk_ids, components, decontam, langid, linededup, merkle, ngram_join, packing, secrets, substring_index, tokencount, warc
 from caseloom.llm.queries import tokenizer_file
 
 from .cases import by_id, documents, empty, rows, words
@@ -140,7 +140,6 @@ def test_join_in_blocks(spark, monkeypatch, block):
 
 def test_join_by_single_buckets(spark, monkeypatch):
     """Where components are too wide, each bucket is compared by itself and no pair twice."""
-    real = ngram_join._groups
 
     def split(texts):
         bands = ngram_join._bands(texts.select("id", "sig"))
@@ -149,7 +148,32 @@ def test_join_by_single_buckets(spark, monkeypatch):
 
     monkeypatch.setattr(ngram_join, "_groups", split)
     _check_join(spark, dict(enumerate(_variants(5, 25, 100, 3))))
-    assert real is not split
+
+
+def test_wide_components_are_split_into_buckets(spark):
+    """A chain of texts, each like the next alone, is one component of many small buckets."""
+    w, texts = words(21, 700).split(), {}
+    for i in range(150):
+        texts[i] = " ".join(w[4 * i : 4 * i + 90])
+    groups = ngram_join._groups(_distinct(spark, texts))
+    kinds = {r["by_band"] for r in groups.select("by_band").distinct().collect()}
+    assert True in kinds
+    _check_join(spark, texts)
+
+
+def _distinct(spark, texts):
+    return ngram_join.signed(some(spark, *texts.items())).withColumn("copies", F.lit(1)).select("id", "same", "copies", "sig")
+
+
+def test_an_id_with_several_texts(spark):
+    """The text whose shingles have the least digest decides, whatever the order of the rows."""
+    a, b = words(31, 60), words(32, 60)
+    first = min((a, b), key=lambda t: ngram_join.xxh3_128_digest(ngram_join.shingles(t).tobytes()))
+    other = b if first == a else a
+    pairs = [(1, a), (1, b), (2, first + " x"), (3, other + " x"), (1, a), (1, None)]
+    for order in (pairs, pairs[::-1]):
+        got = Counter((r["id"], r["class_id"], r["n_links"]) for r in ngram_join.near_duplicates(some(spark, *order).repartition(2)).collect())
+        assert got == Counter({(1, 1, 3): 4, (2, 1, 3): 1, (3, 3, 0): 1})
 
 
 def test_join_on_odd_rows(spark):
@@ -243,21 +267,40 @@ def test_fingerprints(spark):
     assert merkle.compare_with_next(documents(spark)).count() == len(rows())
 
 
-def test_fingerprint_locates_edits(spark):
-    a = "One. Two.\n\nThree. Four.\n\nFive. Six."
-    df = spark.createDataFrame([(a, a.replace("Four", "For"), a + "\n")], "a string, b string, c string")
-    for c in "abc":
+def test_fingerprint_descent_finds_exactly_the_edited_branches(spark):
+    a = "One. Two.\n\nThree. Four.\nMore. Text here.\n\nFive. Six.\n\nTail"
+    edited = a.replace("Text here", "Text there").replace("Six", "Sicks")
+    df = spark.createDataFrame([(a, edited, a + "\n", "New. Start.\n\n" + a, "")], "a string, b string, c string, d string, e string")
+    for c in "abcde":
         df = merkle.with_fingerprint(df, c, f"f{c}")
-    row = df.select("fa", "fb", "fc", merkle.differing_sections(F.col("fa"), F.col("fb")).alias("d"), merkle.likeness(F.col("fa"), F.col("fb")).alias("l")).first()
-    assert row["d"] == [1] and 0.5 < row["l"] < 1
-    assert len({row["fa"], row["fb"], row["fc"]}) == 3
-
-
-def test_next_keys_over_parts(spark):
-    keys = [3, 1, 10, 7, 8, 100, 55, -4]
-    got = {r["k"]: r["next_key"] for r in merkle.next_keys(spark.createDataFrame([(k,) for k in keys], "k long"), "k").collect()}
-    order = sorted(keys)
-    assert got == dict(zip(order, order[1:] + order[:1], strict=True))
+    at = lambda x, y: [(e["section"], e["paragraph"], e["leaves"]) for e in merkle.with_edits(df, x, y, "d").first()["d"]]
+    assert at("fb", "fa") == at("fa", "fb") == [(1, 1, [1]), (2, 0, [1])]
+    assert at("fa", "fa") == []
+    assert at("fc", "fa") == [(3, 1, [])] and at("fa", "fc") == []
+    assert at("fd", "fa") == [(0, 0, [0, 1])] and at("fa", "fd") == []  # what is inserted does not shift the rest
+    assert at("fe", "fa") == [(0, 0, [])] and len(at("fa", "fe")) == 5
+    row = df.select("fa", "fb", "fc", merkle.likeness(F.col("fa"), F.col("fb")).alias("l")).first()
+    assert 0.5 < row["l"] < 1 and len({row["fa"], row["fb"], row["fc"]}) == 3
+
+
+def test_ranges(spark):
+    keys = spark.createDataFrame([(k,) for k in [3, 1, 10, 7, 8, 100, 55, -4, None, 7]], "k long")
+    starts = merkle.range_starts(keys, "k", 3)
+    assert starts[0] == -4 and len(starts) == 3
+    found = keys.filter("k is not null").select("k", merkle.part_of(F.col("k"), F.lit(starts), 3).alias("p")).collect()
+    assert all(r["p"] == sum(x <= r["k"] for x in starts) - 1 for r in found)
+    assert merkle.range_starts(keys.limit(0), "k", 3) == []
+
+
+@pytest.mark.parametrize("parts", [1, 3, 50])
+def test_next_document_over_parts(spark, parts):
+    texts = {k: f"t{k}" for k in [3, 1, 10, 7, 8, 100, 55, -4]}
+    got = merkle.with_next(some(spark, *texts.items(), (7, "a first text of 7"), (None, "x"), (None, None)).repartition(4), parts=parts).collect()
+    order = sorted(texts)
+    want = {(k, texts[k], "a first text of 7" if n == 7 else texts[n]) for k, n in zip(order, order[1:] + order[:1], strict=True)}
+    assert {tuple(r[c] for c in ("_id", "_text", "next_text")) for r in got} == want | {(7, "a first text of 7", "t8"), (None, "x", None), (None, "", None)}
+    assert len(got) == 11
+    assert [r["next_text"] for r in merkle.with_next(some(spark, (1, "only")), parts=parts).collect()] == ["only"]
 
 
 # --- 6
@@ -282,6 +325,13 @@ def test_substrings_equal_brute_force(spark, batches):
     assert all(sha(r["kept_text"]) == r["kept_sha256"] for r in got.collect())
 
 
+def test_leftmost_least():
+    rng = np.random.default_rng(2)
+    for n, span in ((1, 1), (40, 28), (28, 28), (100, 7), (64, 16), (50, 1)):
+        v = rng.integers(0, 6, n).astype(np.uint64)
+        assert substring_index.leftmost_least(v, span).tolist() == [i + int(v[i : i + span].argmin()) for i in range(n - span + 1)]
+
+
 def test_substrings_on_edited_copies(spark):
     texts = list(enumerate(_variants(7, 20, 200, 6) + _variants(8, 3, 34, 0) + _variants(9, 3, 35, 0) + ["x y " * 60, words(99, 300) * 2]))
     got = substring_index.remove_repeats(some(spark, *texts))
@@ -315,27 +365,44 @@ def test_substrings_when_the_splits_of_the_input_change(spark, tmp_path, monkeyp
     assert sorted((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got) == _repeats(texts)
 
 
-def test_substrings_repeat_text_of_earlier_calls(spark):
-    """Each call with one index sees what it and the calls before it hold, and no more."""
-    index, before = substring_index.FingerprintIndex(), []
-    calls = [[(0, words(50, 200)), (1, words(51, 30))], [(2, words(52, 40) + " " + " ".join(words(50, 200).split()[60:120]) + " " + words(53, 40)), (3, words(54, 90)), (4, None)], [(5, words(54, 90)), (6, words(50, 200)), (7, words(55, 90))]]
+def test_substrings_repeat_text_of_earlier_sessions(spark, tmp_path):
+    """Each call with one index, opened anew, equals brute force over it and the calls before it."""
+    before, path = [], f"file://{tmp_path}/index"
+    inside = words(50, 200).split()[60:120]
+    calls = [
+        [(0, words(50, 200)), (1, words(51, 30)), (9, " ".join(f"h{i}" for i in range(80)))],
+        [(2, words(52, 40) + " " + " ".join(inside) + " " + words(53, 40)), (3, words(54, 90)), (4, None), (10, " ".join(f"h{i}" for i in range(80)))],
+        [(5, words(54, 90)), (6, words(50, 200)), (7, words(55, 90))],
+        [],
+    ]
     for texts in calls:
-        got = substring_index.remove_repeats(some(spark, *texts), index=index)
+        index = substring_index.FingerprintIndex(spark, path, buckets=3)
+        got = substring_index.remove_repeats(spark.createDataFrame(texts, "doc_id long, text string"), index=index)
         before += texts
         asked = {k for k, _ in texts}
         assert sorted((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got.collect()) == [r for r in _repeats(before) if r[0] in asked]
+        index.close()
+    with pytest.raises(ValueError):
+        substring_index.remove_repeats(some(spark, (1, "a")), window=20, index=substring_index.FingerprintIndex(spark, path))
 
 
-def test_index_runs_merge_and_find_history(spark):
-    index = substring_index.FingerprintIndex()
+def test_index_runs_merge_without_exchange_or_sort(spark, tmp_path):
+    index = substring_index.FingerprintIndex(spark, f"file://{tmp_path}/index")
+    index.begin(35)
     batch = lambda *prints: spark.createDataFrame([(p, 0, 0) for p in prints], "print long, row long, pos int")
     for k in range(5):
         assert {r["print"] for r in index.add(batch(k, k, 100)).collect()} == ({k} if k == 0 else {k, 100})
     assert [len(x) for x in index.levels] == [1, 0, 1]
+    with substring_index._sorted_scans(spark):
+        rows = index.merged(*index.runs)
+        rows.collect()
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan and "Sort [" not in plan
     assert {r["print"] for r in index.add(batch(3, 77, 78, 78)).collect()} == {3, 78}
     assert [len(x) for x in index.levels] == [0, 1, 1]
-    runs = [r for run in index.runs for r in run.collect()]
+    runs = [r for run in index.runs for r in spark.table(run).collect()]
     assert sum(r["n"] for r in runs if r["print"] == 100) == 5 and sum(r["n"] for r in runs if r["print"] == 3) == 3
+    index.delete()
 
 
 # --- 7
@@ -365,6 +432,23 @@ def test_packing(spark):
     assert packing.pieces(documents(spark), tokenizer_file(WORDS)).count() == sum(want.values())
 
 
+def test_ids_of_odd_texts_equal_the_library():
+    encoder = tokencount.tokenizer(tokenizer_file(WORDS))
+    texts = ["A\u0331B H\u0331 \u1e96 T\u0308 t\u0308", "İstanbul ΣΑΣ", "a\x1cb \x1f c\x85d e", "<|EndOfText|> x <|endoftext|>", "it's IT'S we'LL", "\u212b Å K", "x\u3000y z", "", "  ", *[r[1] or "" for r in rows()]]
+    ids = chunk_ids.ChunkIds(tokenizer_file(WORDS))
+    for _ in range(2):
+        assert ids.of([t.encode() for t in texts]) == [np.array(encoder.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_local_search_ends_at_a_fixed_point(seed):
+    size = np.random.default_rng(seed).integers(400, 1500, 40)
+    done = packing.local_search([[i] for i in range(40)], size, 2048)
+    search = packing._Search(done, size, 2048)
+    assert sorted(i for b in done for i in b) == list(range(40)) and all(size[b].sum() <= 2048 for b in done)
+    assert len(done) == -(-size.sum() // 2048) or not any(search.improve(b) for b in range(len(done)) if search.fill[b] < 2048)
+
+
 def test_local_search_empties_bins():
     size = np.array([6, 4, 5, 5, 3, 7, 2, 8])
     worse = [[i] for i in range(len(size))]
@@ -469,6 +553,14 @@ def test_decontamination_equals_brute_force(spark, part_bytes):
     assert decontam.hits(documents(spark), bench.limit(0)).agg(F.sum("n_hit")).first()[0] == 0
 
 
+def test_items_without_an_id_mark_words(spark):
+    bench = spark.createDataFrame([(None, "one two"), (3, "one two"), (None, None)], "item_id long, text string")
+    got = {r["doc_id"]: (r["n_hit"], r["items"]) for r in decontam.hits(some(spark, (1, "zero ONE two"), (2, None)), bench).collect()}
+    assert got == {1: (2, ["3"]), 2: (0, [])}
+    got = decontam.hits(some(spark, (1, "zero ONE two")), bench.filter("item_id is null")).first()
+    assert (got["n_hit"], got["items"]) == (2, [])
+
+
 def test_wu_manber_skips_and_finds():
     import random
 
