@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from caseloom.llm import decontam, langid, linededup, ngram_join, packing
 from caseloom.llm.common import documents, scratch_root
@@ -33,11 +34,17 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the least id stays; texts without words have no duplicates."""
+    """Of each group of near duplicates the document with the least id stays, on one row; texts without words have no duplicates.
+
+    Of rows that repeat that id the one with the first text stays. Rows without an id stay.
+    """
     ship(spark)
-    found = ngram_join.near_duplicates(docs).filter("id = class_id or class_id is null").select(F.col("id").alias("_id"))
-    stays = found.filter("_id is not null").distinct()
-    return docs.join(stays, docs["doc_id"] == stays["_id"], "left_semi").select(*COLUMNS).unionByName(docs.filter("doc_id is null").select(*COLUMNS))
+    docs = docs.select(*COLUMNS)
+    stays = ngram_join.near_duplicates(docs).filter("id = class_id").groupBy(F.col("id").alias("doc_id")).agg(F.count("*").alias("_rows"))
+    once = docs.join(stays.filter("_rows = 1"), "doc_id", "left_semi")
+    first = Window.partitionBy("doc_id").orderBy(F.asc_nulls_last("text"), "lang", "source", "n_chars")
+    repeated = docs.join(stays.filter("_rows > 1"), "doc_id", "left_semi").withColumn("_n", F.row_number().over(first)).filter("_n = 1")
+    return once.unionByName(repeated.select(*COLUMNS)).unionByName(docs.filter("doc_id is null")).select(*COLUMNS)
 
 
 def benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
