@@ -1,5 +1,7 @@
 """Each stage of the pipeline on its own input against a plain version."""
 
+from collections import Counter
+
 import corpus_pipeline
 from pyspark.sql import functions as F
 
@@ -23,10 +25,30 @@ def test_language_stage_drops_only_what_has_no_language(spark, sf_dir):
 
 
 def test_near_stage_keeps_one_of_each_group(spark, sf_dir):
-    docs = documents(spark, extra=False).dropDuplicates(["doc_id"])
+    docs = documents(spark, extra=False)
     links = _links({r[0]: r[1] for r in rows()})
-    got = {r["doc_id"] for r in corpus_pipeline.near(spark, docs, sf_dir).collect()}
-    assert got == {i for i, x in links.items() if not x or i < min(x)}
+    got = sorted(r["doc_id"] for r in corpus_pipeline.near(spark, docs, sf_dir).collect())
+    assert got == sorted(i for i, x in links.items() if not x or i < min(x))
+    nulls = docs.limit(3).withColumn("doc_id", F.lit(None).cast("long"))
+    assert corpus_pipeline.near(spark, docs.unionByName(nulls), sf_dir).count() == len(got) + 3
+
+
+def test_line_stage_against_a_plain_version(spark, sf_dir):
+    pages = [(r["doc_id"], r["source"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    pages += [(10_000 + i, "s", f"menu\nown {i}\n home ") for i in range(8)] + [(20_000, None, None)]
+    total, seen = Counter(s for _, s, _ in pages), Counter()
+    lines = lambda t: t.split("\n") if t else []
+    for _, source, text in pages:
+        seen.update({(source, x.strip(" \t\r")) for x in lines(text)})
+    goes = lambda s, x: x != "" and seen[s, x] >= 5 and seen[s, x] > 0.1 * total[s]
+    want = {k: "\n".join(x for x in lines(t) if not goes(s, x.strip(" \t\r"))) for k, s, t in pages}
+    df = spark.createDataFrame([(k, t, "en", s, 0) for k, s, t in pages], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.lines(spark, df, sf_dir).collect()
+    assert {r["doc_id"]: r["text"] for r in got} == want and all(r["n_chars"] == len(r["text"]) for r in got)
+
+
+def test_last_stage_on_an_empty_table(spark, sf_dir):
+    assert corpus_pipeline.packed(spark, empty(spark), sf_dir).count() == 0
 
 
 def test_benchmark_stage_follows_the_rule(spark, sf_dir):
