@@ -2,20 +2,28 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once, however often and in whatever lambdas use mentions it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def text_or(c: Column, other: str = "") -> Column:
     return F.coalesce(c, F.lit(other))
 
 
 def strip(c: Column) -> Column:
     """All white space at both ends, not blanks alone."""
-    return F.regexp_replace(c, r"^\s+|\s+\z", "")
+    return F.regexp_replace(c, r"(?U)^\s+|\s+\z", "")
 
 
 def collapse(c: Column) -> Column:
-    return F.regexp_replace(c, r"\s+", " ")
+    return F.regexp_replace(c, r"(?U)\s+", " ")
 
 
 def null_if_empty(c: Column) -> Column:
@@ -37,7 +45,7 @@ def set_sorted(items: Column) -> Column:
 
 def cut_at_space(c: Column, most: int, end: str = "...") -> Column:
     """Texts beyond ``most`` characters: the first ``most``, back to the last space if there is one, and the mark."""
-    return F.when(F.length(c) > most, F.concat(F.regexp_replace(F.substring(c, 1, most), r" [^ ]*\z", ""), F.lit(end))).otherwise(c)
+    return bound(c, lambda x: F.when(F.length(x) > most, F.concat(F.regexp_replace(F.substring(x, 1, most), r" [^ ]*\z", ""), F.lit(end))).otherwise(x))
 
 
 def shortened(c: Column, most: int, end: str = "…") -> Column:

@@ -16,7 +16,7 @@ _END = re.compile(r"(?<=[.!?])\s+")
 
 def sentences(text: Column) -> Column:
     """VEC-1."""
-    return F.filter(F.transform(F.split(strip(text_or(text)), r"(?<=[.!?])\s+", -1), strip), lambda s: s != "")
+    return F.filter(F.transform(F.split(strip(text_or(text)), r"(?U)(?<=[.!?])\s+", -1), strip), lambda s: s != "")
 
 
 def chunk_spans(sizes: list[int], target: int, overlap: int) -> list[tuple[int, int]]:

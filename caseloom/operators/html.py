@@ -1,8 +1,9 @@
-"""HTML to records (HTM-1 to HTM-9): judgment pages by column expressions, search pages by a generator over html.parser."""
+"""HTML to records (HTM-1 to HTM-9): trees by html.parser in Arrow batches, fields of their texts by column expressions."""
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -10,18 +11,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import all_matches, collapse, first_match, iso_date, null_if_empty, set_sorted, strip, text_or
+from ..functions.text import all_matches, first_match, iso_date, null_if_empty, set_sorted, strip, text_or
 from ..rules import CITATIONS, DOC_LINK, PAGE_BENCH, PAGE_COURT, PAGE_DATE, PAGE_SECTIONS, SITE
 
 FLAGS = "(?iU)"
 
 
 def clean_text(html: Column) -> Column:
-    """HTM-1: text nodes joined by a blank, without scripts, styles and comments; entities of the five common kinds read."""
-    bare = F.regexp_replace(F.regexp_replace(text_or(html), r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>|<!--.*?-->", " "), r"(?s)<[^>]*>", " ")
-    for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        bare = F.replace(bare, F.lit(entity), F.lit(char))
-    return strip(collapse(bare))
+    """HTM-1: text nodes joined by a blank, without scripts, styles and comments, all character references read. Null -> ''."""
+
+    @F.arrow_udf("string")
+    def cleaned(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.array([_parsed(x.as_py()).text() for x in batch], pa.string())
+
+    return cleaned(html)
 
 
 def doc_id(url: Column) -> Column:
@@ -44,19 +48,34 @@ def acts(text: Column) -> Column:
     return set_sorted(F.transform(F.flatten(F.array(*[all_matches(text, FLAGS + p) for p in PAGE_SECTIONS])), lambda x: F.rtrim(strip(x), F.lit(","))))
 
 
-def _element(html: Column, tag: str, attribute: str = "") -> Column:
-    return first_match(html, rf"(?is)<{tag}\b{attribute}[^>]*>(.*?)</{tag}\s*>")
+def _is_content(node: _Node) -> bool:
+    return node.tag == "div" and node.attrs.get("id") == "content"
+
+
+def _is_main(node: _Node) -> bool:
+    return node.tag == "div" and bool(re.search("content|main|article", node.attrs.get("class", ""), re.I))
+
+
+def judgment(html: str | None) -> tuple[str | None, str]:
+    """HTM-4: (title, None without a heading; text of the first content element with all that it holds)."""
+    every = list(_parsed(html).walk())
+    first = lambda *kinds: next((n for kind in kinds for n in every if kind(n)), None)
+    tag = lambda name: lambda n: n.tag == name
+    heading = first(tag("h1"), tag("h2"))
+    content = first(_is_content, _is_main, tag("article"), tag("body"))
+    return heading.text() if heading else None, content.text() if content else ""
 
 
 def parse_judgments(pages: DataFrame, *, key: str = "page_id", html: str = "html") -> DataFrame:
     """HTM-4 to HTM-7: key, title, text, court, date, bench, citations, acts. Null html -> empty text and a title from the key."""
-    h = text_or(F.col(html))
-    title = F.coalesce(null_if_empty(clean_text(_element(h, "h1"))), null_if_empty(clean_text(_element(h, "h2"))), F.concat(F.lit("Judgment "), F.col(key).cast("string")))
-    content = F.coalesce(
-        _element(h, "div", r"""(?=[^>]*\bid\s*=\s*["']?content["'\s>])"""), _element(h, "div", r"""(?=[^>]*\bclass\s*=\s*["'][^"']*(?:content|main|article))"""),
-        _element(h, "article"), _element(h, "body"), F.lit(""),
-    )
-    page = pages.select(key, title.alias("title"), clean_text(content).alias("text"))
+
+    @F.arrow_udf("struct<title:string,text:string>")
+    def read(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            found = [judgment(x.as_py()) for x in batch]
+            yield pa.StructArray.from_arrays([pa.array([f[i] for f in found], pa.string()) for i in (0, 1)], ["title", "text"])
+
+    page = pages.select(key, read(F.col(html)).alias("_p")).select(key, F.coalesce("_p.title", F.concat(F.lit("Judgment "), F.col(key).cast("string"))).alias("title"), "_p.text")
     t = F.col("text")
     return page.select(key, "title", "text", _first(t, PAGE_COURT).alias("court"), iso_date(_first(t, PAGE_DATE)).alias("date"), _first(t, PAGE_BENCH).alias("bench"), citations(t).alias("citations"), acts(t).alias("acts"))
 
@@ -67,18 +86,20 @@ class _Node:
     def __init__(self, tag: str, attrs: dict[str, str]):
         self.tag, self.attrs, self.children = tag, attrs, []
 
+    def _below(self, enter) -> Iterator[_Node | str]:
+        """What lies below in the order of the page, by a stack of its own: pages may be nested to any depth."""
+        todo = self.children[::-1]
+        while todo:
+            child = todo.pop()
+            yield child
+            if isinstance(child, _Node) and enter(child):
+                todo.extend(reversed(child.children))
+
     def walk(self) -> Iterator[_Node]:
-        for c in self.children:
-            if isinstance(c, _Node):
-                yield c
-                yield from c.walk()
+        return (n for n in self._below(lambda _: True) if isinstance(n, _Node))
 
     def strings(self) -> Iterator[str]:
-        for c in self.children:
-            if isinstance(c, str):
-                yield c
-            elif c.tag not in ("script", "style"):
-                yield from c.strings()
+        return (s for s in self._below(lambda n: n.tag not in ("script", "style")) if isinstance(s, str))
 
     def text(self) -> str:
         return " ".join(" ".join(self.strings()).split())
@@ -94,22 +115,32 @@ class _Tree(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = _Node("", {})
         self.open = [self.root]
+        self.names: Counter = Counter()
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         node = _Node(tag, {k: v or "" for k, v in attrs})
         self.open[-1].children.append(node)
         if tag not in self.VOID:
             self.open.append(node)
+            self.names[tag] += 1
 
     def handle_endtag(self, tag: str) -> None:
-        at = next((i for i in range(len(self.open) - 1, 0, -1) if self.open[i].tag == tag), 0)
-        if at:
-            del self.open[at:]
+        if self.names[tag]:
+            while (closed := self.open.pop()).tag != tag:
+                self.names[closed.tag] -= 1
+            self.names[tag] -= 1
 
     def handle_data(self, data: str) -> None:
         self.open[-1].children.append(data)
 
 
+def _parsed(html: str | None) -> _Node:
+    tree = _Tree()
+    tree.feed(html or "")
+    tree.close()
+    return tree.root
+
+
 def _link(node: _Node) -> _Node | None:
     return next((n for n in node.walk() if n.tag == "a" and re.search(r"/doc/\d+/", n.attrs.get("href", ""))), None)
 
@@ -120,10 +151,7 @@ def _of_class(node: _Node, pattern: str) -> _Node | None:
 
 def search_rows(html: str | None) -> list[dict]:
     """HTM-2, HTM-3 for one page, before dates are read."""
-    tree = _Tree()
-    tree.feed(html or "")
-    tree.close()
-    every = list(tree.root.walk())
+    every = list(_parsed(html).walk())
     divs = [n for n in every if n.tag == "div"]
     kinds = (lambda n: n.has_class("result"), lambda n: n.has_class("search-result"), lambda n: n.has_class("doc"), lambda n: n.attrs.get("itemprop") == "result")
     boxes = next((found for kind in kinds if (found := [n for n in divs if kind(n)])), [])

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ..functions.text import cut_at_space
+
 
 def normalise(v: Column) -> Column:
     """VEC-5: unit length in double; a zero vector stays."""
@@ -162,6 +164,11 @@ def index_stats(index: DataFrame, doc_id: str = "doc_id", vector: str = "embeddi
     return index.agg(F.countDistinct(doc_id).alias("total_documents"), F.coalesce(F.sum(F.size(vector) * 4), F.lit(0)).cast("long").alias("index_size_bytes"))
 
 
+def snippets(text: Column) -> Column:
+    """VEC-10: what a hit shows of its text: the semantic search's 300 characters, the keyword search's 500, the card's 200 cut at a blank."""
+    return F.struct(F.substring(text, 1, 300).alias("semantic"), F.substring(text, 1, 500).alias("keyword"), cut_at_space(text, 200, "…").alias("card"))
+
+
 def result_band(score: Column) -> Column:
     """VEC-15: colour and label of a similarity."""
     band = F.when(score > 0.8, "green").when(score > 0.6, "yellow").otherwise("default")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,10 +64,13 @@ def change_log() -> Column:
     ))
 
 
-def rescore(base: DataFrame, scenarios: DataFrame, key: str = "case_id", probability: str = "win_probability") -> DataFrame:
-    """WIF-1 to WIF-3: every case under every scenario. The scenarios, a grid of fixed size, are what is sent round."""
+def rescore(base: DataFrame, scenarios: DataFrame, key: str = "case_id", probability: str = "win_probability", most: int = 100_000) -> DataFrame:
+    """WIF-1 to WIF-3: every case under every scenario. The scenarios, a stated set, are sent round in parts of about ``most``."""
     delta = sum(contributions().values(), F.lit(0.0))
-    each = base.select(key, F.col(probability).alias("base_probability")).crossJoin(F.broadcast(scenarios))
+    cases = base.select(key, F.col(probability).alias("base_probability"))
+    parts = max(1, -(-scenarios.count() // most))
+    in_part = lambda i: scenarios if parts == 1 else scenarios.filter(F.pmod(F.xxhash64("scenario_id"), F.lit(parts)) == i)
+    each = reduce(DataFrame.unionByName, [cases.crossJoin(F.broadcast(in_part(i))) for i in range(parts)])
     adjusted = F.round(clamp(F.col("base_probability") + delta), 4)
     return each.select(key, "scenario_id", adjusted.alias("adjusted"), F.round(delta, 4).alias("delta"), risk_level(adjusted).alias("risk_level"), change_log().alias("changelog"))
 

@@ -121,12 +121,22 @@ def ext_10_relief(spark, sf_dir):
     return _cases(spark, sf_dir, relief_sought=extract.relief(F.col("case_text")))
 
 
-@registered()
-def ext_11_12_legal_issues(spark, sf_dir):
-    return _cases(spark, sf_dir, legal_issues=F.array_join(extract.legal_issues(F.col("case_text")), "|"))
+_ISSUES_SQL = f"list_filter(list_transform(list_concat(regexp_extract_all(case_text, {_p(rules.ISSUE, '(?is)')}, 1), regexp_extract_all(case_text, {_p(rules.WHETHER, '(?s)')}, 1)), lambda x: {_COLLAPSE(_STRIP('x'))}), lambda x: length(x) > 10 AND length(x) < 500)"
 
 
-_ISSUES_SQL = f"list_filter(list_transform(list_concat(regexp_extract_all(case_text, {_p(rules.ISSUE, '(?is)')}, 1), regexp_extract_all(case_text, {_p(rules.WHETHER, '(?s)')}, 1)), lambda x: {_COLLAPSE(_STRIP('x'))}), lambda x: length(x) > 10 AND length(x) < 500)"
+def _issue_fold(source: str) -> str:
+    """EXT-12 as a recursive query over the candidates of source (case_id, xs)."""
+    return f"""fold AS (SELECT case_id, xs, 1 AS i, []::VARCHAR[] AS seen, []::VARCHAR[] AS kept FROM {source}
+        UNION ALL SELECT case_id, xs, i + 1,
+            CASE WHEN hit IS NULL THEN list_append(seen, norm) WHEN length(norm) > length(hit) THEN list_append(list_filter(seen, lambda e: e <> hit), norm) ELSE seen END,
+            CASE WHEN hit IS NULL OR length(norm) > length(hit) THEN list_append(kept, xs[i]) ELSE kept END
+            FROM (SELECT *, list_filter(seen, lambda e: contains(e, norm) OR contains(norm, e))[1] AS hit FROM (SELECT *, {_COLLAPSE(_STRIP('lower(xs[i])'))} AS norm FROM fold WHERE i <= len(xs)))),
+        issues_of AS (SELECT case_id, kept[1:5] AS legal_issues FROM fold WHERE i = len(xs) + 1)"""
+
+
+@registered(f"WITH RECURSIVE case_text AS ({synth.SQL['case_text']}), candidates AS (SELECT case_id, {_ISSUES_SQL} AS xs FROM case_text), {_issue_fold('candidates')} SELECT case_id, array_to_string(legal_issues, '|') AS legal_issues FROM issues_of")
+def ext_11_12_legal_issues(spark, sf_dir):
+    return _cases(spark, sf_dir, legal_issues=F.array_join(extract.legal_issues(F.col("case_text")), "|"))
 
 
 @registered(with_inputs(f"SELECT case_id, array_to_string({_ISSUES_SQL}, '|') AS candidates {_CASES}", "case_text"))
@@ -141,12 +151,25 @@ def ext_11_issue_candidates(spark, sf_dir):
 _BLANK = f"{_STRIP('case_text')} = ''"
 
 
-@registered(with_inputs(f"""SELECT case_id, CASE WHEN {_BLANK} THEN NULL ELSE {_party_sql(1)} END AS petitioner, CASE WHEN {_BLANK} THEN '' ELSE {_SET(_SECTIONS_SQL)} END AS ipc_sections,
-    CASE WHEN {_BLANK} THEN '' ELSE {_SET(_ACTS_SQL)} END AS acts_referenced, CASE WHEN {_BLANK} THEN 'Unknown' ELSE {_court_sql('case_text')} END AS court_level,
-    CASE WHEN {_BLANK} THEN 'other' ELSE {_TYPE_SQL} END AS case_type, 'rules' AS extraction_method, CASE WHEN {_BLANK} THEN 0.0::DOUBLE ELSE 0.5::DOUBLE END AS confidence, 'completed' AS status {_CASES}""", "case_text"))
+_NO_LIST = "[]::VARCHAR[]"
+_RELIEF_SQL = f"CASE WHEN length({_RELIEF}) > 500 THEN regexp_replace(substr({_RELIEF}, 1, 500), ' [^ ]*$', '') || '...' ELSE {_RELIEF} END"
+_SORTED = lambda x: f"list_sort(list_distinct({x}))"
+#: All fields of the profile of each text, lists as lists.
+_PROFILE_SQL = f"""WITH RECURSIVE case_text AS ({synth.SQL['case_text']}), {_facts_sql('case_text', 'case_id', 'case_text').replace("string_agg(s, '|' ORDER BY place, i)", "list(s ORDER BY place, i)")},
+    candidates AS (SELECT case_id, {_ISSUES_SQL} AS xs FROM case_text), {_issue_fold('candidates')}
+    SELECT c.case_id, CASE WHEN {_BLANK} THEN NULL ELSE {_party_sql(1)} END AS petitioner, CASE WHEN {_BLANK} THEN NULL ELSE {_party_sql(2)} END AS respondent,
+    CASE WHEN {_BLANK} THEN {_NO_LIST} ELSE o.legal_issues END AS legal_issues, CASE WHEN {_BLANK} THEN {_NO_LIST} ELSE {_SORTED(_SECTIONS_SQL)} END AS ipc_sections,
+    CASE WHEN {_BLANK} THEN {_NO_LIST} ELSE {_SORTED(_ACTS_SQL)} END AS acts_referenced, CASE WHEN {_BLANK} THEN 'Unknown' ELSE {_court_sql('case_text')} END AS court_level,
+    CASE WHEN {_BLANK} THEN 'other' ELSE {_TYPE_SQL} END AS case_type, coalesce(f.key_facts, {_NO_LIST}) AS key_facts, CASE WHEN {_BLANK} THEN NULL ELSE {_RELIEF_SQL} END AS relief_sought,
+    'rules' AS extraction_method, CASE WHEN {_BLANK} THEN 0.0::DOUBLE ELSE 0.5::DOUBLE END AS confidence, 'completed' AS status
+    FROM case_text c LEFT JOIN facts f ON f.case_id = c.case_id LEFT JOIN issues_of o ON o.case_id = c.case_id"""
+_LISTED = ("legal_issues", "ipc_sections", "acts_referenced", "key_facts")
+
+
+@registered(f"SELECT case_id, petitioner, respondent, court_level, case_type, relief_sought, extraction_method, confidence, status, {', '.join(f'array_to_string({c}, {chr(39)}|{chr(39)}) AS {c}' for c in _LISTED)} FROM ({_PROFILE_SQL})")
 def ext_13_14_15_16_profile(spark, sf_dir):
     p = extract.extract_profiles(synth.case_text(spark, sf_dir))
-    return p.select("case_id", "petitioner", _joined("ipc_sections"), _joined("acts_referenced"), "court_level", "case_type", "extraction_method", "confidence", "status")
+    return p.select("case_id", "petitioner", "respondent", "court_level", "case_type", "relief_sought", "extraction_method", "confidence", "status", *[_joined(c) for c in _LISTED])
 
 
 _CARD = f"list_filter(list_transform(regexp_extract_all(case_text, {_p(rules.CARD_SECTION)}, 0), lambda x: {_STRIP('x')}), lambda x: length(x) > 6)"
@@ -177,11 +200,11 @@ def ner_01_parse_entities(spark, sf_dir):
     SELECT case_id, array_to_string(list_sort(list_distinct(list_concat(ipc_sections, coalesce(m_sections, [])))), '|') AS ipc_sections, array_to_string(list_sort(list_distinct(list_concat(acts_referenced, coalesce(m_acts, [])))), '|') AS acts_referenced,
     coalesce(m_petitioner, petitioner) AS petitioner, coalesce(m_respondent, respondent) AS respondent, array_to_string(CASE WHEN coalesce(len(m_issues), 0) > 0 THEN m_issues ELSE legal_issues END, '|') AS legal_issues,
     CASE WHEN {_court_sql('m_court')} <> 'Unknown' THEN {_court_sql('m_court')} ELSE court_level END AS court_level,
-    CASE WHEN m_confidence >= 0.5 THEN 'hybrid' ELSE 'rules' END AS extraction_method FROM j""")
+    CASE WHEN m_confidence >= 0.5 THEN 'hybrid' ELSE 'rules' END AS extraction_method, CAST(floor((CASE WHEN m_confidence >= 0.5 THEN round((m_confidence + 0.7) / 2, 4) ELSE 0.6 END + 0.00035) * 100) AS BIGINT) AS percent FROM j""")
 def ner_02_03_merge(spark, sf_dir):
     profiles = synth.case_profile(spark, sf_dir).withColumns({"extraction_method": F.lit("rules"), "confidence": F.lit(0.5)})
     m = extract.merge_entities(profiles, extract.parse_entities(synth.entities(spark, sf_dir)))
-    return m.select("case_id", _joined("ipc_sections"), _joined("acts_referenced"), "petitioner", "respondent", _joined("legal_issues"), "court_level", "extraction_method")
+    return m.select("case_id", _joined("ipc_sections"), _joined("acts_referenced"), "petitioner", "respondent", _joined("legal_issues"), "court_level", "extraction_method", F.floor((F.col("confidence") + 0.00035) * 100).alias("percent"))
 
 
 # --- Pages ------------------------------------------------------------------------------------------------------
@@ -191,8 +214,10 @@ _BARE = lambda h: f"regexp_replace(regexp_replace({h}, '(?is)<script\\b[^>]*>.*?
 
 def _clean_sql(h: str) -> str:
     s = _BARE(h)
-    for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
+    # The character references that the pages table has.
+    for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&copy;", "©"), ("&middot;", "·"), ("&mdash;", "—")):
         s = f"replace({s}, '{entity}', '{char}')"
+    s = f"regexp_replace({s}, '&amp;?', '&', 'g')"
     return _STRIP(_COLLAPSE(s))
 
 
@@ -202,12 +227,15 @@ def htm_01_clean_text(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.md5(text).alias("text_md5"), F.length(text).cast("long").alias("n_chars"))
 
 
-@registered()
+@registered(f"""SELECT page_id, 0 AS ordinal, 'Case ' || CAST(page_id AS VARCHAR) AS title, '{rules.SITE}/doc/' || CAST(page_id AS VARCHAR) || '/' AS url, CAST(page_id AS VARCHAR) AS doc_id,
+    CASE WHEN page_id % 2 = 0 THEN 'High Court' END AS court, CASE WHEN page_id % 2 = 0 THEN '1973-04-24' END AS date,
+    CASE WHEN page_id % 2 = 0 THEN nullif(substr(trim({_clean_sql('html')}), 1, 500), '') ELSE 'a text' END AS snippet FROM pages""")
 def htm_02_03_search_rows(spark, sf_dir):
-    """Search pages made of the pages table: a result box per page, or a paragraph where page_id is odd."""
+    """Search pages made of the pages table, whole: a result box per page, or a paragraph where page_id is odd."""
     p = table(spark, sf_dir, "pages")
-    head = F.concat(F.lit('<a href="/doc/'), F.col("page_id").cast("string"), F.lit('/">'), F.substring_index("url", "/", -1), F.lit("</a>"))
-    box = F.concat(F.lit('<div class="result">'), head, F.lit(' <span class="court">High Court</span><span class="date">24-04-1973</span><div class="snippet">'), F.substring(html.clean_text(F.col("html")), 1, 600), F.lit("</div></div>"))
+    n = F.col("page_id").cast("string")
+    head = F.concat(F.lit('<a href="/doc/'), n, F.lit('/">Case '), n, F.lit("</a>"))
+    box = F.concat(F.lit('<div class="result">'), head, F.lit(' <span class="court">High Court</span><span class="date">24-04-1973</span><div class="snippet">'), F.coalesce("html", F.lit("")), F.lit("</div></div>"))
     return html.parse_search_pages(p.select("page_id", F.when(F.col("page_id") % 2 == 0, box).otherwise(F.concat(F.lit("<p>"), head, F.lit(" a text</p>"))).alias("html")))
 
 
@@ -292,15 +320,24 @@ def vec_02_03_chunks(spark, sf_dir):
     return chunk.chunks(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "chunk_index", "total_chunks", F.md5("text").alias("text_md5"))
 
 
-@registered()
+_COUNTED = _CHUNKS_SQL[: _CHUNKS_SQL.rindex("SELECT doc_id, CAST(j")]
+
+
+@registered(_COUNTED + "SELECT doc_id, CAST(unnest(range(0, len(chunks))) AS INTEGER) AS chunk_index, CAST(len(chunks) AS INTEGER) AS total_chunks, 384 AS dimension, true AS unit FROM done WHERE len(chunks) > 0")
 def vec_04_11_ingest(spark, sf_dir):
-    return pipelines.ingest(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "chunk_index", "total_chunks", F.size("embedding").alias("dimension"))
+    return pipelines.ingest(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "doc_id", "chunk_index", "total_chunks", F.size("embedding").alias("dimension"), (F.abs(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")) - 1) < 1e-5).alias("unit")
+    )
 
 
-@registered("SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))), 4) AS square FROM embeddings")
+@registered("""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE) * (vec_id % 7)) AS e FROM embeddings), n AS (SELECT *, sqrt(list_reduce(list_transform(e, lambda x: x * x), lambda a, b: a + b)) AS norm FROM v)
+    SELECT vec_id, round(CASE WHEN norm > 0 THEN e[1] / norm ELSE e[1] END, 6) + 0.0 AS first, round(CASE WHEN norm > 0 THEN e[len(e)] / norm ELSE e[len(e)] END, 6) + 0.0 AS last, CASE WHEN norm > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS square FROM n""")
 def vec_05_normalise(spark, sf_dir):
-    unit = vector.normalise(F.col("embedding"))
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(F.aggregate(unit, F.lit(0.0), lambda a, x: a + x * x), 4).alias("square"))
+    """Vectors of lengths 0 to 6."""
+    scaled = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double") * (F.col("vec_id") % 7)).alias("e"))
+    unit = scaled.select("vec_id", vector.normalise(F.col("e")).alias("u"))
+    place = lambda i, name: (F.round(F.element_at("u", i), 6) + F.lit(0.0)).alias(name)
+    return unit.select("vec_id", place(1, "first"), place(-1, "last"), F.round(F.aggregate("u", F.lit(0.0), lambda a, x: a + x * x), 6).alias("square"))
 
 
 _KNN = """pairs AS (SELECT q.vec_id AS query_id, v.vec_id, list_reduce(list_transform(list_zip(q.embedding, v.embedding), lambda z: (CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE)) * (CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE))), lambda a, b: a + b) AS distance FROM embeddings q, embeddings v),
@@ -338,16 +375,17 @@ def vec_09_supplement(spark, sf_dir):
     return vector.supplement(_per_document(spark, sf_dir), kw)
 
 
-@registered("SELECT doc_id, CASE WHEN length(text) > 300 THEN regexp_replace(substr(text, 1, 200), ' [^ ]*$', '') || '…' ELSE text END AS snippet FROM (SELECT doc_id, replace(text, chr(10), ' ') AS text FROM documents) WHERE length(text) > 300")
+@registered("SELECT doc_id, substr(text, 1, 300) AS semantic, substr(text, 1, 500) AS keyword, CASE WHEN length(text) > 200 THEN regexp_replace(substr(text, 1, 200), ' [^ ]*$', '') || '…' ELSE text END AS card FROM (SELECT doc_id, replace(text, chr(10), ' ') AS text FROM documents)")
 def vec_10_snippets(spark, sf_dir):
     text = F.replace("text", F.lit("\n"), F.lit(" "))
-    return table(spark, sf_dir, "documents").filter(F.length("text") > 300).select("doc_id", extract.cut_at_space(text, 200, "…").alias("snippet"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.alias("text")).select("doc_id", vector.snippets(F.col("text")).alias("s")).select("doc_id", "s.*")
 
 
-@registered("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)")
-def vec_12_not_indexed(spark, sf_dir):
-    indexed = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id")).distinct()
-    return table(spark, sf_dir, "documents").select("doc_id").join(indexed, "doc_id", "left_anti")
+@registered("SELECT d.doc_id, i.n IS NOT NULL AS indexed, i.n AS chunks FROM documents d LEFT JOIN (SELECT vec_id // 4 AS doc_id, count(*) AS n FROM embeddings GROUP BY 1) i ON i.doc_id = d.doc_id")
+def vec_12_indexed(spark, sf_dir):
+    """Which documents the index holds, with their chunk counts; the others are those to be worked on."""
+    held = table(spark, sf_dir, "embeddings").groupBy(F.floor(F.col("vec_id") / 4).alias("doc_id")).agg(F.count("*").alias("chunks"))
+    return table(spark, sf_dir, "documents").select("doc_id").join(held, "doc_id", "left").select("doc_id", F.col("chunks").isNotNull().alias("indexed"), "chunks")
 
 
 @registered("SELECT DISTINCT vec_id // 4 AS doc_id FROM embeddings")
@@ -370,7 +408,8 @@ def vec_15_band(spark, sf_dir):
 _SLUG = lambda prefix, x: f"'{prefix}:' || coalesce(nullif(regexp_replace(substr(translate({_STRIP(f'lower({x})')}, ' /', '__'), 1, 60), '_+$', ''), ''), 'node')"
 _CUT = lambda x: f"CASE WHEN length({x}) > 80 THEN substr({x}, 1, 80) || '…' ELSE {x} END"
 _LISTS = ", ".join(f"{n} AS (SELECT case_id, spot, item FROM (SELECT case_id, unnest({c}) AS item, unnest(range(0, len({c}))) AS spot FROM case_profile) WHERE item <> '')" for n, c in (("issues", "legal_issues"), ("sections", "ipc_sections"), ("acts", "acts_referenced"), ("facts", "key_facts")))
-_GRAPH = f"""WITH case_profile AS ({synth.SQL['case_profile']}), precedents AS ({synth.SQL['precedents']}), {_LISTS},
+def _graph_sql(profiles: str, precedents: str) -> str:
+    return f"""WITH case_profile AS MATERIALIZED ({profiles}), precedents AS MATERIALIZED ({precedents}), {_LISTS},
     parties AS (SELECT case_id, 0 AS r, petitioner || ' — ' || case_type || ' claim' AS full_label, 'Claim asserted by the petitioner: ' || petitioner || CASE WHEN relief_sought <> '' THEN ' | Relief: ' || substr(relief_sought, 1, 120) ELSE '' END AS description FROM case_profile WHERE petitioner <> ''
         UNION ALL SELECT case_id, 1, respondent || ' — defense', 'Defense asserted by the respondent: ' || respondent FROM case_profile WHERE respondent <> ''),
     claims AS (SELECT case_id, r, {_SLUG('claim', 'full_label')} AS id, substr(full_label, 1, 80) AS label, description FROM parties),
@@ -393,6 +432,9 @@ _GRAPH = f"""WITH case_profile AS ({synth.SQL['case_profile']}), precedents AS (
     backed AS (SELECT DISTINCT e.case_id, e.target AS id FROM edges e JOIN fa ON fa.case_id = e.case_id AND fa.id = e.source WHERE e.type = 'supports'),
     weak AS (SELECT n.case_id, n.id FROM nodes n WHERE n.type = 'CLAIM' AND NOT EXISTS (SELECT 1 FROM backed b WHERE b.case_id = n.case_id AND b.id = n.id)),
     stats AS (SELECT p.case_id, (SELECT count(*) FROM nodes n WHERE n.case_id = p.case_id) AS node_count, (SELECT count(*) FROM edges e WHERE e.case_id = p.case_id) AS edge_count, (SELECT count(*) FROM weak w WHERE w.case_id = p.case_id) AS n_weak FROM case_profile p)"""
+
+
+_GRAPH = _graph_sql(synth.SQL["case_profile"], synth.SQL["precedents"])
 _STYLES = "CASE type " + " ".join(f"WHEN '{n}' THEN '{c}/{s}'" for n, c, s in rules.NODE_STYLE) + " END"
 
 
@@ -400,7 +442,11 @@ def _inputs(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     return synth.case_profile(spark, sf_dir), synth.precedents(spark, sf_dir)
 
 
-@registered(f"{_GRAPH} SELECT n.case_id, n.id, n.label, n.type, {_STYLES} AS style, n.weight, n.description, w.id IS NOT NULL AS weak FROM nodes n LEFT JOIN weak w ON w.case_id = n.case_id AND w.id = n.id")
+#: A claim is weak where its case has no facts (grf_14 finds the same from the edges).
+_NO_FACTS = "n.type = 'CLAIM' AND f.case_id IS NULL AS weak FROM nodes n LEFT JOIN (SELECT DISTINCT case_id FROM facts) f ON f.case_id = n.case_id"
+
+
+@registered(f"{_GRAPH} SELECT n.case_id, n.id, n.label, n.type, {_STYLES} AS style, n.weight, n.description, {_NO_FACTS}")
 def grf_01_02_03_04_06_09_10_12_nodes(spark, sf_dir):
     n = graph.nodes(*_inputs(spark, sf_dir))
     return n.select("case_id", "id", "label", "type", F.concat_ws("/", "color", "shape").alias("style"), "weight", "description", "weak")
@@ -422,17 +468,23 @@ def grf_15_stats(spark, sf_dir):
     return graph.graph_stats(*_inputs(spark, sf_dir)).select("case_id", "node_count", "edge_count", F.size("weak_nodes").cast("long").alias("n_weak"))
 
 
-@registered(f"{_GRAPH} SELECT case_id, 'e' || CAST(row_number() OVER (PARTITION BY case_id ORDER BY type, id, label) - 1 AS VARCHAR) AS element_id, id FROM edges")
+@registered(f"""{_GRAPH} SELECT case_id, 'edge' AS kind, 'e' || CAST(row_number() OVER (PARTITION BY case_id ORDER BY type, id, label) - 1 AS VARCHAR) AS element_id, id, NULL::BOOLEAN AS weak FROM edges
+    UNION ALL SELECT n.case_id, 'node', n.id, n.id, w.id IS NOT NULL FROM nodes n LEFT JOIN (SELECT DISTINCT case_id, id FROM weak) w ON w.case_id = n.case_id AND w.id = n.id""")
 def grf_17_elements(spark, sf_dir):
     profiles, cited = _inputs(spark, sf_dir)
     n, e = graph.nodes(profiles, cited), graph.edges(profiles, cited)
-    return graph.element_view(n, e, graph.weak_claims(n, e))[1].select("case_id", "element_id", "id")
+    seen, numbered = graph.element_view(n, e, graph.weak_claims(n, e))
+    edge = numbered.select("case_id", F.lit("edge").alias("kind"), "element_id", "id", F.lit(None).cast("boolean").alias("weak"))
+    return edge.unionByName(seen.select("case_id", F.lit("node").alias("kind"), F.col("id").alias("element_id"), "id", "weak"))
 
 
-@registered(f"{_GRAPH} SELECT case_id, id, label FROM nodes WHERE contains(lower(label), 'order 77') OR contains(lower(description), 'order 77') ORDER BY case_id, id, label LIMIT 20")
+@registered(f"""{_GRAPH}, found AS (SELECT case_id, id, label FROM nodes WHERE contains(lower(label), 'order 77') OR contains(lower(description), 'order 77') ORDER BY case_id, id, label LIMIT 20)
+    SELECT case_id, 'node' AS kind, id, label FROM found UNION ALL SELECT case_id, 'edge', id, label FROM edges e WHERE EXISTS (SELECT 1 FROM found f WHERE f.case_id = e.case_id AND f.id = e.source) AND EXISTS (SELECT 1 FROM found f WHERE f.case_id = e.case_id AND f.id = e.target)""")
 def grf_18_graph_query(spark, sf_dir):
     profiles, cited = _inputs(spark, sf_dir)
-    return graph.query_graph(graph.nodes(profiles, cited), graph.edges(profiles, cited), "order 77")[0].select("case_id", "id", "label")
+    found, between = graph.query_graph(graph.nodes(profiles, cited), graph.edges(profiles, cited), "order 77")
+    part = lambda df, kind: df.select("case_id", F.lit(kind).alias("kind"), "id", "label")
+    return part(found, "node").unionByName(part(between, "edge"))
 
 
 @registered(with_inputs(f"SELECT case_id, {_SLUG('issue', 'legal_issues[1]')} AS slug FROM case_profile WHERE len(legal_issues) > 0", "case_profile"))
@@ -493,7 +545,21 @@ def sim_09_10_11_reasons(spark, sf_dir):
     return _scores(spark, sf_dir).select("case_id", named("key_strengths", "strengths"), named("key_weaknesses", "weaknesses"))
 
 
-@registered()
+_COURT_SAYS = "CASE WHEN r4 = 0.5 THEN 'Supreme Court — high bar, rigorous scrutiny.' WHEN r4 = 0.6 THEN 'High Court — moderate bar, established appellate review.' WHEN r4 = 0.7 THEN 'District/Sessions Court — lower bar, fact-finding stage.' ELSE 'Unknown court level (' || chr(39) || coalesce(court, 'None') || chr(39) || ') — conservative estimate.' END"
+_REFS_SAY = "CASE WHEN n_refs = 0 THEN 'No statutory references extracted.' WHEN n_refs <= 2 THEN n_refs::VARCHAR || ' statute(s) referenced — moderate foundation.' WHEN n_refs <= 4 THEN n_refs::VARCHAR || ' statutes referenced — solid statutory basis.' ELSE n_refs::VARCHAR || ' statutes referenced — strong statutory coverage.' END || CASE WHEN criminal THEN ' Criminal case with IPC sections (+0.05).' ELSE '' END"
+_GRAPH_SAYS = "CASE WHEN node_count = 0 THEN 'No argument graph provided — neutral baseline.' WHEN n_weak = 0 THEN 'All ' || node_count::VARCHAR || ' nodes are strong — no unsupported arguments.' ELSE (node_count - n_weak)::VARCHAR || '/' || node_count::VARCHAR || ' nodes are supported; ' || n_weak::VARCHAR || ' weak node(s) lack evidentiary backing.' END"
+_ISSUES_SAY = "CASE WHEN n_issues <= 2 THEN 'Only ' || n_issues::VARCHAR || ' legal issue(s) — focused, manageable case.' WHEN n_issues <= 4 THEN n_issues::VARCHAR || ' legal issues — moderate complexity.' ELSE n_issues::VARCHAR || ' legal issues — high complexity, multiple angles.' END"
+_CITED_SAY = "CASE WHEN n_cited = 0 THEN 'No similar precedents found — neutral baseline applied.' WHEN n_scored = 0 THEN 'Precedent similarity scores unavailable — neutral baseline.' WHEN best > 0.8 THEN 'Average similarity ' || printf('%.2f', r0::DOUBLE) || '; strongest precedent at ' || printf('%.2f', best::DOUBLE) || ' (boosted +0.10 for high alignment).' ELSE 'Average similarity ' || printf('%.2f', r0::DOUBLE) || ' across ' || n_scored::VARCHAR || ' precedent(s).' END"
+_ADVICE = [x.replace("'", "''") for x in rules.ADVICE]
+
+
+@registered(f"""{_SCORES}, more AS (SELECT s.*, p.court_level AS court, p.case_type = 'criminal' AND len(p.ipc_sections) > 0 AS criminal, len(p.legal_issues) AS n_issues, t.node_count, coalesce(c.n, 0) AS n_cited, coalesce(c.k, 0) AS n_scored
+        FROM scores s JOIN case_profile p ON p.case_id = s.case_id JOIN stats t ON t.case_id = s.case_id LEFT JOIN (SELECT case_id, count(*) AS n, count(similarity_score) AS k FROM precedents GROUP BY case_id) c ON c.case_id = s.case_id),
+    said AS (SELECT case_id, win_probability, unnest([{{'s': w0, 'o': 0, 't': {_CITED_SAY}}}, {{'s': w1, 'o': 1, 't': {_REFS_SAY}}}, {{'s': w2, 'o': 2, 't': {_GRAPH_SAYS}}}, {{'s': w3, 'o': 3, 't': {_ISSUES_SAY}}}, {{'s': w4, 'o': 4, 't': {_COURT_SAYS}}},
+        {{'s': CASE WHEN n_refs = 0 THEN 0.05::DOUBLE END, 'o': 5, 't': 'No statutory references — weak legal foundation.'}}, {{'s': CASE WHEN petitioner IS NULL AND respondent IS NULL THEN 0.05::DOUBLE END, 'o': 6, 't': 'Parties not identified — case framing incomplete.'}},
+        {{'s': CASE WHEN n_weak > 0 THEN 0.08::DOUBLE END, 'o': 7, 't': n_weak::VARCHAR || ' unsupported argument node(s) in the graph.'}}, {{'s': CASE WHEN relief_sought IS NULL THEN 0.06::DOUBLE END, 'o': 8, 't': 'No relief sought — unclear remedy being pursued.'}}]) AS x FROM more),
+    first_one AS (SELECT case_id, win_probability, x.t AS fix FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY x.s, x.o) AS n FROM said WHERE x.s < 0.15) WHERE n = 1)
+    SELECT case_id, CASE WHEN win_probability >= 0.7 THEN '{_ADVICE[0]}' WHEN win_probability >= 0.5 THEN '{_ADVICE[1]}' ELSE '{_ADVICE[2]}' END || ' Consider addressing: ' || lower(fix) AS recommendation FROM first_one""")
 def sim_11_recommendations(spark, sf_dir):
     return _scores(spark, sf_dir).select("case_id", "recommendation")
 
@@ -520,7 +586,19 @@ def wif_01_02_rescore(spark, sf_dir):
     return whatif.rescore(base, _worlds(spark)).select("case_id", "scenario_id", "delta", "adjusted")
 
 
-@registered()
+_WHOLE = lambda x: f"CAST(CAST(floor({x} * 100 + 0.5 + 1e-9) AS INTEGER) AS VARCHAR)"
+_SIGNED = lambda x: f"CASE WHEN {x} > 0 THEN '+' ELSE '' END || {_WHOLE(x)} || '%'"
+_MANY = lambda n: f"CASE WHEN {n} > 1 THEN 's' ELSE '' END"
+_TICK = lambda x: f"CASE WHEN {x} > 0 THEN '✓' ELSE '✗' END"
+_TITLE = lambda x: f"upper({x}[1]) || lower({x}[2:])"
+
+
+@registered(f"""WITH {_WORLDS_SQL}, d AS (SELECT *, CASE coalesce(quality, 'moderate') WHEN 'weak' THEN -0.05::DOUBLE WHEN 'strong' THEN 0.05 ELSE 0 END AS dq, CASE jur WHEN 'high' THEN 0.03::DOUBLE WHEN 'supreme' THEN -0.08 WHEN 'district' THEN 0.08 ELSE 0 END AS dj,
+        CASE jur WHEN 'high' THEN 'High Court' WHEN 'supreme' THEN 'Supreme Court' WHEN 'district' THEN 'District Court' ELSE '' END AS place, pre * CASE sim WHEN 'low' THEN 0.01::DOUBLE WHEN 'medium' THEN 0.025 WHEN 'high' THEN 0.045 ELSE 0 END AS dp FROM worlds)
+    SELECT CAST(scenario_id AS INTEGER) AS scenario_id, concat_ws('|', CASE WHEN ev > 0 THEN '✓ Added ' || ev::VARCHAR || ' evidence piece' || {_MANY('ev')} || ' (' || {_SIGNED('ev * 0.03::DOUBLE')} || ')' END,
+        CASE WHEN dq <> 0 THEN {_TICK('dq')} || ' Evidence quality: ' || {_TITLE('quality')} || ' (' || {_SIGNED('dq')} || ')' END, CASE WHEN sec > 0 THEN '✓ Added ' || sec::VARCHAR || ' IPC section' || {_MANY('sec')} || ' (' || {_SIGNED('sec * 0.02::DOUBLE')} || ')' END,
+        CASE WHEN dj <> 0 THEN {_TICK('dj')} || ' Moved to ' || place || ' (' || {_SIGNED('dj')} || ')' END, CASE WHEN res > 0 THEN '✓ Resolved ' || res::VARCHAR || ' weak argument' || {_MANY('res')} || ' (' || {_SIGNED('res * 0.04::DOUBLE')} || ')' END,
+        CASE WHEN pre > 0 THEN '✓ Added ' || pre::VARCHAR || ' precedent' || {_MANY('pre')} || ' (' || coalesce({_TITLE('sim')}, 'undefined') || ' similarity, +' || {_WHOLE('dp')} || '%)' END) AS changelog FROM d""")
 def wif_03_change_log(spark, sf_dir):
     return _worlds(spark).select("scenario_id", F.array_join(whatif.change_log(), "|").alias("changelog"))
 
@@ -548,11 +626,12 @@ def wif_07_gauge(spark, sf_dir):
 _ASKED = ("the ", "UND", "license", "no such words at all")
 
 
-@registered(f"""WITH rows AS (SELECT doc_id AS ordinal, substr(text, 1, 40) AS title, substr(text, 1, 200) AS snippet FROM documents), asked AS (SELECT * FROM (VALUES {", ".join(f"({i}, '{q}')" for i, q in enumerate(_ASKED))}) AS t(query_id, query)),
-    each AS (SELECT query_id, ordinal, contains(lower(title), lower(query)) OR contains(lower(snippet), lower(query)) AS hit FROM rows, asked), seen AS (SELECT query_id, bool_or(hit) AS any_hit FROM each GROUP BY query_id)
+@registered(f"""WITH rows AS (SELECT doc_id AS ordinal, coalesce(source, '') AS title, text AS snippet FROM documents), asked AS (SELECT * FROM (VALUES {", ".join(f"({i}, '{q}')" for i, q in enumerate(_ASKED))}) AS t(query_id, query)),
+    each AS (SELECT query_id, ordinal, contains(lower(title), lower(query)) OR contains(lower(coalesce(snippet, '')), lower(query)) AS hit FROM rows, asked), seen AS (SELECT query_id, bool_or(hit) AS any_hit FROM each GROUP BY query_id)
     SELECT CAST(query_id AS INTEGER) AS query_id, CAST(rank AS INTEGER) AS rank, ordinal FROM (SELECT e.query_id, e.ordinal, row_number() OVER (PARTITION BY e.query_id ORDER BY e.ordinal) AS rank FROM each e JOIN seen s ON s.query_id = e.query_id WHERE e.hit OR NOT s.any_hit) WHERE rank <= 10""")
 def src_02_keyword_search(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ordinal"), F.substring("text", 1, 40).alias("title"), F.substring("text", 1, 200).alias("snippet"))
+    """Over whole texts; the ten first rows are the search's own limit."""
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ordinal"), F.coalesce("source", F.lit("")).alias("title"), F.col("text").alias("snippet"))
     asked = spark.createDataFrame(list(enumerate(_ASKED)), "query_id int, query string")
     return fixtures.keyword_search(rows, asked).select("query_id", "rank", "ordinal")
 
@@ -575,12 +654,15 @@ def src_08_listed_settings(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(fixtures.listed(value), "|").alias("origins"))
 
 
-@registered()
+@registered("SELECT * FROM (VALUES ('precedent', 'ok'), ('facts', 'ok'), ('graph', 'ok'), ('simulation', 'ok')) AS t(module, status)")
 def src_11_status(spark, sf_dir):
     return fixtures.engine_status(spark).select("module", "status")
 
 
-@registered()
+_FIELDS = ("case_id", "petitioner", "respondent", "legal_issues", "ipc_sections", "acts_referenced", "court_level", "case_type", "key_facts", "relief_sought")
+
+
+@registered(with_inputs(f"SELECT CAST(to_json({{{', '.join(f'{chr(39)}{c}{chr(39)}: {c}' for c in _FIELDS)}}}) AS VARCHAR) AS value FROM case_profile", "case_profile"))
 def snk_02_03_json(spark, sf_dir):
     return fixtures.to_json(synth.case_profile(spark, sf_dir))
 
@@ -626,9 +708,11 @@ def sta_08_error_detail(spark, sf_dir):
 # --- Pipelines --------------------------------------------------------------------------------------------------
 
 
-@registered()
+@registered(_graph_sql(_PROFILE_SQL, f"SELECT * FROM ({synth.SQL['precedents']}) WHERE false") + f" SELECT n.case_id, 'node' AS kind, n.id, n.label, n.type, {_NO_FACTS} UNION ALL SELECT case_id, 'edge', id, label, type, NULL FROM edges")
 def pip_01_extract_to_graph(spark, sf_dir):
-    return pipelines.extract_to_graph(synth.case_text(spark, sf_dir))[0]
+    nodes, edges = pipelines.extract_to_graph(synth.case_text(spark, sf_dir))
+    node = nodes.select("case_id", F.lit("node").alias("kind"), "id", "label", "type", "weak")
+    return node.unionByName(edges.select("case_id", F.lit("edge").alias("kind"), "id", "label", "type", F.lit(None).cast("boolean").alias("weak")))
 
 
 def _index(spark, sf_dir) -> DataFrame:
@@ -641,12 +725,15 @@ def pip_02_extract_search_score(spark, sf_dir):
     return pipelines.extract_search_score(synth.case_text(spark, sf_dir), _index(spark, sf_dir)).select("case_id", "win_probability", "risk_level")
 
 
-@registered()
+_ADJUSTED = "round(greatest(0.05, least(0.95, p + delta)), 4)"
+
+
+@registered(f"{_SCORES}, {_WORLDS_SQL}, shifted AS (SELECT case_id, scenario_id, win_probability AS p, {_DELTA} AS delta FROM scores, worlds) SELECT case_id, scenario_id, {_ADJUSTED} AS adjusted, CASE WHEN {_ADJUSTED} >= 0.7 THEN 'Favorable' WHEN {_ADJUSTED} >= 0.5 THEN 'Uncertain' ELSE 'Unfavorable' END AS risk_level FROM shifted")
 def pip_03_what_if(spark, sf_dir):
     return pipelines.what_if(_scores(spark, sf_dir), _worlds(spark)).select("case_id", "scenario_id", "adjusted", "risk_level")
 
 
-@registered()
+@registered(_COUNTED + "SELECT doc_id, len(chunks) AS chunks FROM done WHERE len(chunks) > 0")
 def pip_04_ingest_new(spark, sf_dir):
     return pipelines.ingest_counts(table(spark, sf_dir, "documents").select("doc_id", "text"))
 

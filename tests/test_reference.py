@@ -126,6 +126,41 @@ def test_search_pages():
     assert html.search_rows(None) == []
 
 
+def test_pages_of_any_depth(spark):
+    assert html.search_rows("<p>" * 1500 + '<a href="/doc/5/">x</a>')[0]["title"] == "x"
+    assert html.search_rows("<ul>" + "<li>" * 1200 + '<div class="doc"><a href="/doc/7/">y</a>') != []
+    assert html.judgment("<div>" * 3000 + "a" + "</b>" * 3000)[1] == ""
+    assert one(spark, "<i>" * 2000 + "deep", html.clean_text) == "deep"
+
+
+def test_content_with_what_it_holds(spark):
+    pages = [(1, "<div id='content'><div>a</div> b</div> c"), (2, "<div class='x MainPart'>a<div>b</div>c</div>"), (3, "<article>one<div>two</div></article>"), (4, "<h1>A &mdash; B &#8377;5 &nbsp;</h1><body>x&hellip;</body>"), (5, "<h1></h1><h2>t</h2>")]
+    rows = {r["page_id"]: (r["title"], r["text"]) for r in html.parse_judgments(spark.createDataFrame(pages, "page_id long, html string")).collect()}
+    assert rows == {1: ("Judgment 1", "a b"), 2: ("Judgment 2", "a b c"), 3: ("Judgment 3", "one two"), 4: ("A — B ₹5", "x…"), 5: ("", "")}
+
+
+def test_white_space_beyond_ascii(spark):
+    assert one(spark, "Prayer: set\u00a0\u2003it aside\n\nrest", extract.relief) == "set it aside"
+    rows = extract.extract_profiles(spark.createDataFrame([(1, "\u00a0\u2003 \n")], "case_id long, case_text string")).collect()
+    assert rows[0]["confidence"] == 0.0
+    assert one(spark, "One.\u00a0Two. Three", chunk.sentences) == ["One.", "Two.", "Three"]
+    facts = one(spark, "The first sentence stands here.\u2003The second sentence stands here.", extract.key_facts)
+    assert facts == ["The first sentence stands here.", "The second sentence stands here."]
+
+
+def test_rescore_in_parts(spark):
+    base = spark.createDataFrame([(1, 0.5), (2, 0.6)], "case_id long, win_probability double")
+    worlds = whatif.scenario_grid(spark, 1, 1, 1)
+    rows = lambda most: {tuple(r) for r in whatif.rescore(base, worlds, most=most).select("case_id", "scenario_id", "adjusted").collect()}
+    assert rows(100) == rows(100_000) and len(rows(100)) == 2 * worlds.count()
+
+
+def test_snippets(spark):
+    row = one(spark, "word " * 200, vector.snippets)
+    assert (len(row["semantic"]), len(row["keyword"]), row["card"]) == (300, 500, "word " * 39 + "word…")
+    assert one(spark, "short", vector.snippets)["card"] == "short"
+
+
 def test_judgment_pages(spark):
     pages = spark.createDataFrame([(1, "<h2>B</h2><div id='content'>AIR 1973 SC 14 &amp; x<script>no</script></div>"), (2, "<body>only</body>"), (3, None)], "page_id long, html string")
     rows = {r["page_id"]: r for r in html.parse_judgments(pages).collect()}
@@ -239,6 +274,10 @@ def test_keyword_search_falls_back_to_all(spark):
     asked = spark.createDataFrame([(0, "ALPHA"), (1, "zzz")], "query_id int, query string")
     got = {(r["query_id"], r["ordinal"]) for r in fixtures.keyword_search(rows, asked, limit=2).collect()}
     assert got == {(0, 0), (0, 1), (1, 0), (1, 1)}
+    many = spark.createDataFrame([(i, f"q{i}") for i in range(7)] + [(7, "alpha"), (8, "")], "query_id int, query string")
+    got = {(r["query_id"], r["rank"], r["ordinal"]) for r in fixtures.keyword_search(rows, many, limit=2, block=3).collect()}
+    assert got == {(i, n + 1, n) for i in range(9) for n in (0, 1)}
+    assert fixtures.keyword_search(rows, many.limit(0)).count() == 0
 
 
 def test_index_and_json(spark, tmp_path):
