@@ -7,15 +7,15 @@ except in texts with combining marks, which compose with some small letters alon
 
 from __future__ import annotations
 
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 
+from .common import held
 from .tokencount import specials, tokenizer
 
 #: Runs and bytes that one generation of the cache holds; two are kept.
-RUNS, BYTES = 700_000, 14_000_000
+RUNS, BYTES = 400_000, 8_000_000
 #: Runs in one string for the library; short strings cost it less a run than long ones.
 TOGETHER = 64
 #: The first bytes of U+0300 to U+037F in UTF-8.
@@ -80,7 +80,6 @@ class ChunkIds:
         return [self._ids(t.decode("utf-8", "surrogatepass")) if runs is None else b"".join(map(get, runs)) for t, runs in zip(texts, split, strict=True)]
 
 
-@lru_cache(2)
 def chunk_ids(path: str) -> ChunkIds:
     """A worker's own: it serves the tasks of that worker one after the other, so its cache stays warm between them."""
-    return ChunkIds(path)
+    return held("runs", path, lambda: ChunkIds(path))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,6 +62,22 @@ def files_in(spark: SparkSession, path: str) -> list[str]:
     return [s.getPath().getName() for s in fs.listStatus(place)] if fs.exists(place) else []
 
 
+_held: dict = {}
+
+
+def held(kind: str, key: object, make: Callable[[], object]):
+    """What a worker keeps between its tasks: one thing at a time, so that operators that follow each other in a worker don't add up."""
+    if (kind, key) not in _held:
+        _held.clear()
+        _held[kind, key] = make()
+    return _held[kind, key]
+
+
+def released() -> None:
+    """Drops what a worker keeps for another operator; for tasks that need the memory."""
+    _held.clear()
+
+
 def whole(text: Column) -> Column:
     """Null texts count as empty."""
     return F.coalesce(text, F.lit(""))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import held, saved
 
 #: Bytes of words: A-Z become lower case, other ASCII except digits and letters a space; all else stays.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -76,15 +76,9 @@ def tables(items: list[tuple[str | None, bytes]], window: int) -> list[WuManber]
     return [WuManber(p) for p in by_length.values()]
 
 
-_built: dict[int, tuple[object, list[WuManber]]] = {}
-
-
 def _tables(value: tuple[int, list]) -> list[WuManber]:
     """Built once in a worker for each part that it meets last."""
-    if id(value) not in _built:
-        _built.clear()
-        _built[id(value)] = (value, tables(value[1], value[0]))
-    return _built[id(value)][1]
+    return held("patterns", id(value), lambda: (value, tables(value[1], value[0])))[1]
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:

@@ -5,6 +5,8 @@ from __future__ import annotations
 import numpy as np
 from xxhash import xxh3_64_intdigest
 
+from .common import held
+
 #: Words that a worker remembers the hashes of; beyond that it starts anew.
 CACHE_WORDS = 300_000
 _MASK = (1 << 64) - 1
@@ -23,6 +25,11 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+def word_hashes() -> WordHashes:
+    """A worker's own."""
+    return held("hashes", None, WordHashes)
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     """Spreads the bits of polynomial hashes (the finaliser of splitmix64)."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

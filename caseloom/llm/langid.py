@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import dropped, saved
+from .common import dropped, released, saved
 
 UNKNOWN = "und"
 N_MAX = 5
@@ -49,6 +49,7 @@ def fit(docs: DataFrame, *, text: str = "text", label: str = "lang", key: str =
         rows = rows.filter(F.pmod(F.xxhash64(F.lit("sample"), key), F.lit(1_000_000)) < int(share * 1_000_000))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        released()
         seen: Counter = Counter()
 
         def flush() -> pa.RecordBatch:
@@ -177,24 +178,14 @@ class Scorer:
         return self.langs[best], float(p[best] / p.sum())
 
 
-_scorers: dict[int, tuple[dict, Scorer]] = {}
-
-
-def _scorer(model: dict) -> Scorer:
-    """A worker's own, for the model that it met last: scores that it remembers serve its later tasks too."""
-    if id(model) not in _scorers:
-        _scorers.clear()
-        _scorers[id(model)] = (model, Scorer(model))
-    return _scorers[id(model)][1]
-
-
 def predict(docs: DataFrame, model: dict, *, text: str = "text") -> DataFrame:
     """docs with lang_pred and score; all rows and other columns stay."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf(T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
     def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        scorer = _scorer(sent.value)
+        released()
+        scorer = Scorer(sent.value)
         for batch in batches:
             found = [scorer.text(x.as_py()) for x in batch]
             yield pa.StructArray.from_arrays([pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], ["lang_pred", "score"])

@@ -35,7 +35,7 @@ from xxhash import xxh3_128_digest
 from .common import dropped, saved
 from .components import components
 from .decontam import _FOLD
-from .hashing import Windows, WordHashes, mixed
+from .hashing import Windows, mixed, word_hashes
 
 VALUES, BANDS, STEP, BLOCK = 128, 32, 16, 1024
 #: Documents of small groups that make up one unit of work together.
@@ -45,7 +45,6 @@ _rng = np.random.default_rng(20240601)
 _A = _rng.integers(1, 1 << 63, VALUES, dtype=np.uint64) | np.uint64(1)
 _B = _rng.integers(0, 1 << 63, VALUES, dtype=np.uint64)
 _windows = Windows(0x9E3779B97F4A7C15)
-_hashes = WordHashes()
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -53,7 +52,7 @@ def shingles(text: str | None) -> np.ndarray:
     words = (text or "").lower().encode("utf-8", "surrogatepass").translate(_FOLD).split()
     if not words:
         return np.zeros(0, np.uint64)
-    return np.unique(_windows.of(_hashes.of(words), min(SHINGLE, len(words))))
+    return np.unique(_windows.of(word_hashes().of(words), min(SHINGLE, len(words))))
 
 
 def signature(found: np.ndarray) -> np.ndarray:

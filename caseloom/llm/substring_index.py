@@ -33,13 +33,12 @@ from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 
 from .common import dropped, files_in, removed_folder, saved, scratch_root
-from .hashing import Windows, WordHashes
+from .hashing import Windows, word_hashes
 
 GRAM = 8
 #: Runs of one level that are merged into one of the next.
 FANOUT = 2
 _grams = Windows(0x9E3779B97F4A7C15)
-_hashes = WordHashes()
 
 
 def leftmost_least(values: np.ndarray, span: int) -> np.ndarray:
@@ -72,7 +71,7 @@ def anchors(docs: DataFrame, *, key: str = "row", text: str = "text", window: in
         for batch in texts:
             sizes, prints, places = [0], [], []
             for value in batch.cast(pa.binary()):
-                at, grams = minimisers(_hashes.of((value.as_py() or b"").split()), window)
+                at, grams = minimisers(word_hashes().of((value.as_py() or b"").split()), window)
                 pos = np.unique(at)
                 sizes.append(len(pos))
                 prints.append(grams[pos].view(np.int64) if len(pos) else np.zeros(0, np.int64))
@@ -201,7 +200,7 @@ class FingerprintIndex:
 
 def _flagged_windows(words: list[bytes], flagged: list[int], window: int) -> np.ndarray:
     """Starts of the windows whose minimiser is flagged."""
-    at, _ = minimisers(_hashes.of(words), window)
+    at, _ = minimisers(word_hashes().of(words), window)
     return np.flatnonzero(np.isin(at, flagged))
 
 

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import released
+
 #: The characters of Unicode's White_Space.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 UNITS = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
@@ -51,17 +53,14 @@ def frequent(docs: DataFrame, path: str, *, text: str = "text", table_size: int
     return {u: len(e.ids) for u, e in zip(units, tokenizer(path).encode_batch_fast(units, add_special_tokens=False), strict=True)}
 
 
-#: A worker's second tier by vocabulary file; it serves the worker's later tasks too.
-_second: dict[str, dict[str, int]] = {}
-
-
 def count_tokens(docs: DataFrame, path: str, *, text: str = "text", table: dict[str, int] | None = None, out: str = "n_tokens") -> DataFrame:
     """docs with the number of tokens of each whole text under the vocabulary file at path (byte-level BPE)."""
     sent = docs.sparkSession.sparkContext.broadcast(frequent(docs, path, text=text) if table is None else table)
 
     @F.arrow_udf("long")
     def counted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        first, second, encoder, special = sent.value, _second.setdefault(path, {}), tokenizer(path), specials(path)
+        released()
+        first, second, encoder, special = sent.value, {}, tokenizer(path), specials(path)
 
         def of(value: str | None) -> int:
             if not value:
