@@ -30,8 +30,10 @@ from .common import dropped, released, saved
 UNKNOWN = "und"
 N_MAX = 5
 SMOOTH = 0.5
-#: Words that a worker remembers the scores of; beyond that it starts anew.
-CACHE_WORDS = 60_000
+#: Runs, and characters of runs, beyond known words that a task remembers the scores of: past half of them it starts anew.
+CACHE_RUNS, CACHE_CHARS = 120_000, 4_000_000
+#: Characters of texts, and new runs, that are scored together.
+CHARS_AT_ONCE, RUNS_AT_ONCE = 500_000, 20_000
 _LETTERS = regex.compile(r"\p{L}+")
 
 
@@ -130,45 +132,70 @@ def _top(counts: DataFrame, langs: list[str], most: int) -> list:
 
 
 class Scorer:
-    """Scores texts in one worker."""
+    """Scores texts in one worker: a table with one row of scores for each known word and for each other run that was met."""
 
     def __init__(self, model: dict):
         self.langs, self.words, self.grams, self.scores = model["langs"], model["words"], model["grams"], model["scores"]
+        self.rows = np.zeros((len(self.scores) + CACHE_RUNS, len(self.langs) + 1), np.float32)
+        self.rows[: len(self.scores), :-1] = self.scores
+        self.rows[: len(self.scores), -1] = 1
         self.clear()
 
     def clear(self) -> None:
-        self.at: dict[str, int] = {}
-        self.rows = np.zeros((1024, len(self.langs) + 1), np.float32)
+        self.at: dict[str, int] = dict(self.words)
+        self.next, self.chars = len(self.scores), 0
 
-    def word(self, word: str) -> np.ndarray:
+    def known(self, word: str) -> list[int]:
+        """The model's rows whose mean is the score of a word: its own, or those of its longest n-grams of which any is known."""
         if (row := self.words.get(word)) is not None:
-            return self.scores[row]
-        padded = f"^{word}$"
+            return [row]
+        padded, get = f"^{word}$", self.grams.get
         for n in range(min(N_MAX, len(padded)), 0, -1):
-            if known := [r for i in range(len(padded) - n + 1) if (r := self.grams.get(padded[i : i + n])) is not None]:
-                return self.scores[known].mean(axis=0)
-        return np.zeros(len(self.langs), np.float32)
-
-    def chunk(self, chunk: str) -> int:
-        """The row of a run without white space: the sum over its words, and how many they are."""
-        row = len(self.at)
-        if row == len(self.rows):
-            self.rows = np.vstack([self.rows, np.zeros_like(self.rows)])
-        found = _LETTERS.findall(chunk)
-        self.rows[row, :-1] = sum((self.word(w) for w in found), np.zeros(len(self.langs), np.float32))
-        self.rows[row, -1] = len(found)
-        self.at[chunk] = row
-        return row
+            if rows := [r for i in range(len(padded) - n + 1) if (r := get(padded[i : i + n])) is not None]:
+                return rows
+        return []
 
-    def text(self, text: str | None) -> tuple[str, float]:
-        if text is None or not self.langs:
-            return UNKNOWN, 0.0
-        counts = Counter(text.lower().split())
-        if len(self.at) + len(counts) > CACHE_WORDS:
+    def learn(self, runs: list[str]) -> None:
+        """Rows for runs between white space: the sum over the words of each, and how many they are."""
+        if self.next + len(runs) > len(self.rows):
+            self.rows = np.vstack([self.rows, np.zeros((len(runs), self.rows.shape[1]), np.float32)])
+        for a in range(0, len(runs), RUNS_AT_ONCE):
+            some = runs[a : a + RUNS_AT_ONCE]
+            rows, owner, share, words = [], [], [], []
+            for i, run in enumerate(some):
+                found = _LETTERS.findall(run)
+                words.append(len(found))
+                for word in found:
+                    if n := len(known := self.known(word)):
+                        rows += known
+                        owner += [i] * n
+                        share += [1 / n] * n
+            first, last = self.next, self.next + len(some)
+            parts = self.scores[np.array(rows, np.int64)] * np.array(share)[:, None]
+            for j in range(len(self.langs)):
+                self.rows[first:last, j] = np.bincount(owner, parts[:, j], len(some)) if owner else 0
+            self.rows[first:last, -1] = words
+            self.at.update(zip(some, range(first, last), strict=True))
+            self.next = last
+        self.chars += sum(map(len, runs))
+
+    def texts(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """Language and score of each text; the runs that are new in these texts are scored together."""
+        if not self.langs:
+            return [(UNKNOWN, 0.0)] * len(texts)
+        if self.next - len(self.scores) > CACHE_RUNS // 2 or self.chars > CACHE_CHARS:
             self.clear()
-        at, chunk = self.at, self.chunk
-        rows = [r if (r := at.get(c)) is not None else chunk(c) for c in counts]
-        sums = np.fromiter(counts.values(), np.float64, len(rows)) @ self.rows[rows] if rows else np.zeros(len(self.langs) + 1)
+            if len(self.rows) > len(self.scores) + CACHE_RUNS:
+                self.rows = self.rows[: len(self.scores) + CACHE_RUNS].copy()
+        counts = [Counter((x or "").lower().split()) for x in texts]
+        self.learn(list(dict.fromkeys(run for c in counts for run in c if run not in self.at)))
+        return [self._best(c) for c in counts]
+
+    def _best(self, counts: Counter) -> tuple[str, float]:
+        if not counts:
+            return UNKNOWN, 0.0
+        rows = np.fromiter(map(self.at.__getitem__, counts), np.int64, len(counts))
+        sums = np.fromiter(counts.values(), np.float64, len(counts)) @ self.rows[rows]
         words = sums[-1]
         if words < 1:
             return UNKNOWN, 0.0
@@ -177,6 +204,20 @@ class Scorer:
         best = int(np.argmax(p))
         return self.langs[best], float(p[best] / p.sum())
 
+    def text(self, text: str | None) -> tuple[str, float]:
+        return self.texts([text])[0]
+
+    def batch(self, texts: list[str | None]) -> Iterator[tuple[str, float]]:
+        """texts, some characters at a time."""
+        waiting, size = [], 0
+        for x in texts:
+            waiting.append(x)
+            size += len(x or "")
+            if size >= CHARS_AT_ONCE:
+                yield from self.texts(waiting)
+                waiting, size = [], 0
+        yield from self.texts(waiting)
+
 
 def predict(docs: DataFrame, model: dict, *, text: str = "text") -> DataFrame:
     """docs with lang_pred and score; all rows and other columns stay."""
@@ -187,7 +228,7 @@ def predict(docs: DataFrame, model: dict, *, text: str = "text") -> DataFrame:
         released()
         scorer = Scorer(sent.value)
         for batch in batches:
-            found = [scorer.text(x.as_py()) for x in batch]
+            found = list(scorer.batch(batch.to_pylist()))
             yield pa.StructArray.from_arrays([pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], ["lang_pred", "score"])
 
     kept = docs.drop("lang_pred", "score", "_scored")

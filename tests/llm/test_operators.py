@@ -47,6 +47,44 @@ def test_language_id_backs_off_to_shorter_grams():
     assert scorer.text("q")[0] == "a"
 
 
+def _plain_scores(model, text):
+    """Word-first backoff, a word at a time."""
+    total, n_words = np.zeros(len(model["langs"])), 0
+    for word in langid._LETTERS.findall((text or "").lower()):
+        n_words += 1
+        padded = f"^{word}$"
+        if word in model["words"]:
+            total += model["scores"][model["words"][word]]
+            continue
+        for n in range(5, 0, -1):
+            known = [model["grams"][g] for g in (padded[i : i + n] for i in range(len(padded) - n + 1)) if g in model["grams"]]
+            if known:
+                total += model["scores"][known].astype(float).mean(axis=0)
+                break
+    p = np.exp((total - total.max()) / np.sqrt(max(n_words, 1)))
+    return n_words, p / p.sum()
+
+
+@pytest.mark.parametrize("runs", [None, 40])
+def test_language_id_equals_a_plain_version(spark, sf_dir, monkeypatch, runs):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    model = langid.fit(docs.filter(~langid.held_out(F.col("doc_id"))), max_train_docs=60, max_words=2_000, max_grams=2_000)
+    if runs:  # a table that is full at once, and groups of a few runs
+        monkeypatch.setattr(langid, "CACHE_RUNS", runs)
+        monkeypatch.setattr(langid, "RUNS_AT_ONCE", 7)
+        monkeypatch.setattr(langid, "CHARS_AT_ONCE", 900)
+    texts = [r["text"] for r in docs.collect()] + [None, "", " \n", "12 --- 5", "zzqq'xx-yy", "x" * 50_000]
+    found = list(langid.Scorer(model).batch(texts))
+    assert len(found) == len(texts)
+    for text, (lang, score) in zip(texts, found, strict=True):
+        n_words, p = _plain_scores(model, text)
+        if not n_words:
+            assert (lang, score) == ("und", 0.0)
+        else:
+            assert abs(p[model["langs"].index(lang)] - p.max()) < 1e-5
+            assert abs(score - p.max()) < 1e-5
+
+
 def test_language_id_on_odd_rows(spark):
     found = langid.identify(documents(spark), max_train_docs=100)
     got = [r.asDict() for r in found.collect()]
