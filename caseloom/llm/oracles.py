@@ -100,3 +100,48 @@ LINES = """WITH d AS (SELECT doc_id, coalesce(source, chr(0)) AS host, CASE WHEN
     b AS (SELECT c.host, list(line) AS bad FROM c JOIN t ON t.host = c.host WHERE k >= 5 AND k > 0.1 * n GROUP BY c.host),
     k AS (SELECT doc_id, lines, list_filter(lines, lambda x: trim(x, ' ' || chr(9) || chr(13)) = '' OR NOT list_contains(coalesce(bad, []), trim(x, ' ' || chr(9) || chr(13)))) AS kept FROM d LEFT JOIN b ON b.host = d.host)
     SELECT doc_id, len(lines) AS n_lines, len(lines) - len(kept) AS n_dropped, sha256(coalesce(array_to_string(kept, chr(10)), '')) AS kept_sha256 FROM k"""
+
+#: Starts of one text with equal first five words, on one diagonal, make up the maximal pairs.
+PERIODIC = r"""
+with h as materialized (
+  select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w,
+    xor(list_reduce(list_transform(string_split(doc_id::varchar, ''), lambda x: ascii(x)::bigint), lambda c, b: list_reduce(range(8), lambda d, k: xor(d >> 1, 3988292384 * (d & 1)), xor(c, b)), 4294967295::bigint), 4294967295) as h
+  from documents
+), a as (select doc_id, w, h, len(w) as n, (h // 10) % greatest(len(w), 1) as a from h),
+p as (select *, 1 + (n - a) // (3 + (h // 10) % 8) as p from a),
+t as materialized (select doc_id, n, case when h % 10 = 0 and n > 0 then list_concat(w[1:a], list_transform(range(a, n), lambda i: w[1 + a + (i - a) % p])) else w end as w from p),
+e as materialized (select doc_id, n, unnest(range(n)) as i, unnest(w) as word from t),
+f as materialized (select doc_id, n, i, word, hash(word, lead(word, 1) over o, lead(word, 2) over o, lead(word, 3) over o, lead(word, 4) over o) as five from e window o as (partition by doc_id order by i)),
+m as (select x.doc_id, x.i, y.i - x.i as q from f x join f y on x.doc_id = y.doc_id and x.five = y.five and y.i between x.i + 1 and x.i + x.n // 4 where x.i + 5 <= x.n and y.i + 5 <= x.n),
+s as (select *, i - row_number() over (partition by doc_id, q order by i) as island from m),
+l as (select doc_id, min(i) as start, q, count(*) + 4 as shared from s group by doc_id, q, island),
+r as materialized (select doc_id, start, shared + q as length, min(q) as period from l where shared >= 3 * q and shared + q >= 6 group by all),
+b as (select doc_id, count(*) as n_runs, arg_min(struct_pack(s := start, l := length, q := period), (-length, start, period)) as top, string_agg(start || ',' || length || ',' || period || chr(10), '' order by start, period) as listed from r group by doc_id),
+gone as (select distinct doc_id, unnest(range(start + period, start + length)) as i from r),
+kept as (select doc_id, string_agg(word, ' ' order by i) as kept from e anti join gone using (doc_id, i) group by doc_id)
+select doc_id, coalesce(n_runs, 0) as n_runs, top.s as start, top.l as length, top.q as period, 1000 * top.l // top.q as exponent_milli, sha256(coalesce(listed, '')) as runs_sha256, sha256(coalesce(kept, '')) as collapsed_sha256
+from documents left join b using (doc_id) left join kept using (doc_id)"""
+
+DIVERGENCE = r"""
+with d as materialized (
+  select row_number() over () as row, coalesce(lang, '') as lang, coalesce(source, '') as source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as words
+  from documents
+), w as (select row, lang, source, unnest(words) as term from d),
+c as materialized (select lang, source, term, count(*) as n, count(distinct row) as docs from w group by all),
+kept as materialized (select lang, term, sum(n)::hugeint as n from c group by all having sum(docs) >= 30),
+langs as materialized (select lang, count(term)::hugeint as v, coalesce(sum(n), 0)::hugeint as n from (select distinct lang from d) left join kept using (lang) group by lang),
+g as materialized (
+  select lang, source, v, l.n as lang_n, coalesce(sum(c.n) filter (where k.term is not null), 0)::hugeint as n
+  from (select distinct lang, source from d) join langs l using (lang) left join c using (lang, source) left join kept k using (lang, term) group by all
+), p as materialized (
+  select lang, source, term, coalesce(c.n, 0) as n, 1 + (1000000000::hugeint * (coalesce(c.n, 0) + 5)) // (g.n + 5 * g.v) as p, 1 + (1000000000::hugeint * (k.n + 5)) // (g.lang_n + 5 * g.v) as q
+  from g join kept k using (lang) left join c using (lang, source, term)
+), pairs as (
+  select a.lang, a.source, 'pair' as part, b.source as item, coalesce(s.value, 0) as value from g a join g b on a.lang = b.lang and a.source <> b.source
+  left join (select x.lang, x.source, y.source as item, sum(abs(x.p - y.p)) as value from p x join p y on x.lang = y.lang and x.term = y.term and x.source <> y.source group by all) s
+    on s.lang = a.lang and s.source = a.source and s.item = b.source
+), r as (
+  select * from pairs union all select lang, source, 'term', term, p - q from p where n > 0 and p > q
+) select lang, source, part, item, value::bigint as value, rank::integer as rank
+from (select *, row_number() over (partition by lang, source, part order by value desc, item) as rank from r) where part = 'pair' or rank <= 50"""

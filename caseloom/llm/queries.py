@@ -1,14 +1,14 @@
-"""The registered queries of the ten operators, and SQL where SQL can express them."""
+"""The registered queries of the operators, and SQL where SQL can express them."""
 
 from __future__ import annotations
 
 import os
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, linededup, merkle, ngram_join, oracles, packing, secrets, substring_index, tokencount, warc
+from . import decontam, divergence, langid, linededup, merkle, ngram_join, oracles, packing, periodic, secrets, substring_index, tokencount, warc
 from .common import documents, sha
 
 
@@ -68,6 +68,31 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), sha(F.array_join("items", ",")).alias("items_sha256"), decontam.contaminated().alias("contaminated"))
 
 
+def _made_periodic(text: Column, key: Column) -> Column:
+    """The contract's stretch of repeated words, in texts whose key's crc32 ends in 0."""
+    h = F.crc32(key.cast("string"))
+    words = F.regexp_extract_all(text, F.lit("([^\\x20\\x09-\\x0D]+)"), 1)
+    n = F.size(words).cast("long")
+    g = F.floor(h / 10)
+    a = (g % F.greatest(n, F.lit(1))).cast("int")
+    p = (F.lit(1) + F.floor((n - a) / (F.lit(3) + g % 8))).cast("int")
+    again = F.slice(F.flatten(F.array_repeat(F.slice(words, a + 1, p), F.ceil((n - a) / p).cast("int"))), F.lit(1), (n - a).cast("int"))
+    return F.when((h % 10 == 0) & (n > 0), F.array_join(F.concat(F.slice(words, F.lit(1), a), again), " ")).otherwise(text)
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", _made_periodic(F.col("text"), F.col("doc_id")).alias("text"))
+    found = periodic.find_runs(docs).withColumn("top", periodic.longest(F.col("runs")))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "top.start", "top.length", "top.period", F.floor(F.col("top.length") * 1000 / F.col("top.period")).cast("long").alias("exponent_milli"),
+        sha(periodic.listed(F.col("runs"))).alias("runs_sha256"), sha(F.col("collapsed")).alias("collapsed_sha256"),
+    )
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(documents(spark, sf_dir).select("text", "lang", "source"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = linededup.drop_boilerplate(documents(spark, sf_dir).select("doc_id", "text", "source"))
     return found.select("doc_id", "n_lines", "n_dropped", sha(F.col("text")).alias("kept_sha256"))
@@ -75,7 +100,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_language_id, op2_token_counts, op3_ngram_jaccard_join, op4_warc_revisits, op5_document_fingerprints, op6_substring_dedup, op7_best_fit_packing, op8_secret_scans, op9_decontamination, op10_line_dedup)
+    for f in (op1_language_id, op2_token_counts, op3_ngram_jaccard_join, op4_warc_revisits, op5_document_fingerprints, op6_substring_dedup, op7_best_fit_packing, op8_secret_scans, op9_decontamination, op10_line_dedup, op11_periodic_runs, op13_source_divergence)
 }
 
 
@@ -94,4 +119,6 @@ ORACLE_SQL: dict[str, str] = {
     "op6_substring_dedup": oracles.SUBSTRINGS,
     "op9_decontamination": oracles.DECONTAMINATION,
     "op10_line_dedup": oracles.LINES,
+    "op11_periodic_runs": oracles.PERIODIC,
+    "op13_source_divergence": oracles.DIVERGENCE,
 }
