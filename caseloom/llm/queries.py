@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, divergence, langid, linededup, merkle, ngram_join, oracles, packing, periodic, secrets, substring_index, tokencount, warc
+from . import decontam, divergence, langid, linededup, merkle, ngram_join, oracles, packing, periodic, quality, secrets, substring_index, tokencount, warc
 from .common import documents, sha
 
 
@@ -89,6 +89,11 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.classify(documents(spark, sf_dir).select("doc_id", "text"), documents(spark, sf_dir, "labels").select("doc_id", "quality"))
+    return found.select("doc_id", "held_out", "score", "predicted")
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(documents(spark, sf_dir).select("text", "lang", "source"))
 
@@ -100,7 +105,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_language_id, op2_token_counts, op3_ngram_jaccard_join, op4_warc_revisits, op5_document_fingerprints, op6_substring_dedup, op7_best_fit_packing, op8_secret_scans, op9_decontamination, op10_line_dedup, op11_periodic_runs, op13_source_divergence)
+    for f in (op1_language_id, op2_token_counts, op3_ngram_jaccard_join, op4_warc_revisits, op5_document_fingerprints, op6_substring_dedup, op7_best_fit_packing, op8_secret_scans, op9_decontamination, op10_line_dedup, op11_periodic_runs, op12_quality, op13_source_divergence)
 }
 
 
@@ -111,7 +116,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["pipeline"] = pipeline
-#: Not here: op1 (a fitted model), op2 and op7 (a tokenizer), op8 (tests of randomness), pipeline (all of these).
+#: Not here: op1 (a fitted model), op2 and op7 (a tokenizer), op8 (tests of randomness), op12 (a fitted model), pipeline (all of these).
 ORACLE_SQL: dict[str, str] = {
     "op3_ngram_jaccard_join": oracles.NGRAM_JOIN,
     "op4_warc_revisits": oracles.WARC,
