@@ -631,9 +631,23 @@ _ASKED = ("the ", "UND", "license", "no such words at all")
     SELECT CAST(query_id AS INTEGER) AS query_id, CAST(rank AS INTEGER) AS rank, ordinal FROM (SELECT e.query_id, e.ordinal, row_number() OVER (PARTITION BY e.query_id ORDER BY e.ordinal) AS rank FROM each e JOIN seen s ON s.query_id = e.query_id WHERE e.hit OR NOT s.any_hit) WHERE rank <= 10""")
 def src_02_keyword_search(spark, sf_dir):
     """Over whole texts; the ten first rows are the search's own limit."""
-    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ordinal"), F.coalesce("source", F.lit("")).alias("title"), F.col("text").alias("snippet"))
     asked = spark.createDataFrame(list(enumerate(_ASKED)), "query_id int, query string")
-    return fixtures.keyword_search(rows, asked).select("query_id", "rank", "ordinal")
+    return fixtures.keyword_search(_keyword_rows(spark, sf_dir), asked).select("query_id", "rank", "ordinal")
+
+
+def _keyword_rows(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ordinal"), F.coalesce("source", F.lit("")).alias("title"), F.col("text").alias("snippet"))
+
+
+@registered("""WITH rows AS (SELECT doc_id AS ordinal, lower(coalesce(source, '')) AS title, lower(coalesce(text, '')) AS snippet FROM documents),
+    asked AS (SELECT doc_id AS query_id, lower(substr(text, 1 + (doc_id * 7) % 100, 1 + doc_id % 14)) AS query FROM documents),
+    hits AS (SELECT query, ordinal, row_number() OVER (PARTITION BY query ORDER BY ordinal) AS rank FROM (SELECT DISTINCT query FROM asked), rows WHERE contains(title, query) OR contains(snippet, query))
+    SELECT query_id, CAST(rank AS INTEGER) AS rank, ordinal FROM asked JOIN hits USING (query) WHERE rank <= 10
+    UNION ALL SELECT query_id, CAST(rank AS INTEGER), ordinal FROM asked, (SELECT ordinal, row_number() OVER (ORDER BY ordinal) AS rank FROM rows) WHERE rank <= 10 AND query NOT IN (SELECT query FROM hits)""")
+def src_02_query_per_document(spark, sf_dir):
+    """A query of 1 to 14 characters from every document, of which some are asked often and some are in most rows."""
+    asked = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("query_id"), F.expr("substr(text, 1 + cast((doc_id * 7) % 100 as int), 1 + cast(doc_id % 14 as int))").alias("query"))
+    return fixtures.keyword_search(_keyword_rows(spark, sf_dir), asked, first_rows=200).select("query_id", "rank", "ordinal")
 
 
 @registered("SELECT o_orderkey AS doc_id, d.doc_id IS NOT NULL AS found FROM orders LEFT JOIN documents d ON d.doc_id = o_orderkey")

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.text import strip
+from ..operators.keyword import first_matches
 from ..schemas import FIXTURE
 
 
@@ -16,26 +16,14 @@ def read_fixture(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return raw.select(F.posexplode("search_results").alias("ordinal", "r")).select("ordinal", "r.*"), raw.select(F.explode("judgment_details").alias("key", "r")).select("r.*")
 
 
-def keyword_search(rows: DataFrame, queries: DataFrame, *, limit: int = 10, query_id: str = "query_id", block: int = 1_000) -> DataFrame:
-    """SRC-2 for a stated set of queries (query_id, query): rows whose title or snippet has the whole query; all rows if none has; then the limit.
+def keyword_search(rows: DataFrame, queries: DataFrame, *, limit: int = 10, query_id: str = "query_id", first_rows: int = 10_000) -> DataFrame:
+    """SRC-2 for any number of queries (query_id, query): rows (ordinal, title, snippet, ...) whose title or snippet has the whole query, in any
+    case; all rows if none has; then the first ``limit`` by their ordinal, as (query_id, rank, columns of rows).
 
-    The queries go to the rows as arrays of at most ``block``, a block at a time; a row yields only the queries that it has, and each
-    query keeps at most ``limit`` rows per task before the one shuffle. Queries that no row has share the first rows.
+    Queries that ask the same are searched for once, by an index of character grams (``operators.keyword``). A null query is empty.
     """
-    asked = [(r[query_id], (r["query"] or "").lower()) for r in queries.select(query_id, "query").collect()]
-    kind = queries.schema[query_id].dataType.simpleString()
-    best = None
-    for i in range(0, max(1, len(asked)), block):
-        part = F.array(*[F.struct(F.lit(k).cast(kind).alias(query_id), F.lit(q).alias("q")) for k, q in asked[i : i + block]]).cast(f"array<struct<{query_id}:{kind},q:string>>")
-        in_row = F.filter(part, lambda x: F.col("_title").contains(x["q"]) | F.col("_snippet").contains(x["q"]))
-        lowered = rows.withColumns({"_title": F.lower("title"), "_snippet": F.lower(F.coalesce("snippet", F.lit("")))})
-        hits = lowered.select(*rows.columns, F.explode(in_row).alias("_q")).select(*rows.columns, f"_q.{query_id}")
-        top = hits.withColumn("_n", F.row_number().over(Window.partitionBy(query_id).orderBy("ordinal"))).filter(F.col("_n") <= limit)
-        best = top if best is None else best.unionByName(top)
-    without = queries.select(query_id).join(best.select(query_id).distinct(), query_id, "left_anti")
-    first = rows.orderBy("ordinal").limit(limit).withColumn("_n", F.row_number().over(Window.orderBy("ordinal")))
-    every = best.unionByName(without.crossJoin(F.broadcast(first)).select(*best.columns))
-    return every.select(query_id, F.col("_n").alias("rank"), *rows.columns)
+    asked = queries.select(query_id, F.lower(F.coalesce("query", F.lit(""))).alias("query"))
+    return asked.join(first_matches(rows, asked, limit=limit, first_rows=first_rows), "query").select(query_id, "rank", *rows.columns)
 
 
 def lookup(details: DataFrame, doc_ids: DataFrame) -> DataFrame:

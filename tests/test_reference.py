@@ -275,7 +275,7 @@ def test_keyword_search_falls_back_to_all(spark):
     got = {(r["query_id"], r["ordinal"]) for r in fixtures.keyword_search(rows, asked, limit=2).collect()}
     assert got == {(0, 0), (0, 1), (1, 0), (1, 1)}
     many = spark.createDataFrame([(i, f"q{i}") for i in range(7)] + [(7, "alpha"), (8, "")], "query_id int, query string")
-    got = {(r["query_id"], r["rank"], r["ordinal"]) for r in fixtures.keyword_search(rows, many, limit=2, block=3).collect()}
+    got = {(r["query_id"], r["rank"], r["ordinal"]) for r in fixtures.keyword_search(rows, many, limit=2, first_rows=1).collect()}
     assert got == {(i, n + 1, n) for i in range(9) for n in (0, 1)}
     assert fixtures.keyword_search(rows, many.limit(0)).count() == 0
 
