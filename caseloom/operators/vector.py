@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions.text import cut_at_space
+from .pivots import PivotIndex
 
 
 def normalise(v: Column) -> Column:
@@ -31,36 +32,44 @@ def similarity(d2: Column) -> Column:
     return F.round(F.lit(1.0) / (F.lit(1.0) + d2), 6)
 
 
-def nearest(queries: DataFrame, index: DataFrame, k: int = 10, *, query_id: str = "query_id", vector_id: str = "vec_id", vector: str = "embedding", block: int = 1024, max_broadcast_mb: int = 64) -> DataFrame:
+def nearest(
+    queries: DataFrame, index: DataFrame, k: int = 10, *, query_id: str = "query_id", vector_id: str = "vec_id", vector: str = "embedding",
+    block: int = 1024, max_broadcast_mb: int = 64, pivots: int = 64,
+) -> DataFrame:
     """VEC-6: (query_id, rank, vec_id, distance, similarity) of the k least squared distances; ties by vec_id.
 
     While ``max_broadcast_mb`` holds the queries they are sent round, and each task of the index keeps k candidates per query, by matrix
-    products over blocks. Beyond that queries and index are dealt into groups of about ``8 * block`` rows, each pair of groups is a unit
-    of work, and nothing passes the driver. Either way only k rows per query and task are shuffled at the end, exact in double precision.
+    products over blocks. Beyond that the index is dealt into cells around ``pivots``, of which each query meets only those that the
+    triangle inequality leaves (``operators.pivots``), and nothing passes the driver. Either way the result is exact in double precision.
+
+    Defined results: a vector that is null or empty, or that has a null, NaN or infinite element, has no neighbours and is no neighbour.
+    Vectors of several dimensions are searched each among those of its own.
     """
-    spark = queries.sparkSession
-    schema = "query_id long, vec_id long, distance double"
-    one = queries.select(vector).head()
-    n = queries.count()
-    if n * len(one[0] if one else ()) * 4 <= max_broadcast_mb << 20:
-        rows = queries.select(query_id, vector).toPandas()
-        sent = spark.sparkContext.broadcast((rows[query_id].to_numpy(), _matrix(rows[vector])))
-        found = index.select(vector_id, vector).mapInPandas(_candidates(sent, k, block), schema)
-    else:
-        across, down = (-(-max(1, c) // (8 * block)) for c in (n, index.count()))
-        group = lambda c, m: F.pmod(F.xxhash64(c), F.lit(m))
-        left = queries.select(F.col(query_id).alias("id"), F.col(vector).alias("v"), F.explode(F.sequence(F.lit(0), F.lit(down - 1))).alias("_x"), group(query_id, across).alias("_q"))
-        right = index.select(F.col(vector_id).alias("id"), F.col(vector).alias("v"), group(vector_id, down).cast("int").alias("_x"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(across - 1).cast("long"))).alias("_q"))
-
-        def pair(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
-            return _least(q["id"].to_numpy(), _matrix(q["v"]), iter([x[["id", "v"]]]), k, block)
-
-        found = left.groupBy("_q", "_x").cogroup(right.groupBy("_q", "_x")).applyInPandas(pair, schema)
+    sizes = sorted(r["n"] for r in _sound(queries, query_id, vector).select(F.size("v").alias("n")).distinct().collect())
+    parts = [_nearest(*[_sound(df, i, vector).filter(F.size("v") == n) for df, i in ((queries, query_id), (index, vector_id))], k, n, block, max_broadcast_mb, pivots) for n in sizes]
+    found = parts[0] if parts else _sound(queries, query_id, vector).select(F.col("id").alias("query_id"), F.col("id").alias("vec_id"), F.lit(0.0).alias("distance")).filter("false")
+    for part in parts[1:]:
+        found = found.unionByName(part)
     best = Window.partitionBy("query_id").orderBy("distance", "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
     return ranked.select(F.col("query_id").alias(query_id), "rank", F.col("vec_id").alias(vector_id), "distance", similarity(F.col("distance")).alias("similarity"))
 
 
+def _sound(df: DataFrame, key: str, vector: str) -> DataFrame:
+    """(id, v) of the rows whose vector can be compared."""
+    rows = df.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<float>").alias("v"))
+    return rows.filter((F.size("v") > 0) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))
+
+
+def _nearest(queries: DataFrame, index: DataFrame, k: int, dimension: int, block: int, max_broadcast_mb: int, pivots: int) -> DataFrame:
+    """Candidates (query_id, vec_id, distance) of sound vectors (id, v) of one dimension."""
+    if queries.count() * dimension * 4 > max_broadcast_mb << 20:
+        return PivotIndex(index, pivots=pivots, block=block).search(queries, k, _least)
+    rows = queries.toPandas()
+    sent = queries.sparkSession.sparkContext.broadcast((rows["id"].to_numpy(), _matrix(rows["v"])))
+    return index.mapInPandas(_candidates(sent, k, block), "query_id long, vec_id long, distance double")
+
+
 def _matrix(vectors: pd.Series) -> np.ndarray:
     return np.stack(vectors.to_numpy()).astype(np.float32) if len(vectors) else np.zeros((0, 0), np.float32)
 
@@ -142,16 +151,18 @@ def first_per_document(hits: DataFrame, query_id: str = "query_id", doc_id: str
 
 
 def supplement(hits: DataFrame, keyword: DataFrame, k: int = 10, query_id: str = "query_id", doc_id: str = "doc_id") -> DataFrame:
-    """VEC-9: hits with keyword rows (query_id, ordinal, doc_id) for the places left.
+    """VEC-9: hits with keyword rows (query_id, ordinal, doc_id) for the places left: (query_id, doc_id, rank, similarity, source).
 
-    The places are cut first and ids already there taken out after that, so a query may stay below k. Similarity 0.
+    The places are cut first and ids already there (or repeated among the keyword rows) taken out after that, so a query may stay below k.
+    Similarity 0. Ranks of keyword rows follow those of hits, which are at most k; of hits without a rank it is null.
     """
     left = hits.groupBy(query_id).agg(F.count("*").alias("_have"))
     place = Window.partitionBy(query_id).orderBy("ordinal")
-    more = keyword.join(left, query_id, "left").withColumn("_at", F.row_number().over(place)).filter(F.col("_at") <= F.lit(k) - F.coalesce("_have", F.lit(0)))
-    more = more.join(hits.select(query_id, doc_id), [query_id, doc_id], "left_anti")
-    base = hits.select(query_id, doc_id, "similarity", F.lit("vector").alias("source"))
-    return base.unionByName(more.select(query_id, doc_id, F.lit(0.0).alias("similarity"), F.lit("keyword").alias("source")))
+    more = keyword.select(query_id, "ordinal", doc_id).join(left, query_id, "left").withColumn("_at", F.row_number().over(place)).filter(F.col("_at") <= F.lit(k) - F.coalesce("_have", F.lit(0)))
+    more = more.groupBy(query_id, doc_id).agg(F.min("_at").alias("_at")).join(hits.select(query_id, doc_id), [query_id, doc_id], "left_anti")
+    rank = F.col("rank") if "rank" in hits.columns else F.lit(None).cast("int")
+    base = hits.select(query_id, doc_id, rank.cast("int").alias("rank"), "similarity", F.lit("vector").alias("source"))
+    return base.unionByName(more.select(query_id, doc_id, (F.col("_at") + k).cast("int").alias("rank"), F.lit(0.0).alias("similarity"), F.lit("keyword").alias("source")))
 
 
 def distinct_documents(index: DataFrame, doc_id: str = "doc_id") -> DataFrame:

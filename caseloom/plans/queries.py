@@ -354,6 +354,13 @@ def vec_06_07_nearest(spark, sf_dir):
     return _hits(spark, sf_dir).select("query_id", "rank", "vec_id", "similarity")
 
 
+@registered(f"WITH {_KNN} SELECT query_id, rank, vec_id, round(1 / (1 + distance), 6) AS similarity FROM hits")
+def vec_06_pivot_nearest(spark, sf_dir):
+    """The same by the pivot index, as queries too many to be sent round are searched for."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return vector.nearest(vectors.withColumnRenamed("vec_id", "query_id"), vectors, 10, max_broadcast_mb=0).select("query_id", "rank", "vec_id", "similarity")
+
+
 _FIRST = "per_doc AS (SELECT query_id, doc_id, rank, round(1 / (1 + distance), 6) AS similarity FROM (SELECT *, vec_id // 4 AS doc_id, row_number() OVER (PARTITION BY query_id, vec_id // 4 ORDER BY rank) AS n FROM hits) WHERE n = 1)"
 
 
@@ -372,7 +379,7 @@ def vec_08_first_per_document(spark, sf_dir):
 def vec_09_supplement(spark, sf_dir):
     ids = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"))
     kw = ids.select("query_id", F.explode(F.sequence(F.lit(0), F.lit(11))).alias("ordinal")).withColumn("doc_id", (F.col("query_id") + F.col("ordinal") * 3) % 125)
-    return vector.supplement(_per_document(spark, sf_dir), kw)
+    return vector.supplement(_per_document(spark, sf_dir), kw).drop("rank")
 
 
 @registered("SELECT doc_id, substr(text, 1, 300) AS semantic, substr(text, 1, 500) AS keyword, CASE WHEN length(text) > 200 THEN regexp_replace(substr(text, 1, 200), ' [^ ]*$', '') || '…' ELSE text END AS card FROM (SELECT doc_id, replace(text, chr(10), ' ') AS text FROM documents)")

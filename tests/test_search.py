@@ -2,9 +2,10 @@
 
 import random
 
+import numpy as np
 import pytest
 
-from caseloom.operators import keyword
+from caseloom.operators import keyword, pivots, vector
 from caseloom.sources import fixtures
 
 SEARCHED = "ordinal long, title string, snippet string, year int"
@@ -50,3 +51,49 @@ def test_grams_of_any_length():
     assert len(keyword.grams("", (1, 2, 3))) == 0
     assert len(keyword.grams("abcab", (3,))) == 3 and len(keyword.grams("aaaa", (1, 2, 3))) == 3
     assert not set(keyword.grams("a", (1,)).tolist()) & set(keyword.grams("ab", (2,)).tolist())
+
+
+def _vectors(spark, rows, key="vec_id"):
+    return spark.createDataFrame(rows, f"{key} long, embedding array<float>")
+
+
+def _plain_nearest(rows, asked, k):
+    usable = lambda v: v and all(x is not None and np.isfinite(x) for x in v)
+    out = set()
+    for q, a in asked:
+        if usable(a):
+            near = sorted((sum((float(np.float32(x)) - float(np.float32(y))) ** 2 for x, y in zip(a, v, strict=True)), i) for i, v in rows if usable(v) and len(v) == len(a))
+            out |= {(q, n, i) for n, (_, i) in enumerate(near[:k], 1)}
+    return out
+
+
+@pytest.mark.parametrize("sent_mb", [64, 0])
+def test_nearest_with_nulls_ties_and_dimensions(spark, sent_mb):
+    rng = np.random.default_rng(2)
+    rows = [(i, [float(x) for x in rng.integers(0, 3, 4 if i % 4 else 2)]) for i in range(90)]
+    rows += [(100, None), (101, []), (102, [1.0, None, 0.0, 0.0]), (103, [float("nan")] * 4), (104, [float("inf"), 0.0, 0.0, 0.0]), (105, [1.0] * 3), (106, [0.0] * 4)]
+    asked = [*rows[:90:5], *rows[90:], (200, [1.0] * 9)]
+    got = vector.nearest(_vectors(spark, asked, "query_id").repartition(3), _vectors(spark, rows).repartition(4), 6, max_broadcast_mb=sent_mb, block=8, pivots=5)
+    assert {(r["query_id"], r["rank"], r["vec_id"]) for r in got.collect()} == _plain_nearest(rows, asked, 6)
+
+
+def test_no_sound_vector_at_all(spark):
+    none = _vectors(spark, [(1, None)])
+    for mb in (64, 0):
+        assert vector.nearest(none.withColumnRenamed("vec_id", "query_id"), none, 3, max_broadcast_mb=mb).count() == 0
+        assert vector.nearest(_vectors(spark, [(1, [1.0])], "query_id"), none, 3, max_broadcast_mb=mb).count() == 0
+
+
+def test_pivots_skip_cells_and_stay_exact(spark):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(12, 16)) * 20
+    rows = [(i, [float(x) for x in np.float32(centres[i % 12] + rng.normal(size=16))]) for i in range(600)] + [(1000 + i, [5.0] * 16) for i in range(300)]
+    index = pivots.PivotIndex(_vectors(spark, rows).toDF("id", "v").repartition(3), pivots=16, block=8)
+    asked = [*rows[:60], (5000, [5.0] * 16), (5001, [0.0] * 16)]
+    found = index.search(_vectors(spark, asked, "query_id").toDF("id", "v"), 4, vector._least).collect()
+    best = {}
+    for r in found:
+        best.setdefault(r["query_id"], []).append((r["distance"], r["vec_id"]))
+    got = {(q, n, i) for q, near in best.items() for n, (_, i) in enumerate(sorted(near)[:4], 1)}
+    assert got == _plain_nearest(rows, asked, 4)
+    assert index.visited < index.cells_by_queries / 3
