@@ -502,17 +502,22 @@ def grf_01_slug(spark, sf_dir):
 
 # --- Scores -----------------------------------------------------------------------------------------------------
 
-_SCORES = f"""{_GRAPH}, sims AS (SELECT case_id, avg(similarity_score) AS mean, max(similarity_score) AS best, count(*) AS n FROM precedents GROUP BY case_id),
+def _scores_sql(graph: str, completeness: str) -> str:
+    return f"""{graph}, sims AS (SELECT case_id, avg(similarity_score) AS mean, max(similarity_score) AS best, count(*) AS n FROM precedents GROUP BY case_id),
     raws AS (SELECT p.case_id, p.relief_sought, p.petitioner, p.respondent, len(p.key_facts) AS n_facts, s.best, len(p.ipc_sections) + len(p.acts_referenced) AS n_refs, t.n_weak,
         CASE WHEN s.mean IS NULL THEN 0.4 WHEN s.best > 0.8 THEN least(s.mean + 0.1, 1.0) ELSE s.mean END AS r0,
         CASE WHEN len(p.ipc_sections) + len(p.acts_referenced) = 0 THEN 0.3 WHEN len(p.ipc_sections) + len(p.acts_referenced) <= 2 THEN 0.5 WHEN len(p.ipc_sections) + len(p.acts_referenced) <= 4 THEN 0.7 ELSE 0.85 END + CASE WHEN p.case_type = 'criminal' AND len(p.ipc_sections) > 0 THEN 0.05 ELSE 0 END AS r1,
-        CASE WHEN t.node_count = 0 THEN 0.5 ELSE (t.node_count - t.n_weak) / t.node_count::DOUBLE END AS r2, CASE WHEN len(p.legal_issues) <= 2 THEN 0.8 WHEN len(p.legal_issues) <= 4 THEN 0.65 ELSE 0.5 END AS r3,
+        {completeness} AS r2, CASE WHEN len(p.legal_issues) <= 2 THEN 0.8 WHEN len(p.legal_issues) <= 4 THEN 0.65 ELSE 0.5 END AS r3,
         CASE WHEN contains(lower(p.court_level), 'supreme') THEN 0.5 WHEN contains(lower(p.court_level), 'high') THEN 0.6 WHEN contains(lower(p.court_level), 'district') OR contains(lower(p.court_level), 'sessions') THEN 0.7 ELSE 0.55 END AS r4
         FROM case_profile p LEFT JOIN sims s ON s.case_id = p.case_id JOIN stats t ON t.case_id = p.case_id),
     parts AS (SELECT *, round(r0::DOUBLE * 0.35::DOUBLE, 4) AS w0, round(r1::DOUBLE * 0.25::DOUBLE, 4) AS w1, round(r2::DOUBLE * 0.2::DOUBLE, 4) AS w2, round(r3::DOUBLE * 0.1::DOUBLE, 4) AS w3, round(r4::DOUBLE * 0.1::DOUBLE, 4) AS w4 FROM raws),
     scores AS (SELECT *, greatest(0.05, least(0.95, round(w0 + w1 + w2 + w3 + w4, 4))) AS win_probability FROM parts)"""
 
 
+_COMPLETE = "CASE WHEN t.node_count = 0 THEN 0.5 ELSE (t.node_count - t.n_weak) / t.node_count::DOUBLE END"
+_SCORES = _scores_sql(_GRAPH, _COMPLETE)
+
+
 def _scores(spark, sf_dir) -> DataFrame:
     profiles, cited = _inputs(spark, sf_dir)
     return score.score_cases(profiles, cited, graph.graph_stats(profiles, cited))
@@ -560,13 +565,17 @@ _CITED_SAY = "CASE WHEN n_cited = 0 THEN 'No similar precedents found — neutra
 _ADVICE = [x.replace("'", "''") for x in rules.ADVICE]
 
 
-@registered(f"""{_SCORES}, more AS (SELECT s.*, p.court_level AS court, p.case_type = 'criminal' AND len(p.ipc_sections) > 0 AS criminal, len(p.legal_issues) AS n_issues, t.node_count, coalesce(c.n, 0) AS n_cited, coalesce(c.k, 0) AS n_scored
+#: After the scores: (case_id, win_probability, recommendation) as advised.
+_ADVISED = f""", more AS (SELECT s.*, p.court_level AS court, p.case_type = 'criminal' AND len(p.ipc_sections) > 0 AS criminal, len(p.legal_issues) AS n_issues, t.node_count, coalesce(c.n, 0) AS n_cited, coalesce(c.k, 0) AS n_scored
         FROM scores s JOIN case_profile p ON p.case_id = s.case_id JOIN stats t ON t.case_id = s.case_id LEFT JOIN (SELECT case_id, count(*) AS n, count(similarity_score) AS k FROM precedents GROUP BY case_id) c ON c.case_id = s.case_id),
     said AS (SELECT case_id, win_probability, unnest([{{'s': w0, 'o': 0, 't': {_CITED_SAY}}}, {{'s': w1, 'o': 1, 't': {_REFS_SAY}}}, {{'s': w2, 'o': 2, 't': {_GRAPH_SAYS}}}, {{'s': w3, 'o': 3, 't': {_ISSUES_SAY}}}, {{'s': w4, 'o': 4, 't': {_COURT_SAYS}}},
         {{'s': CASE WHEN n_refs = 0 THEN 0.05::DOUBLE END, 'o': 5, 't': 'No statutory references — weak legal foundation.'}}, {{'s': CASE WHEN petitioner IS NULL AND respondent IS NULL THEN 0.05::DOUBLE END, 'o': 6, 't': 'Parties not identified — case framing incomplete.'}},
         {{'s': CASE WHEN n_weak > 0 THEN 0.08::DOUBLE END, 'o': 7, 't': n_weak::VARCHAR || ' unsupported argument node(s) in the graph.'}}, {{'s': CASE WHEN relief_sought IS NULL THEN 0.06::DOUBLE END, 'o': 8, 't': 'No relief sought — unclear remedy being pursued.'}}]) AS x FROM more),
-    first_one AS (SELECT case_id, win_probability, x.t AS fix FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY x.s, x.o) AS n FROM said WHERE x.s < 0.15) WHERE n = 1)
-    SELECT case_id, CASE WHEN win_probability >= 0.7 THEN '{_ADVICE[0]}' WHEN win_probability >= 0.5 THEN '{_ADVICE[1]}' ELSE '{_ADVICE[2]}' END || ' Consider addressing: ' || lower(fix) AS recommendation FROM first_one""")
+    first_one AS (SELECT case_id, win_probability, x.t AS fix FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY x.s, x.o) AS n FROM said WHERE x.s < 0.15) WHERE n = 1),
+    advised AS (SELECT case_id, win_probability, CASE WHEN win_probability >= 0.7 THEN '{_ADVICE[0]}' WHEN win_probability >= 0.5 THEN '{_ADVICE[1]}' ELSE '{_ADVICE[2]}' END || ' Consider addressing: ' || lower(fix) AS recommendation FROM first_one)"""
+
+
+@registered(f"{_SCORES}{_ADVISED} SELECT case_id, recommendation FROM advised")
 def sim_11_recommendations(spark, sf_dir):
     return _scores(spark, sf_dir).select("case_id", "recommendation")
 
@@ -741,9 +750,52 @@ def _index(spark, sf_dir) -> DataFrame:
     return chunks.select((F.col("doc_id") * 1000 + F.col("chunk_index")).alias("vec_id"), "doc_id", "embedding")
 
 
-@registered()
+_HEX = "hex(encode(word))"
+#: crc32 of a word's bytes: the hashing encoder's place and sign.
+_CRC = f"""xor(list_reduce(list_transform(range(0, length({_HEX}), 2), lambda i: 16 * (strpos('0123456789ABCDEF', substr({_HEX}, i + 1, 1)) - 1) + strpos('0123456789ABCDEF', substr({_HEX}, i + 2, 1)) - 1),
+    lambda c, b: list_reduce(range(8), lambda d, k: xor(d >> 1, 3988292384 * (d & 1)), xor(c, b)), 4294967295::BIGINT), 4294967295)"""
+
+
+def _encoded_sql(name: str, texts: str) -> str:
+    """Common tables that end in (key, v): the hashing encoder's vector of each (key, text), at unit length as floats."""
+    unit = lambda v: f"list_transform({v}, lambda x: CASE WHEN norm > 0 THEN (x::FLOAT / norm::FLOAT)::FLOAT ELSE x::FLOAT END)"
+    norm = lambda v: f"sqrt(list_reduce(list_transform({v}, lambda x: x::DOUBLE * x::DOUBLE), lambda a, b: a + b))"
+    return f"""{name}_words AS MATERIALIZED (SELECT key, word, count(*) AS n FROM (SELECT key, unnest(string_split_regex(lower(text), '[ \t\n\x0b\f\r]+')) AS word FROM {texts}) WHERE word <> '' GROUP BY ALL),
+    {name}_hashes AS MATERIALIZED (SELECT word, {_CRC} AS h FROM (SELECT DISTINCT word FROM {name}_words)),
+    {name}_sums AS MATERIALIZED (SELECT key, map_from_entries(list(struct_pack(k := place, v := c))) AS m FROM (SELECT key, h % 384 AS place, sum(CASE WHEN h >> 31 = 1 THEN n ELSE -n END)::BIGINT AS c FROM {name}_words JOIN {name}_hashes USING (word) GROUP BY ALL) GROUP BY key),
+    {name}_dense AS MATERIALIZED (SELECT key, list_transform(range(384), lambda i: coalesce(m[i], 0)) AS v FROM {texts} LEFT JOIN {name}_sums USING (key)),
+    {name}_once AS MATERIALIZED (SELECT key, {unit("v")} AS v FROM (SELECT key, v, {norm("v")} AS norm FROM {name}_dense)),
+    {name} AS MATERIALIZED (SELECT key, {unit("v")} AS v FROM (SELECT key, v, {norm("v")} AS norm FROM {name}_once))"""
+
+
+#: Precedents of each case_profile by the semantic search and its keyword supplement.
+_FOUND_SQL = f"""{_COUNTED},
+    chunk_texts AS MATERIALIZED (SELECT doc_id * 1000 + j - 1 AS key, chunks[j] AS text FROM (SELECT doc_id, chunks, unnest(range(1, len(chunks) + 1)) AS j FROM done)),
+    asked AS MATERIALIZED (SELECT row_number() OVER () AS key, text FROM (SELECT DISTINCT array_to_string(legal_issues, ' ') AS text FROM case_profile)),
+    {_encoded_sql("chunk_vectors", "chunk_texts")}, {_encoded_sql("asked_vectors", "asked")},
+    rough AS MATERIALIZED (SELECT q.key, x.key AS chunk, array_distance(q.v::FLOAT[384], x.v::FLOAT[384]) AS d FROM asked_vectors q, chunk_vectors x),
+    kth AS (SELECT key, max(d) AS d FROM (SELECT key, d FROM rough QUALIFY row_number() OVER (PARTITION BY key ORDER BY d) <= 5) GROUP BY key),
+    close AS MATERIALIZED (SELECT r.key, r.chunk FROM rough r JOIN kth USING (key) WHERE r.d <= kth.d + 0.001),
+    measured AS MATERIALIZED (SELECT c.key, c.chunk, list_reduce(list_transform(range(1, 385), lambda i: (q.v[i]::DOUBLE - x.v[i]::DOUBLE) * (q.v[i]::DOUBLE - x.v[i]::DOUBLE)), lambda a, b: a + b) AS distance FROM close c JOIN asked_vectors q ON q.key = c.key JOIN chunk_vectors x ON x.key = c.chunk),
+    near AS MATERIALIZED (SELECT key, chunk // 1000 AS doc_id, distance, row_number() OVER (PARTITION BY key ORDER BY distance, chunk) AS rank FROM measured QUALIFY rank <= 5),
+    hits AS (SELECT key, doc_id, rank, round(1 / (1 + distance), 6) AS similarity FROM near QUALIFY row_number() OVER (PARTITION BY key, doc_id ORDER BY rank) = 1),
+    looked AS (SELECT doc_id, lower(coalesce(source, '')) AS title, lower(coalesce(text, '')) AS snippet FROM documents),
+    holds AS MATERIALIZED (SELECT key, doc_id FROM asked, looked WHERE contains(title, lower(asked.text)) OR contains(snippet, lower(asked.text))),
+    keyed AS (SELECT key, doc_id, row_number() OVER (PARTITION BY key ORDER BY doc_id) AS spot FROM (SELECT * FROM holds UNION ALL SELECT key, doc_id FROM asked, (SELECT doc_id FROM looked ORDER BY doc_id LIMIT 5) WHERE key NOT IN (SELECT key FROM holds))),
+    found AS (SELECT * FROM hits UNION ALL SELECT key, doc_id, 5 + spot, 0.0 FROM keyed k WHERE spot <= 5 - (SELECT count(*) FROM hits h WHERE h.key = k.key) AND NOT EXISTS (SELECT 1 FROM hits h WHERE h.key = k.key AND h.doc_id = k.doc_id))
+    SELECT case_id, rank, doc_id::VARCHAR AS doc_id, '' AS title, NULL::VARCHAR AS court, NULL::VARCHAR AS date, similarity::DOUBLE AS similarity_score FROM case_profile JOIN asked ON asked.text = array_to_string(legal_issues, ' ') JOIN found USING (key)"""
+_FOUND_GRAPH = _graph_sql(_PROFILE_SQL, _FOUND_SQL)
+_LEVEL = "CASE WHEN win_probability >= 0.7 THEN 'Favorable' WHEN win_probability >= 0.5 THEN 'Uncertain' ELSE 'Unfavorable' END AS risk_level"
+
+
+def _keyword_documents(spark, sf_dir) -> DataFrame:
+    return _keyword_rows(spark, sf_dir).withColumn("doc_id", F.col("ordinal"))
+
+
+@registered(f"{_scores_sql(_FOUND_GRAPH, '0.5::DOUBLE')} SELECT case_id, win_probability, {_LEVEL} FROM scores")
 def pip_02_extract_search_score(spark, sf_dir):
-    return pipelines.extract_search_score(synth.case_text(spark, sf_dir), _index(spark, sf_dir)).select("case_id", "win_probability", "risk_level")
+    found = pipelines.extract_search_score(synth.case_text(spark, sf_dir), _index(spark, sf_dir), keyword=_keyword_documents(spark, sf_dir))
+    return found.select("case_id", "win_probability", "risk_level")
 
 
 _ADJUSTED = "round(greatest(0.05, least(0.95, p + delta)), 4)"
@@ -759,6 +811,7 @@ def pip_04_ingest_new(spark, sf_dir):
     return pipelines.ingest_counts(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-@registered()
+@registered(f"{_scores_sql(_FOUND_GRAPH, _COMPLETE)}{_ADVISED} SELECT case_id, win_probability, {_LEVEL}, recommendation FROM advised")
 def pip_full(spark, sf_dir):
-    return pipelines.extract_search_score(synth.case_text(spark, sf_dir), _index(spark, sf_dir), with_graph=True).select("case_id", "win_probability", "risk_level", "recommendation")
+    found = pipelines.extract_search_score(synth.case_text(spark, sf_dir), _index(spark, sf_dir), keyword=_keyword_documents(spark, sf_dir), with_graph=True)
+    return found.select("case_id", "win_probability", "risk_level", "recommendation")

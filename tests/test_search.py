@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from caseloom.operators import keyword, pivots, vector
+from caseloom.plans import pipelines
 from caseloom.sources import fixtures
 
 SEARCHED = "ordinal long, title string, snippet string, year int"
@@ -97,3 +98,52 @@ def test_pivots_skip_cells_and_stay_exact(spark):
     got = {(q, n, i) for q, near in best.items() for n, (_, i) in enumerate(sorted(near)[:4], 1)}
     assert got == _plain_nearest(rows, asked, 4)
     assert index.visited < index.cells_by_queries / 3
+
+
+def _toy(texts):
+    """Two features: how many a and b a text has."""
+    return np.array([[t.count("a"), t.count("b")] for t in texts], np.float32)
+
+
+def _toy_index(spark):
+    rows = [(1, 10, [1.0, 0.0]), (2, 10, [1.0, 0.0]), (3, 11, [0.0, 1.0]), (4, 12, [float(np.float32(0.6)), float(np.float32(0.8))])]
+    return spark.createDataFrame(rows, "vec_id long, doc_id long, embedding array<float>")
+
+
+KEYWORD_ROWS = [(0, "10", "a first", ""), (1, "21", "has aa too", None), (2, "22", "b", "x"), (3, "23", None, "other")]
+
+
+def test_search_with_its_supplement(spark):
+    keyword_rows = spark.createDataFrame(KEYWORD_ROWS, "ordinal int, doc_id string, title string, snippet string")
+    asked = spark.createDataFrame([(1, "aa"), (2, "aa"), (3, None), (4, "zz b")], "query_id long, query string")
+    found = pipelines.search(asked, _toy_index(spark), 3, keyword=keyword_rows, encoder=_toy).collect()
+    got = {q: [(r["doc_id"], r["source"], r["similarity"]) for r in sorted(found, key=lambda r: r["rank"]) if r["query_id"] == q] for q in (1, 2, 3, 4)}
+    # The three nearest chunks of aa are of documents 10, 10 and 12; one place is left, for the only title with aa.
+    assert got[1] == got[2] == [("10", "vector", 1.0), ("12", "vector", round(1 / 1.8, 6)), ("21", "keyword", 0.0)]
+    # The empty question is as far from all; its place goes to the first row, which is there already.
+    assert got[3] == [("10", "vector", 0.5), ("11", "vector", 0.5)]
+    # Nothing has "zz b", so all rows count, of which the first is document 10.
+    assert [x[:2] for x in got[4]] == [("11", "vector"), ("12", "vector"), ("10", "vector")]
+
+
+def test_search_without_an_index_or_keywords(spark):
+    asked = spark.createDataFrame([(1, "aa")], "query_id long, query string")
+    keyword_rows = spark.createDataFrame(KEYWORD_ROWS, "ordinal int, doc_id string, title string, snippet string")
+    empty = _toy_index(spark).filter("false")
+    assert [(r["doc_id"], r["rank"], r["similarity"]) for r in pipelines.search(asked, empty, 3, keyword=keyword_rows, encoder=_toy).collect()] == [("21", 4, 0.0)]
+    assert pipelines.search(asked, empty, 3, encoder=_toy).count() == 0
+
+
+def test_failing_keyword_search_is_left_out(spark):
+    asked = spark.createDataFrame([(1, "aa")], "query_id long, query string")
+
+    def fails(questions):
+        raise OSError("no network")
+
+    with pytest.warns(UserWarning, match="no network"):
+        assert {r["source"] for r in pipelines.search(asked, _toy_index(spark), 3, keyword=fails, encoder=_toy).collect()} == {"vector"}
+
+    def partly(questions):
+        return questions.selectExpr("query_id", "explode(array(struct(0 as ordinal, '30' as doc_id, 502 as status), struct(1 as ordinal, '31' as doc_id, 200 as status))) as r").select("query_id", "r.*")
+
+    assert [r["doc_id"] for r in pipelines.search(asked, _toy_index(spark), 3, keyword=partly, encoder=_toy).orderBy("rank").collect()] == ["10", "12", "31"]
