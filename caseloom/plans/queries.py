@@ -421,23 +421,24 @@ def _graph_sql(profiles: str, precedents: str) -> str:
         UNION ALL SELECT case_id, 1, respondent || ' — defense', 'Defense asserted by the respondent: ' || respondent FROM case_profile WHERE respondent <> ''),
     claims AS (SELECT case_id, r, {_SLUG('claim', 'full_label')} AS id, substr(full_label, 1, 80) AS label, description FROM parties),
     cited AS (SELECT *, {_SLUG('precedent', 'doc_id')} AS id FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY rank) AS n FROM precedents) WHERE n <= 3),
-    nodes AS (SELECT case_id, {_SLUG('issue', 'item')} AS id, {_CUT('item')} AS label, 'ISSUE' AS type, 0.7::DOUBLE AS weight, item AS description FROM issues
+    nodes AS MATERIALIZED (SELECT case_id, {_SLUG('issue', 'item')} AS id, {_CUT('item')} AS label, 'ISSUE' AS type, 0.7::DOUBLE AS weight, item AS description FROM issues
         UNION ALL SELECT case_id, id, label, 'CLAIM', 0.8, description FROM claims
         UNION ALL SELECT case_id, {_SLUG('statute', 'item')}, item, 'STATUTE', 0.85, 'Statutory provision: ' || item FROM sections
         UNION ALL SELECT case_id, {_SLUG('act', 'item')}, item, 'STATUTE', 0.6, 'Act referenced: ' || item FROM acts
         UNION ALL SELECT case_id, 'evidence:fact_' || CAST(spot AS VARCHAR), {_CUT('item')}, 'EVIDENCE', 0.6, item FROM facts
         UNION ALL SELECT case_id, id, {_CUT('title')}, 'PRECEDENT', coalesce(nullif(similarity_score, 0.0), 0.5), concat_ws(' | ', title, court, date) FROM cited),
-    i AS (SELECT case_id, item, {_SLUG('issue', 'item')} AS id FROM issues), st AS (SELECT case_id, item, {_SLUG('statute', 'item')} AS id FROM sections), ac AS (SELECT case_id, {_SLUG('act', 'item')} AS id FROM acts),
-    fa AS (SELECT case_id, 'evidence:fact_' || CAST(spot AS VARCHAR) AS id FROM facts), least_role AS (SELECT case_id, min(r) AS r FROM claims GROUP BY case_id),
-    raw_edges AS (SELECT c.case_id, c.id AS source, 'raises' AS verb, i.id AS target, 'raises' AS label, 'raises' AS type, 0.7::DOUBLE AS strength FROM claims c JOIN i ON i.case_id = c.case_id
-        UNION ALL SELECT s.case_id, s.id, 'raises', i.id, CASE WHEN about THEN 'relates to' ELSE 'referenced' END, 'raises', CASE WHEN about THEN 0.8 ELSE 0.4 END FROM (SELECT s.case_id, s.id, i.id AS target, len(list_filter(string_split(lower(s.item), ' '), lambda t: length(t) > 2 AND contains(lower(i.item), t))) > 0 AS about FROM st s JOIN i ON i.case_id = s.case_id) s JOIN i ON i.case_id = s.case_id AND i.id = s.target
-        UNION ALL SELECT s.case_id, s.id, 'to', c.id, 'supports', 'supports', 0.6 FROM st s JOIN claims c ON c.case_id = s.case_id
-        UNION ALL SELECT a.case_id, a.id, 'to', c.id, 'cited by', 'supports', 0.4 FROM ac a JOIN claims c ON c.case_id = a.case_id
-        UNION ALL SELECT f.case_id, f.id, 'supports', c.id, CASE WHEN c.r = l.r THEN 'supports' ELSE 'context for' END, 'supports', CASE WHEN c.r = l.r THEN 0.65 ELSE 0.3 END FROM fa f JOIN claims c ON c.case_id = f.case_id JOIN least_role l ON l.case_id = f.case_id
-        UNION ALL SELECT p.case_id, p.id, 'cites', i.id, 'cites', 'cites', 0.5 FROM cited p JOIN i ON i.case_id = p.case_id),
+    i AS (SELECT case_id, spot, item, {_SLUG('issue', 'item')} AS id FROM issues), st AS (SELECT case_id, spot, item, {_SLUG('statute', 'item')} AS id FROM sections), ac AS (SELECT case_id, spot, {_SLUG('act', 'item')} AS id FROM acts),
+    fa AS (SELECT case_id, spot, 'evidence:fact_' || CAST(spot AS VARCHAR) AS id FROM facts), least_role AS (SELECT case_id, min(r) AS r FROM claims GROUP BY case_id),
+    about AS (SELECT s.case_id, s.spot, i.spot AS issue, s.id, i.id AS target, len(list_filter(string_split(lower(s.item), ' '), lambda t: length(t) > 2 AND contains(lower(i.item), t))) > 0 AS about FROM st s JOIN i ON i.case_id = s.case_id),
+    raw_edges AS MATERIALIZED (SELECT c.case_id, c.id AS source, 'raises' AS verb, i.id AS target, 'raises' AS label, 'raises' AS type, 0.7::DOUBLE AS strength, [0, c.r, 0, i.spot] AS built FROM claims c JOIN i ON i.case_id = c.case_id
+        UNION ALL SELECT case_id, id, 'raises', target, CASE WHEN about THEN 'relates to' ELSE 'referenced' END, 'raises', CASE WHEN about THEN 0.8 ELSE 0.4 END, [1, spot, 0, issue] FROM about
+        UNION ALL SELECT s.case_id, s.id, 'to', c.id, 'supports', 'supports', 0.6, [1, s.spot, 1, c.r] FROM st s JOIN claims c ON c.case_id = s.case_id
+        UNION ALL SELECT a.case_id, a.id, 'to', c.id, 'cited by', 'supports', 0.4, [2, a.spot, 0, c.r] FROM ac a JOIN claims c ON c.case_id = a.case_id
+        UNION ALL SELECT f.case_id, f.id, 'supports', c.id, CASE WHEN c.r = l.r THEN 'supports' ELSE 'context for' END, 'supports', CASE WHEN c.r = l.r THEN 0.65 ELSE 0.3 END, [3, f.spot, 0, c.r] FROM fa f JOIN claims c ON c.case_id = f.case_id JOIN least_role l ON l.case_id = f.case_id
+        UNION ALL SELECT p.case_id, p.id, 'cites', i.id, 'cites', 'cites', 0.5, [4, p.n, 0, i.spot] FROM cited p JOIN i ON i.case_id = p.case_id),
     edges AS (SELECT case_id, 'edge_' || source || '_' || verb || '_' || target AS id, source, target, label, type, strength FROM raw_edges),
     backed AS (SELECT DISTINCT e.case_id, e.target AS id FROM edges e JOIN fa ON fa.case_id = e.case_id AND fa.id = e.source WHERE e.type = 'supports'),
-    weak AS (SELECT n.case_id, n.id FROM nodes n WHERE n.type = 'CLAIM' AND NOT EXISTS (SELECT 1 FROM backed b WHERE b.case_id = n.case_id AND b.id = n.id)),
+    weak AS MATERIALIZED (SELECT n.case_id, n.id FROM nodes n ANTI JOIN backed b ON b.case_id = n.case_id AND b.id = n.id WHERE n.type = 'CLAIM'),
     stats AS (SELECT p.case_id, (SELECT count(*) FROM nodes n WHERE n.case_id = p.case_id) AS node_count, (SELECT count(*) FROM edges e WHERE e.case_id = p.case_id) AS edge_count, (SELECT count(*) FROM weak w WHERE w.case_id = p.case_id) AS n_weak FROM case_profile p)"""
 
 
@@ -475,11 +476,11 @@ def grf_15_stats(spark, sf_dir):
     return graph.graph_stats(*_inputs(spark, sf_dir)).select("case_id", "node_count", "edge_count", F.size("weak_nodes").cast("long").alias("n_weak"))
 
 
-@registered(f"""{_GRAPH} SELECT case_id, 'edge' AS kind, 'e' || CAST(row_number() OVER (PARTITION BY case_id ORDER BY type, id, label) - 1 AS VARCHAR) AS element_id, id, NULL::BOOLEAN AS weak FROM edges
+@registered(f"""{_GRAPH} SELECT case_id, 'edge' AS kind, 'e' || CAST(row_number() OVER (PARTITION BY case_id ORDER BY built) - 1 AS VARCHAR) AS element_id, 'edge_' || source || '_' || verb || '_' || target AS id, NULL::BOOLEAN AS weak FROM raw_edges
     UNION ALL SELECT n.case_id, 'node', n.id, n.id, w.id IS NOT NULL FROM nodes n LEFT JOIN (SELECT DISTINCT case_id, id FROM weak) w ON w.case_id = n.case_id AND w.id = n.id""")
 def grf_17_elements(spark, sf_dir):
     profiles, cited = _inputs(spark, sf_dir)
-    n, e = graph.nodes(profiles, cited), graph.edges(profiles, cited)
+    n, e = graph.nodes(profiles, cited), graph.built_edges(profiles, cited)
     seen, numbered = graph.element_view(n, e, graph.weak_claims(n, e))
     edge = numbered.select("case_id", F.lit("edge").alias("kind"), "element_id", "id", F.lit(None).cast("boolean").alias("weak"))
     return edge.unionByName(seen.select("case_id", F.lit("node").alias("kind"), F.col("id").alias("element_id"), "id", "weak"))
