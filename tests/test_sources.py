@@ -1,11 +1,16 @@
 """Remote sources, service clients and the index store with stand-ins for what lies outside."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from caseloom.operators.merge_table import MergeTable
 from caseloom.sources import clients, remote
+from caseloom.sources.index_store import IndexStore
+from caseloom.streaming import stream
 
 
 def _echo(url: str) -> str:
@@ -147,3 +152,112 @@ def test_queue_of_a_model_that_loads(spark, tmp_path):
     assert {k: r["status"] for k, r in found.items()} == {1: "ok", 2: "ok", 3: "loading"} and waited == [9.0] * 3
     assert [len((tmp_path / n).read_text()) for n in ("fast", "slow", "never")] == [1, 3, 4]
     assert found[2]["entities"][0]["word"] == "slow" and found[3]["entities"] is None
+
+
+# --- The index store and the table that is merged when it is read
+
+
+CHUNK = "doc_id long, chunk_index int, embedding array<float>"
+
+
+def _store(spark, tmp_path, **other):
+    return IndexStore(spark, f"file://{tmp_path}/index", **({"model": "m", "dimension": 2} | other))
+
+
+def test_index_batches_count_once(spark, tmp_path):
+    store = _store(spark, tmp_path)
+    first, second = spark.createDataFrame([(1, 0, [0.0, 1.0]), (1, 1, [1.0, 0.0])], CHUNK), spark.createDataFrame([(2, 0, [1.0, 1.0])], CHUNK)
+    assert not store.load().ok and "no index" in store.load().problems[0]
+    assert [store.append(first, 0), store.append(first, 0), store.append(second, 1), store.append(first.limit(0), 2)] == [2, 0, 1, 0]
+    # A part without a commit, as a crash leaves it, does not count.
+    second.write.parquet(store.log.new_part("batch-9"))
+    loaded = _store(spark, tmp_path).load()
+    assert loaded.ok and (loaded.batches, loaded.vectors, loaded.documents) == (3, 3, 2) and loaded.index.count() == 3
+
+
+def test_index_from_a_stream_that_starts_again(spark, tmp_path):
+    store = _store(spark, tmp_path)
+    for i in range(3):
+        spark.createDataFrame([(i, 0, [1.0, float(i)])], CHUNK).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    seen = []
+
+    def sink(df, batch):
+        store.append(df, f"s-{batch}")
+        seen.append(batch)
+        if len(seen) == 2:
+            raise RuntimeError("lost after the commit")
+
+    run = lambda: stream.run_available(stream.read_stream(spark, str(tmp_path / "in"), first.schema, files_per_trigger=1), sink, str(tmp_path / "checkpoint"))
+    first = spark.read.parquet(str(tmp_path / "in"))
+    with pytest.raises(Exception, match="lost after the commit"):
+        run()
+    run()
+    assert seen == [0, 1, 1, 2] and store.load().vectors == 3
+
+
+def test_what_a_load_reports(spark, tmp_path):
+    store = _store(spark, tmp_path)
+    with pytest.raises(ValueError, match="2 of 3 vectors"):
+        store.append(spark.createDataFrame([(1, 0, [0.0]), (1, 1, None), (1, 2, [1.0, 0.0])], CHUNK), 0)
+    assert not store.load().ok
+    empty = _store(spark, tmp_path / "empty")
+    empty.append(spark.createDataFrame([], CHUNK), 0)
+    assert empty.load().problems == ["no vectors"]
+    rows = spark.createDataFrame([(1, 0, [0.0, 1.0])], CHUNK)
+    store.append(rows, 1)
+    assert "3 dimensions" not in str(store.load().problems) and store.load().ok
+    assert _store(spark, tmp_path, dimension=3).load().problems == ["batch of m, 2 dimensions", "1 vectors are null or not of dimension 3"]
+    assert _store(spark, tmp_path, model="other").load().problems == ["batch of m, 2 dimensions"]
+    rows.write.mode("append").parquet(store.log.all()[0]["part"])
+    assert store.load().problems == ["2 vectors where 1 were committed"]
+    store.log.drop(store.log.all()[0]["part"])
+    assert "unreadable" in store.load().problems[0]
+
+
+ENTRY = T.StructType([T.StructField("key", T.StringType()), T.StructField("value", T.DoubleType()), T.StructField("ts", T.LongType())])
+
+
+def _rows(table, keys=None):
+    return {r["key"]: (r["value"], r["ts"]) for r in table.read(keys).collect()}
+
+
+def test_merge_table_equals_a_dict(spark, tmp_path):
+    table, want = MergeTable(spark, f"file://{tmp_path}/t", ENTRY, buckets=8), {}
+    rng = random.Random(8)
+    for n in range(7):
+        entries = {rng.choice([None, *"abcdefghij"]): (rng.random(), n) for _ in range(4)}
+        table.put(spark.createDataFrame([(k, v, t) for k, (v, t) in entries.items()], ENTRY), batch_id=f"b{n}")
+        want |= entries
+        if n == 3:
+            table.delete(spark.createDataFrame([("a",), ("b",)], "key string"))
+            want = {k: v for k, v in want.items() if k not in ("a", "b")}
+        if n == 5:
+            assert table.compact(most_parts=1) and not table.compact(most_parts=1)
+        assert _rows(table) == want
+    assert table.put(spark.createDataFrame([("z", 1.0, 1)], ENTRY), batch_id="b0") == [] and _rows(table) == want
+    assert _rows(table, ["c", None, "nothing"]) == {k: v for k, v in want.items() if k in ("c", None)}
+    assert table.vacuum() > 0 and _rows(table) == want
+    assert MergeTable(spark, f"file://{tmp_path}/t", ENTRY, buckets=8).read().count() == len(want)
+    assert _rows(MergeTable(spark, f"file://{tmp_path}/none", ENTRY)) == {}
+
+
+def test_a_put_touches_its_buckets_alone(spark, tmp_path):
+    table = MergeTable(spark, f"file://{tmp_path}/t", ENTRY, buckets=16)
+    every = table.put(spark.range(500).selectExpr("cast(id as string) as key", "1.0d as value", "id as ts"))
+    assert every == list(range(16))
+    before = sorted(str(p) for p in (tmp_path / "t" / "data").rglob("*.parquet"))
+    touched = table.put(spark.createDataFrame([("7", 2.0, 9)], ENTRY))
+    new = [str(p) for p in (tmp_path / "t" / "data").rglob("*.parquet") if str(p) not in before]
+    assert len(touched) == len(new) == 1 and f"_bucket={touched[0]}" in new[0]
+    plan = table.read(["7"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("PartitionFilters: [") == 2 and "_bucket#" in plan and all(f"= {touched[0]}" in p.split("]")[0] or f"IN ({touched[0]})" in p.split("]")[0] for p in plan.split("PartitionFilters: [")[1:])
+    assert _rows(table, ["7"]) == {"7": (2.0, 9)} and len(_rows(table)) == 500
+
+
+def test_two_keys_in_one_put_and_two_writers(spark, tmp_path):
+    table = MergeTable(spark, f"file://{tmp_path}/t", ENTRY)
+    table.put(spark.createDataFrame([("a", 1.0, 1), ("a", 3.0, 0), ("a", 2.0, 2)], ENTRY))
+    assert _rows(table) == {"a": (3.0, 0)}
+    assert table.log.commit("000000000001", {"number": 1, "name": None, "part": "x", "buckets": [], "merged": []})
+    assert not table.log.commit("000000000001", {})
+    assert table.put(spark.createDataFrame([("b", 1.0, 1)], ENTRY)) and set(_rows(table)) == {"a", "b"}
