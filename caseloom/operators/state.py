@@ -7,6 +7,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 TASK_STATES = ("pending", "processing", "completed", "failed")
+#: How long a task is kept after it was made.
+KEPT_SECONDS = 300
+
+
+def next_states(status: str | None) -> tuple[str, ...]:
+    """What a task in this state may become; None: it is not there yet."""
+    return {None: TASK_STATES[:1], TASK_STATES[0]: TASK_STATES[1:2], TASK_STATES[1]: TASK_STATES[2:]}.get(status, ())
 
 
 def _age(now: Column, ts: str) -> Column:
@@ -59,3 +66,27 @@ def running_states(log: DataFrame, key: str = "task_id", ts: str = "ts") -> Data
     """STA-5, the whole course: each change of a task with its time in the state before."""
     course = Window.partitionBy(key).orderBy(ts)
     return log.withColumn("previous", F.lag("status").over(course)).withColumn("_was", F.lag(ts).over(course)).withColumn("waited", _age(F.col(ts), "_was")).drop("_was")
+
+
+def expiries(puts: DataFrame, until: Column, ttl_seconds: float = 3600, key: str = "key", ts: str = "ts") -> DataFrame:
+    """STA-1, STA-6: the puts that no later put of their key renewed within the time to live, with expired_at, as far as that lies before ``until``."""
+    at = F.col(ts).cast("timestamp")
+    ends = F.timestamp_micros(F.unix_micros(at) + F.lit(int(ttl_seconds * 1_000_000)))
+    following = F.lead(at).over(Window.partitionBy(key).orderBy(ts))
+    return puts.withColumn("_next", following).withColumn("expired_at", ends).filter((F.col("_next") > F.col("expired_at")) | (F.col("_next").isNull() & (F.col("expired_at") < until))).drop("_next")
+
+
+def admitted(log: DataFrame, key: str = "task_id", ts: str = "ts", tie: str = "tie") -> DataFrame:
+    """STA-5 over a whole log (key, status, ts, tie) of tasks that are kept: each change with accepted, by the course pending, processing, completed or failed.
+
+    A change is admitted if it is the first of its stage after the one admitted before. So three aggregations tell them all, each combined
+    before it moves; no task's changes are collected. Of one time the least tie comes first, which is unique for a task and time.
+    """
+    at = F.struct(ts, tie)
+    step = lambda rows, names, after: rows.filter(F.col("status").isin(*names) & after).groupBy(key).agg(F.min(at).alias("_at"))
+    made = step(log, TASK_STATES[:1], F.lit(True))
+    begun = step(log.join(made.withColumnRenamed("_at", "_after"), key), TASK_STATES[1:2], at > F.col("_after"))
+    ended = step(log.join(begun.withColumnRenamed("_at", "_after"), key), TASK_STATES[2:], at > F.col("_after"))
+    points = made.select(key, F.col("_at").alias("_a")).join(begun.select(key, F.col("_at").alias("_b")), key, "left").join(ended.select(key, F.col("_at").alias("_c")), key, "left")
+    of_stage = F.when(F.col("status") == TASK_STATES[0], F.col("_a")).when(F.col("status") == TASK_STATES[1], F.col("_b")).otherwise(F.col("_c"))
+    return log.join(points, key, "left").withColumn("accepted", F.coalesce(at == of_stage, F.lit(False))).drop("_a", "_b", "_c")

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import rules
 from ..functions.text import iso_date, slug
 from ..operators import chunk, extract, graph, html, score, state, vector, whatif
+from ..operators.merge_table import MergeTable
+from ..session import shared_folder
 from ..sources import fixtures
+from ..sources.index_store import IndexStore
 from . import pipelines, synth
 from .synth import table, with_inputs
 
@@ -713,6 +718,34 @@ def sta_02_put(spark, sf_dir):
     return state.put(cache, events.filter("user_id % 3 = 0").select(F.col("user_id").alias("key"), F.lit(-1.0).alias("value")).distinct())
 
 
+@registered("SELECT user_id AS key, max(value) AS value FROM events WHERE user_id % 3 <> 0 GROUP BY user_id UNION ALL SELECT DISTINCT user_id, -1.0::DOUBLE FROM events WHERE user_id % 3 = 0")
+def sta_02_merge_table(spark, sf_dir):
+    """The same puts into a table that is merged when it is read."""
+    events = table(spark, sf_dir, "events")
+    cache = MergeTable(spark, f"{shared_folder(spark)}/cache-{uuid.uuid4().hex[:12]}", T.StructType([T.StructField("key", T.LongType()), T.StructField("value", T.DoubleType())]), buckets=16)
+    cache.put(events.groupBy(F.col("user_id").alias("key")).agg(F.max("value").alias("value")))
+    cache.put(events.filter("user_id % 3 = 0").select(F.col("user_id").alias("key"), F.lit(-1.0).alias("value")).distinct())
+    return cache.read()
+
+
+_CHANGES = "SELECT user_id AS task_id, CASE event_id % 4 WHEN 0 THEN 'pending' WHEN 1 THEN 'processing' WHEN 2 THEN 'completed' ELSE 'failed' END AS status, ts, event_id AS tie FROM events"
+
+
+@registered(f"""WITH log AS ({_CHANGES}), a AS (SELECT task_id, min((ts, tie)) AS p FROM log WHERE status = 'pending' GROUP BY task_id),
+    b AS (SELECT task_id, min((ts, tie)) AS p FROM log JOIN a USING (task_id) WHERE status = 'processing' AND (ts, tie) > a.p GROUP BY task_id),
+    c AS (SELECT task_id, min((ts, tie)) AS p FROM log JOIN b USING (task_id) WHERE status IN ('completed', 'failed') AND (ts, tie) > b.p GROUP BY task_id)
+    SELECT tie AS event_id, coalesce((ts, tie) = CASE status WHEN 'pending' THEN a.p WHEN 'processing' THEN b.p ELSE c.p END, false) AS accepted FROM log LEFT JOIN a USING (task_id) LEFT JOIN b USING (task_id) LEFT JOIN c USING (task_id)""")
+def sta_05_admitted_changes(spark, sf_dir):
+    log = table(spark, sf_dir, "events").selectExpr("user_id AS task_id", "CASE event_id % 4 WHEN 0 THEN 'pending' WHEN 1 THEN 'processing' WHEN 2 THEN 'completed' ELSE 'failed' END AS status", "ts", "event_id AS tie")
+    return state.admitted(log).select(F.col("tie").alias("event_id"), "accepted")
+
+
+@registered(f"""SELECT event_id FROM (SELECT event_id, ts + INTERVAL 6 HOUR AS ends, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS next FROM events) WHERE next > ends OR (next IS NULL AND ends < {_NOW})""")
+def sta_06_expiries(spark, sf_dir):
+    """Entries of each user's cache that were not renewed within six hours."""
+    return state.expiries(table(spark, sf_dir, "events"), F.lit("2024-01-10 00:00:00").cast("timestamp"), 21_600, key="user_id").select("event_id")
+
+
 @registered("SELECT event_id, 'search:' || event_type || ':' || coalesce(CAST(CASE WHEN user_id % 2 = 0 THEN user_id END AS VARCHAR), 'None') AS cache_key FROM events")
 def sta_03_cache_key(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", state.cache_key(F.lit("search"), F.col("event_type"), F.when(F.col("user_id") % 2 == 0, F.col("user_id"))).alias("cache_key"))
@@ -799,6 +832,16 @@ def pip_02_extract_search_score(spark, sf_dir):
     return found.select("case_id", "win_probability", "risk_level")
 
 
+@registered(_COUNTED + "SELECT doc_id, len(chunks) AS chunks FROM done WHERE len(chunks) > 0")
+def snk_01_src_06_index_store(spark, sf_dir):
+    """Chunks of all documents, appended as two batches, the second of them twice, then loaded and counted."""
+    chunks = pipelines.ingest(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "chunk_index", "embedding")
+    store = IndexStore(spark, f"{shared_folder(spark)}/index-{uuid.uuid4().hex[:12]}", model="hashing", dimension=384)
+    for batch in (0, 1, 1):
+        store.append(chunks.filter(F.col("doc_id") % 2 == batch), batch)
+    return store.load().index.groupBy("doc_id").agg(F.count("*").alias("chunks"))
+
+
 _ADJUSTED = "round(greatest(0.05, least(0.95, p + delta)), 4)"
 
 
