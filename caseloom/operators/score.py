@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.numbers import rounded
 from ..functions.text import size0, text_or
 from ..rules import ADVICE, BANDS, COMPONENTS, LOW_BAND, PROB_MAX, PROB_MIN, WEIGHTS
 
@@ -108,12 +109,12 @@ def score_cases(profiles: DataFrame, precedents: DataFrame | None = None, stats:
         .otherwise(_text("Unknown court level ('", text_or(F.col("court_level"), "None"), "') — conservative estimate.")),
     )
     parts = [
-        F.struct(F.lit(name).alias("component"), F.lit(w).alias("weight"), F.round(F.col(f"_raw{i}"), 4).alias("raw_score"), F.round(F.col(f"_raw{i}") * w, 4).alias("weighted_score"), why[i].alias("explanation"))
+        F.struct(F.lit(name).alias("component"), F.lit(w).alias("weight"), rounded(F.col(f"_raw{i}"), 4).alias("raw_score"), rounded(F.col(f"_raw{i}") * w, 4).alias("weighted_score"), why[i].alias("explanation"))
         for i, (name, w) in enumerate(zip(COMPONENTS, WEIGHTS, strict=True))
     ]
     df = df.withColumn("score_breakdown", F.array(*parts))
     total = F.aggregate("score_breakdown", F.lit(0.0), lambda a, x: a + x["weighted_score"])
-    df = df.withColumn("win_probability", clamp(F.round(total, 4)))
+    df = df.withColumn("win_probability", clamp(rounded(total, 4)))
     relief, facts = text_or(F.col("relief_sought")), size0(F.col("key_facts"))
     reason = lambda c, s, t: F.when(c, F.struct(F.lit(s).alias("s"), (F.lit(t) if isinstance(t, str) else t).alias("t")))
     of_parts = lambda keep: F.transform(F.filter("score_breakdown", keep), lambda x: F.struct(x["weighted_score"].alias("s"), x["explanation"].alias("t")))

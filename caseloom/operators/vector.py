@@ -190,9 +190,11 @@ def result_band(score: Column) -> Column:
 def encode(docs: DataFrame, encoder: Callable[[list[str]], np.ndarray], *, text: str = "text", out: str = "embedding") -> DataFrame:
     """VEC-4, VEC-5: docs with vectors at unit length by a pluggable encoder, a batch at a time; zero vectors stay."""
 
-    def unit(v: np.ndarray) -> list[float]:
-        norm = float(np.sqrt((v.astype(np.float64) ** 2).sum()))
-        return (v / norm if norm else v).astype(np.float32).tolist()
+    def unit(v: np.ndarray) -> pa.Array:
+        v = np.ascontiguousarray(v, np.float32)
+        norm = np.sqrt((v.astype(np.float64) ** 2).sum(axis=1, keepdims=True)).astype(np.float32)
+        flat = np.divide(v, norm, out=v.copy(), where=norm > 0).reshape(-1)
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, flat.size + 1, v.shape[1]), pa.int32()), pa.array(flat, pa.float32()))
 
     kept = docs.drop(out)
     at = kept.columns.index(text)
@@ -200,7 +202,9 @@ def encode(docs: DataFrame, encoder: Callable[[list[str]], np.ndarray], *, text:
     # A map over batches: an expression could not take a text made by array functions.
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = pa.array([unit(v) for v in encoder([x or "" for x in batch.column(at).to_pylist()])], pa.list_(pa.float32()))
+            if batch.num_rows == 0:
+                continue
+            found = unit(np.asarray(encoder([x or "" for x in batch.column(at).to_pylist()])))
             yield pa.RecordBatch.from_arrays([*batch.columns, found], [*batch.schema.names, out])
 
     return kept.mapInArrow(vectors, T.StructType([*kept.schema.fields, T.StructField(out, T.ArrayType(T.FloatType()))]))

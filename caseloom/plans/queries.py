@@ -45,6 +45,9 @@ def _joined(c: str, sep: str = "|"):
 
 # --- Extraction -------------------------------------------------------------------------------------------------
 
+#: Rounding to four places by the exact value of a double, halves to even, as ``functions.numbers.rounded``.
+_ROUND4 = lambda x: f"""list_transform(list_transform(list_transform([({x})::DOUBLE], lambda x: {{'x': x, 'p': x * 10000::DOUBLE, 'h': x * 134217729::DOUBLE - (x * 134217729::DOUBLE - x)}}),
+    lambda v: {{'p': v.p, 'e': (v.h * 10000::DOUBLE - v.p) + (v.x - v.h) * 10000::DOUBLE}}), lambda v: (floor(v.p) + CASE WHEN v.p - floor(v.p) > 0.5 OR (v.p - floor(v.p) = 0.5 AND (v.e > 0 OR (v.e = 0 AND floor(v.p)::BIGINT % 2 = 1))) THEN 1 ELSE 0 END)::DOUBLE / 10000::DOUBLE)[1]"""
 _STRIP = lambda x: f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
 _COLLAPSE = lambda x: f"regexp_replace({x}, '\\s+', ' ', 'g')"
 _SET = lambda x: f"array_to_string(list_sort(list_distinct({x})), '|')"
@@ -187,17 +190,17 @@ def ext_17_card_sections(spark, sf_dir):
 
 # --- Recognised entities ----------------------------------------------------------------------------------------
 
-_PARSED_SQL = """parsed AS (SELECT case_id,
+_PARSED_SQL = f"""parsed AS (SELECT case_id,
     list_sort(list_distinct(list(word) FILTER (entity_group IN ('LAW', 'PROVISION')))) AS sections, list_sort(list_distinct(list(word) FILTER (entity_group IN ('ACT', 'LAW_ACT', 'STATUTE', 'ORG')))) AS acts,
     arg_min(word, pos) FILTER (entity_group IN ('PETITIONER', 'PERSON') AND score > 0.3) AS petitioner, arg_min(word, pos) FILTER (entity_group = 'RESPONDENT' AND score > 0.3) AS respondent,
-    (list(word ORDER BY pos) FILTER (entity_group = 'ISSUE'))[1:5] AS issues, arg_max(word, pos) FILTER (entity_group = 'COURT') AS court, round(least(avg(score), 1.0), 4) AS confidence
+    (list(word ORDER BY pos) FILTER (entity_group = 'ISSUE'))[1:5] AS issues, arg_max(word, pos) FILTER (entity_group = 'COURT') AS court, {_ROUND4('least(list_reduce(list(score::DOUBLE ORDER BY pos), lambda a, b: a + b) / count(*)::DOUBLE, 1.0::DOUBLE)')} AS confidence
     FROM entities WHERE length(word) >= 2 GROUP BY case_id)"""
 
 
-@registered(f"WITH entities AS ({synth.SQL['entities']}), {_PARSED_SQL} SELECT case_id, coalesce(array_to_string(sections, '|'), '') AS sections, coalesce(array_to_string(acts, '|'), '') AS acts, petitioner, respondent, coalesce(array_to_string(issues, '|'), '') AS issues, court, round(confidence, 3) AS confidence FROM parsed")
+@registered(f"WITH entities AS ({synth.SQL['entities']}), {_PARSED_SQL} SELECT case_id, coalesce(array_to_string(sections, '|'), '') AS sections, coalesce(array_to_string(acts, '|'), '') AS acts, petitioner, respondent, coalesce(array_to_string(issues, '|'), '') AS issues, court, confidence FROM parsed")
 def ner_01_parse_entities(spark, sf_dir):
     p = extract.parse_entities(synth.entities(spark, sf_dir))
-    return p.select("case_id", _joined("sections"), _joined("acts"), "petitioner", "respondent", _joined("issues"), "court", F.round("confidence", 3).alias("confidence"))
+    return p.select("case_id", _joined("sections"), _joined("acts"), "petitioner", "respondent", _joined("issues"), "court", "confidence")
 
 
 @registered(f"""WITH case_profile AS ({synth.SQL['case_profile']}), entities AS ({synth.SQL['entities']}), {_PARSED_SQL}, j AS (SELECT p.*, m.sections AS m_sections, m.acts AS m_acts, m.petitioner AS m_petitioner, m.respondent AS m_respondent, m.issues AS m_issues, coalesce(m.court, '') AS m_court, coalesce(m.confidence, 0) AS m_confidence
@@ -205,11 +208,11 @@ def ner_01_parse_entities(spark, sf_dir):
     SELECT case_id, array_to_string(list_sort(list_distinct(list_concat(ipc_sections, coalesce(m_sections, [])))), '|') AS ipc_sections, array_to_string(list_sort(list_distinct(list_concat(acts_referenced, coalesce(m_acts, [])))), '|') AS acts_referenced,
     coalesce(m_petitioner, petitioner) AS petitioner, coalesce(m_respondent, respondent) AS respondent, array_to_string(CASE WHEN coalesce(len(m_issues), 0) > 0 THEN m_issues ELSE legal_issues END, '|') AS legal_issues,
     CASE WHEN {_court_sql('m_court')} <> 'Unknown' THEN {_court_sql('m_court')} ELSE court_level END AS court_level,
-    CASE WHEN m_confidence >= 0.5 THEN 'hybrid' ELSE 'rules' END AS extraction_method, CAST(floor((CASE WHEN m_confidence >= 0.5 THEN round((m_confidence + 0.7) / 2, 4) ELSE 0.6 END + 0.00035) * 100) AS BIGINT) AS percent FROM j""")
+    CASE WHEN m_confidence >= 0.5 THEN 'hybrid' ELSE 'rules' END AS extraction_method, CASE WHEN m_confidence >= 0.5 THEN {_ROUND4('(m_confidence + 0.7::DOUBLE) / 2::DOUBLE')} ELSE 0.6::DOUBLE END AS confidence FROM j""")
 def ner_02_03_merge(spark, sf_dir):
     profiles = synth.case_profile(spark, sf_dir).withColumns({"extraction_method": F.lit("rules"), "confidence": F.lit(0.5)})
     m = extract.merge_entities(profiles, extract.parse_entities(synth.entities(spark, sf_dir)))
-    return m.select("case_id", _joined("ipc_sections"), _joined("acts_referenced"), "petitioner", "respondent", _joined("legal_issues"), "court_level", "extraction_method", F.floor((F.col("confidence") + 0.00035) * 100).alias("percent"))
+    return m.select("case_id", _joined("ipc_sections"), _joined("acts_referenced"), "petitioner", "respondent", _joined("legal_issues"), "court_level", "extraction_method", "confidence")
 
 
 # --- Pages ------------------------------------------------------------------------------------------------------
@@ -234,14 +237,14 @@ def htm_01_clean_text(spark, sf_dir):
 
 @registered(f"""SELECT page_id, 0 AS ordinal, 'Case ' || CAST(page_id AS VARCHAR) AS title, '{rules.SITE}/doc/' || CAST(page_id AS VARCHAR) || '/' AS url, CAST(page_id AS VARCHAR) AS doc_id,
     CASE WHEN page_id % 2 = 0 THEN 'High Court' END AS court, CASE WHEN page_id % 2 = 0 THEN '1973-04-24' END AS date,
-    CASE WHEN page_id % 2 = 0 THEN nullif(substr(trim({_clean_sql('html')}), 1, 500), '') ELSE 'a text' END AS snippet FROM pages""")
+    nullif(substr(trim({_clean_sql('html')}), 1, 500), '') AS snippet FROM pages""")
 def htm_02_03_search_rows(spark, sf_dir):
     """Search pages made of the pages table, whole: a result box per page, or a paragraph where page_id is odd."""
     p = table(spark, sf_dir, "pages")
     n = F.col("page_id").cast("string")
     head = F.concat(F.lit('<a href="/doc/'), n, F.lit('/">Case '), n, F.lit("</a>"))
     box = F.concat(F.lit('<div class="result">'), head, F.lit(' <span class="court">High Court</span><span class="date">24-04-1973</span><div class="snippet">'), F.coalesce("html", F.lit("")), F.lit("</div></div>"))
-    return html.parse_search_pages(p.select("page_id", F.when(F.col("page_id") % 2 == 0, box).otherwise(F.concat(F.lit("<p>"), head, F.lit(" a text</p>"))).alias("html")))
+    return html.parse_search_pages(p.select("page_id", F.when(F.col("page_id") % 2 == 0, box).otherwise(F.concat(F.lit("<p>"), head, F.lit("<span> "), F.coalesce("html", F.lit("")), F.lit("</span></p>"))).alias("html")))
 
 
 _ARTICLE = "coalesce(nullif(regexp_extract(html, '(?is)<article\\b[^>]*>(.*?)</article\\s*>', 1), ''), nullif(regexp_extract(html, '(?is)<body\\b[^>]*>(.*?)</body\\s*>', 1), ''), '')"
@@ -328,13 +331,6 @@ def vec_02_03_chunks(spark, sf_dir):
 _COUNTED = _CHUNKS_SQL[: _CHUNKS_SQL.rindex("SELECT doc_id, CAST(j")]
 
 
-@registered(_COUNTED + "SELECT doc_id, CAST(unnest(range(0, len(chunks))) AS INTEGER) AS chunk_index, CAST(len(chunks) AS INTEGER) AS total_chunks, 384 AS dimension, true AS unit FROM done WHERE len(chunks) > 0")
-def vec_04_11_ingest(spark, sf_dir):
-    return pipelines.ingest(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
-        "doc_id", "chunk_index", "total_chunks", F.size("embedding").alias("dimension"), (F.abs(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")) - 1) < 1e-5).alias("unit")
-    )
-
-
 @registered("""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE) * (vec_id % 7)) AS e FROM embeddings), n AS (SELECT *, sqrt(list_reduce(list_transform(e, lambda x: x * x), lambda a, b: a + b)) AS norm FROM v)
     SELECT vec_id, round(CASE WHEN norm > 0 THEN e[1] / norm ELSE e[1] END, 6) + 0.0 AS first, round(CASE WHEN norm > 0 THEN e[len(e)] / norm ELSE e[len(e)] END, 6) + 0.0 AS last, CASE WHEN norm > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS square FROM n""")
 def vec_05_normalise(spark, sf_dir):
@@ -516,8 +512,8 @@ def _scores_sql(graph: str, completeness: str) -> str:
         {completeness} AS r2, CASE WHEN len(p.legal_issues) <= 2 THEN 0.8 WHEN len(p.legal_issues) <= 4 THEN 0.65 ELSE 0.5 END AS r3,
         CASE WHEN contains(lower(p.court_level), 'supreme') THEN 0.5 WHEN contains(lower(p.court_level), 'high') THEN 0.6 WHEN contains(lower(p.court_level), 'district') OR contains(lower(p.court_level), 'sessions') THEN 0.7 ELSE 0.55 END AS r4
         FROM case_profile p LEFT JOIN sims s ON s.case_id = p.case_id JOIN stats t ON t.case_id = p.case_id),
-    parts AS (SELECT *, round(r0::DOUBLE * 0.35::DOUBLE, 4) AS w0, round(r1::DOUBLE * 0.25::DOUBLE, 4) AS w1, round(r2::DOUBLE * 0.2::DOUBLE, 4) AS w2, round(r3::DOUBLE * 0.1::DOUBLE, 4) AS w3, round(r4::DOUBLE * 0.1::DOUBLE, 4) AS w4 FROM raws),
-    scores AS (SELECT *, greatest(0.05, least(0.95, round(w0 + w1 + w2 + w3 + w4, 4))) AS win_probability FROM parts)"""
+    parts AS (SELECT *, {_ROUND4('r0::DOUBLE * 0.35::DOUBLE')} AS w0, {_ROUND4('r1::DOUBLE * 0.25::DOUBLE')} AS w1, {_ROUND4('r2::DOUBLE * 0.2::DOUBLE')} AS w2, {_ROUND4('r3::DOUBLE * 0.1::DOUBLE')} AS w3, {_ROUND4('r4::DOUBLE * 0.1::DOUBLE')} AS w4 FROM raws),
+    scores AS (SELECT *, greatest(0.05, least(0.95, {_ROUND4('w0 + w1 + w2 + w3 + w4')})) AS win_probability FROM parts)"""
 
 
 _COMPLETE = "CASE WHEN t.node_count = 0 THEN 0.5 ELSE (t.node_count - t.n_weak) / t.node_count::DOUBLE END"
@@ -802,6 +798,15 @@ def _encoded_sql(name: str, texts: str) -> str:
     {name} AS MATERIALIZED (SELECT key, {unit("v")} AS v FROM (SELECT key, v, {norm("v")} AS norm FROM {name}_once))"""
 
 
+@registered(f"""{_COUNTED}, chunk_texts AS MATERIALIZED (SELECT doc_id * 1000 + j - 1 AS key, len(chunks) AS total_chunks, chunks[j] AS text FROM (SELECT doc_id, chunks, unnest(range(1, len(chunks) + 1)) AS j FROM done)),
+    {_encoded_sql("vectors", "chunk_texts")}
+    SELECT key // 1000 AS doc_id, CAST(key % 1000 AS INTEGER) AS chunk_index, CAST(total_chunks AS INTEGER) AS total_chunks, md5(array_to_string(list_transform(v, lambda x: floor(x::DOUBLE * 1000000 + 0.5)::BIGINT), ',')) AS vector_md5 FROM chunk_texts JOIN vectors USING (key)""")
+def vec_04_11_ingest(spark, sf_dir):
+    """All 384 elements of every vector, to six places."""
+    places = F.transform("embedding", lambda x: F.floor(x.cast("double") * 1000000 + 0.5).cast("string"))
+    return pipelines.ingest(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "chunk_index", "total_chunks", F.md5(F.array_join(places, ",")).alias("vector_md5"))
+
+
 #: Precedents of each case_profile by the semantic search and its keyword supplement.
 _FOUND_SQL = f"""{_COUNTED},
     chunk_texts AS MATERIALIZED (SELECT doc_id * 1000 + j - 1 AS key, chunks[j] AS text FROM (SELECT doc_id, chunks, unnest(range(1, len(chunks) + 1)) AS j FROM done)),

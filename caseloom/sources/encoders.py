@@ -18,15 +18,15 @@ class HashingEncoder:
         self.dimension = dimension
 
     def __call__(self, texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), self.dimension), np.float32)
-        for i, text in enumerate(texts):
-            for word in text.lower().split():
-                h = zlib.crc32(word.encode())
-                out[i, h % self.dimension] += 1.0 if h >> 31 else -1.0
-            norm = float(np.sqrt((out[i].astype(np.float64) ** 2).sum()))
-            if norm:
-                out[i] /= norm
-        return out
+        words = [text.lower().split() for text in texts]
+        distinct = {w: i for i, w in enumerate({w for ws in words for w in ws})}
+        h = np.fromiter((zlib.crc32(w.encode()) for w in distinct), np.int64, len(distinct))
+        each = np.fromiter((distinct[w] for ws in words for w in ws), np.int64)
+        rows = np.repeat(np.arange(len(texts)), [len(ws) for ws in words])
+        sums = np.bincount(rows * self.dimension + (h % self.dimension)[each], np.where(h[each] >> 31, 1.0, -1.0), len(texts) * self.dimension)
+        out = sums.reshape(len(texts), self.dimension).astype(np.float32)
+        norm = np.sqrt((sums.reshape(out.shape) ** 2).sum(axis=1, keepdims=True)).astype(np.float32)
+        return np.divide(out, norm, out=out, where=norm > 0)
 
 
 class ModelLoading(RuntimeError):

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from caseloom.functions.numbers import rounded
 from caseloom.functions.text import cut_at_space, iso_date, slug
 from caseloom.operators import chunk, extract, graph, html, score, state, vector, whatif
 from caseloom.plans import synth
@@ -308,6 +309,13 @@ def test_state(spark):
     assert sorted(r["waited"] for r in state.running_states(log).collect() if r["waited"] is not None) == [4.0]
 
 
+def test_rounding_is_that_of_the_exact_value(spark):
+    rng = np.random.default_rng(9)
+    values = [(0.5167 + 0.7) / 2, 0.00005, 0.00015, 0.12345, 2.5, -0.00015, 0.0, 1.0, *(float(k) / 100_000 for k in rng.integers(0, 100_000, 3000)), *(float(x) for x in rng.random(500))]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    assert [r[0] for r in df.select(rounded(F.col("x"), 4)).collect()] == [round(v, 4) for v in values]
+
+
 def test_ranges(spark):
     bad = schemas.violations(spark.createDataFrame([(51, 0.5), (5, 1.5), (5, 0.5), (None, None)], "top_k int, confidence double")).collect()
     assert [r["violations"] for r in bad] == [["top_k"], ["confidence"]]
