@@ -5,7 +5,8 @@ exactly the sequence length are sequences of their own. The rest is dealt evenly
 pieces. In each block a best-fit-decreasing packing is the start. Local search then moves a document, or exchanges one for
 one or two for one, between underfull bins, always in the way that raises the sum of squared fills most. It ends when the
 block has no more bins than its tokens need (none can be emptied), or at a fixed point, where no move or exchange of any bin
-raises that sum. What is left in underfull bins is dealt into new blocks once more and searched again, so the
+raises that sum; a bin without a gain is looked at again only against bins that changed since, so a block's time is about in proportion to its
+moves. What is left in underfull bins is dealt into new blocks once more and searched again, so the
 bins that end a block underfull meet those of others. Both rounds have the same bounded block size at any scale.
 
 Defined results: null text -> empty -> one piece with the end id alone. Repeated rows are packed as often as they
@@ -86,7 +87,7 @@ def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
 
 
 class _Search:
-    """A packing in arrays: fill by bin, and the bin of each document."""
+    """A packing in arrays: fill by bin, and the bin of each document; when each bin changed last, and when it was last found without a gain."""
 
     def __init__(self, bins: list[list[int]], lengths: np.ndarray, capacity: int):
         self.capacity, self.size = capacity, lengths
@@ -95,6 +96,8 @@ class _Search:
         for b, inside in enumerate(self.members):
             self.home[inside] = b
         self.fill = np.bincount(self.home, weights=lengths, minlength=len(bins)).astype(np.int64)
+        self.clock = 0
+        self.changed, self.seen = np.zeros(len(bins), np.int64), np.full(len(bins), -1, np.int64)
 
     def out_weights(self, src: int) -> dict[int, tuple[int, ...]]:
         """Weights of one and of two documents of a bin, each with the first documents of that weight."""
@@ -115,10 +118,15 @@ class _Search:
         return found
 
     def improve(self, src: int) -> bool:
-        """Makes the move or exchange out of src that raises the sum of squares most; False if none raises it."""
+        """Makes the move or exchange out of src that raises the sum of squares most; False if none raises it.
+
+        A bin that had no gain and has not changed since is held against the bins that have: with all others it has none still.
+        """
         fill, fs = self.fill, self.fill[src]
-        open_bins = (fill < self.capacity) & (fill > 0)
+        since = -1 if self.changed[src] > self.seen[src] else self.seen[src]
+        open_bins = (fill < self.capacity) & (fill > 0) & (self.changed > since)
         open_bins[src] = False
+        self.seen[src] = self.clock
         if not open_bins.any():
             return False
         back = np.flatnonzero(open_bins[self.home])
@@ -150,6 +158,8 @@ class _Search:
         shift = weight - int(returned[j])
         self.fill[src] -= shift
         self.fill[dst] += shift
+        self.clock += 1
+        self.changed[src] = self.changed[dst] = self.clock
         return True
 
 
@@ -160,10 +170,12 @@ def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int) -> l
     improved = True
     while improved and np.count_nonzero(search.fill) > needed:
         improved = False
-        # Least full first: that bin is the next to run empty.
+        # Least full first: those are the next to run empty. Each goes on until it has no gain left.
         for src in np.argsort(search.fill, kind="stable"):
-            if 0 < search.fill[src] < capacity and search.improve(int(src)):
-                improved = True
+            gained = False
+            while 0 < search.fill[src] < capacity and search.improve(int(src)):
+                gained = improved = True
+            if gained and np.count_nonzero(search.fill) <= needed:
                 break
     return [b for b in search.members if b]
 

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -487,6 +488,16 @@ def test_local_search_ends_at_a_fixed_point(seed):
     assert len(done) == -(-size.sum() // 2048) or not any(search.improve(b) for b in range(len(done)) if search.fill[b] < 2048)
 
 
+def test_local_search_of_a_block_of_middle_sizes_is_quick():
+    size = np.random.default_rng(0).integers(600, 901, 4096)
+    start = packing.best_fit(size, 2048)
+    began = time.time()
+    done = packing.local_search([list(b) for b in start], size, 2048)
+    assert time.time() - began < 15 and len(done) < len(start) - 40
+    search = packing._Search(done, size, 2048)
+    assert not any(search.improve(b) for b in range(0, len(done), 40))
+
+
 def test_local_search_empties_bins():
     size = np.array([6, 4, 5, 5, 3, 7, 2, 8])
     worse = [[i] for i in range(len(size))]
