@@ -616,9 +616,33 @@ def test_wu_manber_skips_and_finds():
     rng = random.Random(3)
     text = [rng.choice([b"a", b"b", b"c"]) for _ in range(3000)]
     for m in (1, 2, 3, 7, 13):
-        patterns = {tuple(rng.choice([b"a", b"b", b"c"]) for _ in range(m)): {str(i)} for i in range(20)}
-        found = sorted((at, sorted(x)) for at, x in decontam.WuManber(patterns).search(text))
-        assert found == sorted((i, sorted(patterns[tuple(text[i : i + m])])) for i in range(len(text) - m + 1) if tuple(text[i : i + m]) in patterns)
+        items = [(str(i), [rng.choice([b"a", b"b", b"c"]) for _ in range(m + rng.randrange(4))]) for i in range(20)]
+        want = sorted((i, k) for i in range(len(text) - m + 1) for k, w in items for j in range(len(w) - m + 1) if w[j : j + m] == text[i : i + m])
+        for slots in (None, 4):  # a table in which most blocks share their shift
+            assert sorted(decontam.WuManber(m, items, slots=slots).search(text)) == want
+
+
+def test_tables_of_a_large_benchmark_are_small():
+    import tracemalloc
+
+    rng = random.Random(5)
+    items = [(str(i), " ".join(f"w{rng.randrange(50_000)}" for _ in range(600)).encode()) for i in range(1_000)]
+    tracemalloc.start()
+    built = decontam.tables(items, 13)
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert held < 80_000_000 and sum(t.memory() for t in built) < 60_000_000
+    w = decontam.words_of(items[7][1])
+    assert {x for _, x in built[0].search([b"x", *w[100:120], b"y"])} == {"7"}
+
+
+@pytest.mark.parametrize("part_windows", [4, 40])
+def test_parts_by_windows_and_cut_items(spark, part_windows):
+    a = words(1, 120)
+    items = {"1": a, "2": "one", "3": words(9, 30)}
+    bench = spark.createDataFrame([(int(k), v) for k, v in items.items()], "item_id long, text string")
+    got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["items"]) for r in decontam.hits(some(spark, (1, a), (2, words(2, 30) + " " + " ".join(a.split()[50:90])), (3, "one two")), bench, part_windows=part_windows).collect()}
+    assert got == {1: _hits(a, items), 2: _hits(words(2, 30) + " " + " ".join(a.split()[50:90]), items), 3: _hits("one two", items)}
 
 
 # --- 10
