@@ -74,11 +74,7 @@ def fit(docs: DataFrame, *, text: str = "text", label: str = "lang", key: str =
         langs = sorted(totals)
         if not langs:
             return {"langs": [], "words": {}, "grams": {}, "scores": np.zeros((0, 0), np.float32)}
-        padded = F.concat(F.lit("^"), "word", F.lit("$"))
-        all_grams = words.select("lang", "n", padded.alias("w")).select(
-            "lang", "n", F.explode(F.flatten(F.transform(F.sequence(F.lit(1), F.lit(N_MAX)), lambda k: F.when(F.length("w") >= k, F.transform(F.sequence(F.lit(1), F.length("w") - k + 1), lambda i: F.substring(F.col("w"), i, k))).otherwise(F.array().cast("array<string>"))))).alias("word")
-        ).groupBy("lang", "word").agg(F.sum("n").alias("n"))
-
+        all_grams = words.mapInArrow(_gram_counts, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
         grams = saved(all_grams, "grams")
         top_words, top_grams = _top(words, langs, max_words), _top(grams, langs, max_grams)
     finally:
@@ -107,6 +103,27 @@ def fit(docs: DataFrame, *, text: str = "text", label: str = "lang", key: str =
     return {"langs": langs, "words": word_at, "grams": {g: i + len(word_at) for g, i in gram_at.items()}, "scores": np.vstack([word_scores, gram_scores]).astype(np.float32)}
 
 
+def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, n-gram, n) from (lang, word, n): the n-grams of ``^word$`` for n up to N_MAX, a stretch of a long word at a time."""
+    seen: Counter = Counter()
+
+    def flush() -> pa.RecordBatch:
+        out = pa.RecordBatch.from_pydict({"lang": pa.array([k[0] for k in seen], pa.string()), "word": pa.array([k[1] for k in seen], pa.string()), "n": pa.array(list(seen.values()), pa.int64())})
+        seen.clear()
+        return out
+
+    for batch in batches:
+        for lang, word, n in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            padded = f"^{word}$"
+            for at in range(0, len(padded), 50_000):
+                for k in range(1, N_MAX + 1):
+                    for i in range(at, min(at + 50_000, len(padded) - k + 1)):
+                        seen[lang, padded[i : i + k]] += n
+                if len(seen) > 200_000:
+                    yield flush()
+    yield flush()
+
+
 def _top(counts: DataFrame, langs: list[str], most: int) -> list:
     """The most frequent words of each language: all with a count from which on they are at most ``most / len(langs)``.
 

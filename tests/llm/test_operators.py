@@ -48,6 +48,31 @@ def test_language_id_backs_off_to_shorter_grams():
     assert scorer.text("q")[0] == "a"
 
 
+def test_gram_counts_of_long_words(spark):
+    import pyarrow as pa
+
+    word = "".join(random.Random(4).choice("abcdefgh") for _ in range(120_000))
+    batch = pa.RecordBatch.from_pydict({"lang": ["a", "a", "b"], "word": [word, "xy", "é"], "n": pa.array([2, 3, 1], pa.int64())})
+    got: Counter = Counter()
+    for out in langid._gram_counts(iter([batch])):
+        for lang, gram, n in zip(*(out.column(i).to_pylist() for i in range(3)), strict=True):
+            got[lang, gram] += n
+    want: Counter = Counter()
+    for lang, w, n in (("a", word, 2), ("a", "xy", 3), ("b", "é", 1)):
+        p = f"^{w}$"
+        for k in range(1, 6):
+            for i in range(len(p) - k + 1):
+                want[lang, p[i : i + k]] += n
+    assert got == want
+
+
+def test_fit_on_an_unbroken_word_takes_seconds(spark):
+    word = "".join(random.Random(4).choice("abcdefgh") for _ in range(1_000_000))
+    began = time.time()
+    model = langid.fit(spark.createDataFrame([(1, word, "en"), (2, "the the and", "en"), (3, "le le la", "fr")], "doc_id long, text string, lang string"))
+    assert time.time() - began < 60 and model["langs"] == ["en", "fr"]
+
+
 def _plain_scores(model, text):
     """Word-first backoff, a word at a time."""
     total, n_words = np.zeros(len(model["langs"])), 0
