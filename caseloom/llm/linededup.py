@@ -6,8 +6,9 @@ that is boilerplate on one host stays on the others. Lines are compared trimmed
 host; blank lines are never boilerplate.
 
 Counts are pre-aggregated before their one shuffle, keyed by (host, line), so a hot host or line is spread. The lines found are few
-(at most mean lines per page / max_ratio a host); their number is checked: up to ``broadcast_lines`` they go to the pages as
-one array per host, beyond that the lines of the pages are joined with them by a shuffle. Both ways give the same rows.
+(at most mean lines per page / max_ratio a host), so they go to the pages as one array per host: sent round while there are at most
+``broadcast_lines`` of them, beyond that by a join on the host and a salt, which moves each page once. Both ways give the same rows.
+Pages of hosts with under ``min_pages`` pages keep all lines; min_pages = 1 judges every host by its ratio alone.
 
 Defined results: null text -> no lines, text ''. A null host is a host of its own. A page whose lines all go keeps its row,
 with text ''. Repeated rows are pages of their own. A line repeated within a page counts once for that page.
@@ -21,6 +22,8 @@ from pyspark.sql import functions as F
 from .common import saved, whole
 
 BLANK = " \t\r"
+#: Parts that the pages of a host are dealt into for the join.
+SALTS = 64
 
 
 def lines_of(text: Column) -> Column:
@@ -51,24 +54,16 @@ def drop_boilerplate(pages: DataFrame, *, host: str = "source", text: str = "tex
     found = saved(boilerplate(pages, host=host, text=text, max_ratio=max_ratio, min_pages=min_pages), "lines")
     n = found.count()
     pages = pages.select(*columns).withColumn("_host", F.coalesce(F.col(host).cast("string"), F.lit("\0")))
+    by_host = found.groupBy(F.col("host").alias("_host")).agg(F.collect_list("line").alias("_bad"))
     if n <= broadcast_lines:
-        by_host = found.groupBy(F.col("host").alias("_host")).agg(F.collect_list("line").alias("_bad"))
         joined = pages.join(F.broadcast(by_host), "_host", "left")
-        joined = joined.withColumn("_lines", lines_of(F.col(text)))
-        bad = F.coalesce("_bad", F.array().cast("array<string>"))
-        kept = F.filter("_lines", lambda x: (F.btrim(x, F.lit(BLANK)) == "") | ~F.array_contains(bad, line_key(x)))
-        out = joined.withColumn("_kept", F.when(F.size(bad) == 0, F.col("_lines")).otherwise(kept))
-        return _shaped(out, columns, text)
-    numbered = pages.withColumn("_row", F.monotonically_increasing_id())
-    lines = numbered.select("_row", "_host", F.struct(*[c for c in columns if c != text]).alias("_rest"), F.posexplode_outer(lines_of(F.col(text))).alias("_pos", "_line"))
-    lines = lines.withColumn("_rest", F.when(F.coalesce("_pos", F.lit(0)) == 0, F.col("_rest"))).withColumn("_key", F.when(F.btrim("_line", F.lit(BLANK)) != "", line_key(F.col("_line"))))
-    marked = lines.join(found.select(F.col("host").alias("_host"), F.col("line").alias("_key"), F.lit(True).alias("_is")), ["_host", "_key"], "left")
-    whole_pages = marked.groupBy("_row").agg(
-        F.first("_rest", ignorenulls=True).alias("_rest"),
-        F.sort_array(F.collect_list(F.when(F.col("_pos").isNotNull(), F.struct("_pos", "_line", F.coalesce("_is", F.lit(False)).alias("_is"))))).alias("_all"),
-    )
-    out = whole_pages.select("_rest.*", F.transform("_all", lambda x: x["_line"]).alias("_lines"), F.transform(F.filter("_all", lambda x: ~x["_is"]), lambda x: x["_line"]).alias("_kept"))
-    return _shaped(out.withColumn(text, F.lit("")), columns, text)
+    else:  # each host's array goes to SALTS places, among which its pages are dealt in turn
+        dealt = pages.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+        joined = dealt.join(by_host.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["_host", "_salt"], "left")
+    joined = joined.withColumn("_lines", lines_of(F.col(text)))
+    bad = F.coalesce("_bad", F.array().cast("array<string>"))
+    kept = F.filter("_lines", lambda x: (F.btrim(x, F.lit(BLANK)) == "") | ~F.array_contains(bad, line_key(x)))
+    return _shaped(joined.withColumn("_kept", F.when(F.size(bad) == 0, F.col("_lines")).otherwise(kept)), columns, text)
 
 
 def _shaped(df: DataFrame, columns: list[str], text: str) -> DataFrame:

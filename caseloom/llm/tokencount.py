@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import released
+from .common import held
 
 #: The characters of Unicode's White_Space.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -59,8 +59,7 @@ def count_tokens(docs: DataFrame, path: str, *, text: str = "text", table: dict[
 
     @F.arrow_udf("long")
     def counted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        released()
-        first, second, encoder, special = sent.value, {}, tokenizer(path), specials(path)
+        first, second, encoder, special = sent.value, held("tokens", path, dict), tokenizer(path), specials(path)
 
         def of(value: str | None) -> int:
             if not value:

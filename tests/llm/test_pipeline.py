@@ -1,11 +1,15 @@
 """Each stage of the pipeline on its own input against a plain version."""
 
-from collections import Counter
+import re
+import zlib
+from collections import Counter, defaultdict
 
 import corpus_pipeline
+import numpy as np
 from pyspark.sql import functions as F
 
-from caseloom.llm import decontam
+from caseloom.llm import tokencount
+from caseloom.llm.queries import tokenizer_file
 
 from .cases import documents, empty, rows
 from .test_operators import _links
@@ -51,11 +55,44 @@ def test_last_stage_on_an_empty_table(spark, sf_dir):
     assert corpus_pipeline.packed(spark, empty(spark), sf_dir).count() == 0
 
 
-def test_benchmark_stage_follows_the_rule(spark, sf_dir):
+def test_benchmark_stage_against_a_plain_version(spark, sf_dir):
+    docs, bench = (spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("documents", "benchmark"))
+    fold = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
+    windows = set()
+    for r in bench.collect():
+        w = fold(r["text"])
+        n = min(13, len(w))
+        windows |= {tuple(w[i : i + n]) for i in range(len(w) - n + 1 if n else 0)}
+    sizes = {len(w) for w in windows}
+
+    def stays(text):
+        w, hit = fold(text), set()
+        for n in sizes:
+            for i in range(len(w) - n + 1):
+                if tuple(w[i : i + n]) in windows:
+                    hit.update(range(i, i + n))
+        return not (hit and 20 * len(hit) >= len(w))
+
+    want = sorted(r["doc_id"] for r in docs.collect() if stays(r["text"]))
+    assert sorted(r["doc_id"] for r in corpus_pipeline.benchmarks(spark, docs, sf_dir).collect()) == want and len(want) < docs.count()
+
+
+def test_packing_stage_against_the_library(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    bad = {r["doc_id"] for r in decontam.hits(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).filter(decontam.contaminated()).collect()}
-    kept = {r["doc_id"] for r in corpus_pipeline.benchmarks(spark, docs, sf_dir).collect()}
-    assert kept == {r["doc_id"] for r in docs.collect()} - bad
+    encoder = tokencount.tokenizer(tokenizer_file("word_bpe_49k.json"))
+    got = {(r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]): (r["sequence_id"], r["offset"]) for r in corpus_pipeline.packed(spark, docs, sf_dir).collect()}
+    want = set()
+    for r in docs.collect():
+        ids = np.array([*encoder.encode(r["text"] or "", add_special_tokens=False).ids, 0], "<u4")
+        want |= {(r["doc_id"], i, at, len(ids[at : at + 2048]), zlib.crc32(ids[at : at + 2048].tobytes())) for i, at in enumerate(range(0, len(ids), 2048))}
+    assert set(got) == want
+    places = defaultdict(list)
+    for (_, _, _, length, _), (sequence, offset) in got.items():
+        places[sequence].append((offset, length))
+    for held in places.values():
+        ends = [0, *(a + n for a, n in sorted(held))]
+        assert [a for a, _ in sorted(held)] == ends[:-1] and ends[-1] <= 2048
+    assert len(places) <= -(-sum(k[3] for k in got) // 2048) * 1.02 + 1
 
 
 def test_whole_run(spark, sf_dir):
