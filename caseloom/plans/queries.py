@@ -611,14 +611,30 @@ _TICK = lambda x: f"CASE WHEN {x} > 0 THEN '✓' ELSE '✗' END"
 _TITLE = lambda x: f"upper({x}[1]) || lower({x}[2:])"
 
 
-@registered(f"""WITH {_WORLDS_SQL}, d AS (SELECT *, CASE coalesce(quality, 'moderate') WHEN 'weak' THEN -0.05::DOUBLE WHEN 'strong' THEN 0.05 ELSE 0 END AS dq, CASE jur WHEN 'high' THEN 0.03::DOUBLE WHEN 'supreme' THEN -0.08 WHEN 'district' THEN 0.08 ELSE 0 END AS dj,
+#: A scenario for each order.
+_ORDER_WORLDS_SQL = """worlds AS (SELECT o_orderkey AS scenario_id, o_orderkey % 6 AS ev, CASE o_orderkey % 4 WHEN 0 THEN 'weak' WHEN 1 THEN 'moderate' WHEN 2 THEN 'strong' END AS quality, (o_orderkey // 7) % 5 AS sec,
+    CASE (o_orderkey // 3) % 4 WHEN 0 THEN 'same' WHEN 1 THEN 'high' WHEN 2 THEN 'supreme' ELSE 'district' END AS jur, (o_orderkey // 11) % 4 AS res, (o_orderkey // 5) % 6 AS pre, CASE (o_orderkey // 13) % 4 WHEN 0 THEN 'low' WHEN 1 THEN 'medium' WHEN 2 THEN 'high' ELSE 'odd' END AS sim FROM orders)"""
+
+
+def _order_worlds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    part = lambda of, n: (F.floor(k / of) % n).cast("int")
+    named = lambda i, *values: F.get(F.array(*[F.lit(v) for v in values]), i)
+    return table(spark, sf_dir, "orders").select(
+        k.alias("scenario_id"), part(1, 6).alias("additional_evidence"), named(part(1, 4), "weak", "moderate", "strong", None).alias("evidence_quality"), part(7, 5).alias("additional_sections"),
+        named(part(3, 4), "same", "high", "supreme", "district").alias("jurisdiction"), F.slice(F.array(*[F.lit(f"claim:{i}") for i in range(3)]), F.lit(1), part(11, 4)).alias("resolved_weak"),
+        part(5, 6).alias("additional_precedents"), named(part(13, 4), "low", "medium", "high", "odd").alias("precedent_similarity"),
+    )
+
+
+@registered(f"""WITH {_ORDER_WORLDS_SQL}, d AS (SELECT *, CASE coalesce(quality, 'moderate') WHEN 'weak' THEN -0.05::DOUBLE WHEN 'strong' THEN 0.05 ELSE 0 END AS dq, CASE jur WHEN 'high' THEN 0.03::DOUBLE WHEN 'supreme' THEN -0.08 WHEN 'district' THEN 0.08 ELSE 0 END AS dj,
         CASE jur WHEN 'high' THEN 'High Court' WHEN 'supreme' THEN 'Supreme Court' WHEN 'district' THEN 'District Court' ELSE '' END AS place, pre * CASE sim WHEN 'low' THEN 0.01::DOUBLE WHEN 'medium' THEN 0.025 WHEN 'high' THEN 0.045 ELSE 0 END AS dp FROM worlds)
-    SELECT CAST(scenario_id AS INTEGER) AS scenario_id, concat_ws('|', CASE WHEN ev > 0 THEN '✓ Added ' || ev::VARCHAR || ' evidence piece' || {_MANY('ev')} || ' (' || {_SIGNED('ev * 0.03::DOUBLE')} || ')' END,
+    SELECT scenario_id, concat_ws('|', CASE WHEN ev > 0 THEN '✓ Added ' || ev::VARCHAR || ' evidence piece' || {_MANY('ev')} || ' (' || {_SIGNED('ev * 0.03::DOUBLE')} || ')' END,
         CASE WHEN dq <> 0 THEN {_TICK('dq')} || ' Evidence quality: ' || {_TITLE('quality')} || ' (' || {_SIGNED('dq')} || ')' END, CASE WHEN sec > 0 THEN '✓ Added ' || sec::VARCHAR || ' IPC section' || {_MANY('sec')} || ' (' || {_SIGNED('sec * 0.02::DOUBLE')} || ')' END,
         CASE WHEN dj <> 0 THEN {_TICK('dj')} || ' Moved to ' || place || ' (' || {_SIGNED('dj')} || ')' END, CASE WHEN res > 0 THEN '✓ Resolved ' || res::VARCHAR || ' weak argument' || {_MANY('res')} || ' (' || {_SIGNED('res * 0.04::DOUBLE')} || ')' END,
         CASE WHEN pre > 0 THEN '✓ Added ' || pre::VARCHAR || ' precedent' || {_MANY('pre')} || ' (' || coalesce({_TITLE('sim')}, 'undefined') || ' similarity, +' || {_WHOLE('dp')} || '%)' END) AS changelog FROM d""")
 def wif_03_change_log(spark, sf_dir):
-    return _worlds(spark).select("scenario_id", F.array_join(whatif.change_log(), "|").alias("changelog"))
+    return _order_worlds(spark, sf_dir).select("scenario_id", F.array_join(whatif.change_log(), "|").alias("changelog"))
 
 
 @registered("SELECT o_orderkey AS case_id, CASE WHEN o_orderkey % 2 = 0 THEN 'b' ELSE 'a|b|c' END AS resolved FROM orders")
@@ -628,10 +644,12 @@ def wif_04_toggle(spark, sf_dir):
     return table(spark, sf_dir, "orders").select(k.alias("case_id"), F.array_join(whatif.toggle(held, F.when(k % 2 == 0, "a").otherwise("c")), "|").alias("resolved"))
 
 
-@registered("SELECT e AS additional_evidence, q AS evidence_quality, s AS additional_sections, j AS jurisdiction, p AS additional_precedents, m AS precedent_similarity FROM range(0, 6) a(e), (VALUES ('weak'), ('moderate'), ('strong')) b(q), range(0, 5) c(s), (VALUES ('same'), ('high'), ('supreme'), ('district')) d(j), range(0, 6) f(p), (VALUES ('low'), ('medium'), ('high')) g(m)")
+@registered("SELECT c_mktsegment AS segment, e AS additional_evidence, q AS evidence_quality, s AS additional_sections, j AS jurisdiction, p AS additional_precedents, m AS precedent_similarity FROM (SELECT DISTINCT c_mktsegment FROM customer), range(0, 6) a(e), (VALUES ('weak'), ('moderate'), ('strong')) b(q), range(0, 5) c(s), (VALUES ('same'), ('high'), ('supreme'), ('district')) d(j), range(0, 6) f(p), (VALUES ('low'), ('medium'), ('high')) g(m)")
 def wif_05_grid(spark, sf_dir):
-    grid = whatif.scenario_grid(spark)
-    return grid.select(*[F.col(c).cast("long").alias(c) for c in ("additional_evidence", "additional_sections", "additional_precedents")], "evidence_quality", "jurisdiction", "precedent_similarity")
+    """The scenarios that the controls allow, for each segment of customers."""
+    segments = table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("segment")).distinct()
+    grid = segments.join(F.broadcast(whatif.scenario_grid(spark)))
+    return grid.select("segment", *[F.col(c).cast("long").alias(c) for c in ("additional_evidence", "additional_sections", "additional_precedents")], "evidence_quality", "jurisdiction", "precedent_similarity")
 
 
 @registered(with_inputs("SELECT case_id, rank, CAST(floor(least(1.0, greatest(0.0, coalesce(similarity_score, 0.0))) * 100 + 0.5) AS INTEGER) AS percent FROM precedents", "precedents"))
@@ -686,9 +704,11 @@ def src_08_listed_settings(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(fixtures.listed(value), "|").alias("origins"))
 
 
-@registered("SELECT * FROM (VALUES ('precedent', 'ok'), ('facts', 'ok'), ('graph', 'ok'), ('simulation', 'ok')) AS t(module, status)")
+@registered("""SELECT module, 'ok' AS status, n AS records FROM (SELECT 'precedent' AS module, count(*) AS n FROM embeddings UNION ALL SELECT 'facts', count(*) FROM documents UNION ALL SELECT 'graph', count(*) FROM orders UNION ALL SELECT 'simulation', count(*) FROM customer)""")
 def src_11_status(spark, sf_dir):
-    return fixtures.engine_status(spark).select("module", "status")
+    """Each module with how many records it works on."""
+    counts = [table(spark, sf_dir, t).agg(F.count("*").alias("records")).withColumn("module", F.lit(m)) for m, t in (("precedent", "embeddings"), ("facts", "documents"), ("graph", "orders"), ("simulation", "customer"))]
+    return fixtures.engine_status(spark).join(counts[0].unionByName(counts[1]).unionByName(counts[2]).unionByName(counts[3]), "module").select("module", "status", "records")
 
 
 _FIELDS = ("case_id", "petitioner", "respondent", "legal_issues", "ipc_sections", "acts_referenced", "court_level", "case_type", "key_facts", "relief_sought")
