@@ -4,12 +4,14 @@ Every window of ``window`` (35) words is represented by its minimiser: of the ha
 first. Equal windows have equal minimisers, and neighbouring windows mostly share one, so about one position in 14 is kept: an
 anchor. The index is a folder of immutable runs (print, n) of the anchors' fingerprints, each a table bucketed and sorted by
 print. A batch becomes one run, which is merge-joined with each run of history, without exchange or sort, to find what repeats;
-two runs of one level are then compacted by merging, so there are about log(batches) of them. Beside the runs the index keeps
-the texts and anchors of each call, for verification, and a manifest, by which it is opened again later (``FingerprintIndex``).
-
-A fingerprint that occurs once rules its windows out. The windows of the others, in this call's texts and in those of earlier
-calls that share the fingerprint, are verified by a 128-bit hash of the bytes of their words: those of this call that occur
-once are let go, all words in the rest are removed. Hashes are counted with map-side combination, so one passage in any share
+two runs of one level are then compacted by merging, so there are about log(batches) of them. An index that lasts has runs of a second
+kind beside these: the distinct windows of each call, as (print, 128-bit hash), bucketed, sorted and compacted in the same way. What a later call's
+prints meet in history is verified against them by one more merge join, so no text of an earlier call is kept or read again, and history is
+neither exchanged nor sorted but when it is compacted. A manifest tells which runs count; by it the index is opened again later (``FingerprintIndex``).
+
+A fingerprint that occurs once rules its windows out. The windows of the others, in this call's texts and in the window runs of
+history, are verified by a 128-bit hash of the bytes of their words: those of this call that occur once are let go, all
+words in the rest are removed. Hashes are counted with map-side combination, so one passage in any share
 of the documents is a few rows per task.
 
 Words are runs of anything but ASCII white space, unchanged. Defined results: null text -> no words, nothing removed. Texts of
@@ -83,47 +85,56 @@ def anchors(docs: DataFrame, *, key: str = "row", text: str = "text", window: in
 
 
 @contextmanager
-def _sorted_scans(spark: SparkSession) -> Iterator[None]:
-    """Within it a scan of a bucketed table is known to be in order, as each bucket is one file."""
-    name = "spark.sql.legacy.bucketedTableScan.outputOrdering"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "true")
+def _set(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def _sorted_scans(spark: SparkSession):
+    """Within it a scan of a bucketed table is known to be in order, as each bucket is one file."""
+    return _set(spark, "spark.sql.legacy.bucketedTableScan.outputOrdering", "true")
 
 
 class FingerprintIndex:
     """The index in a folder that all executors reach: made there, or opened as the last call left it."""
 
-    MANIFEST = "version int, buckets int, window int, next_row long, levels array<array<string>>, calls array<string>"
-    RUN = "print long, n long"
+    MANIFEST = "version int, buckets int, window int, levels array<array<string>>, windows array<array<string>>"
+    COLUMNS = {"run": "print BIGINT, n BIGINT", "windows": "print BIGINT, hash BIGINT, check BIGINT"}
 
     def __init__(self, spark: SparkSession, path: str, *, buckets: int | None = None):
         self.spark, self.path = spark, path
-        self.version, self.window, self.next_row = 0, None, 0
+        self.version, self.window = 0, None
         self.levels: list[list[str]] = []
-        self.calls: list[str] = []
+        self.windows: list[list[str]] = []
+        self._outdated: list[str] = []
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         versions = [name for name in files_in(spark, f"{path}/manifest") if "_SUCCESS" in files_in(spark, f"{path}/manifest/{name}")]
         if versions:
             last = spark.read.schema(self.MANIFEST).json(f"{path}/manifest/{max(versions)}").first()
-            self.version, self.buckets, self.window, self.next_row = last["version"], last["buckets"], last["window"], last["next_row"]
-            self.levels, self.calls = [list(level) for level in last["levels"]], list(last["calls"])
-            for name in self.runs:
-                spark.sql(f"CREATE TABLE IF NOT EXISTS {name} (print BIGINT, n BIGINT) USING parquet CLUSTERED BY (print) SORTED BY (print) INTO {self.buckets} BUCKETS LOCATION '{self._place(name)}'")
+            self.version, self.buckets, self.window = last["version"], last["buckets"], last["window"]
+            self.levels, self.windows = [list(level) for level in last["levels"]], [list(level) for level in last["windows"]]
+            for name in [*self.runs, *self.window_runs]:
+                columns = self.COLUMNS[name.split("_")[0]]
+                spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet CLUSTERED BY (print) SORTED BY (print) INTO {self.buckets} BUCKETS LOCATION '{self._place(name)}'")
 
     @property
     def runs(self) -> list[str]:
         return [run for level in self.levels for run in level]
 
+    @property
+    def window_runs(self) -> list[str]:
+        return [run for level in self.windows for run in level]
+
     def _place(self, run: str) -> str:
         return f"{self.path}/runs/{run}"
 
-    def _write(self, rows: DataFrame) -> str:
-        """(print, n), dealt by print into as many parts as there are buckets, as a run of one sorted file per bucket."""
-        name = f"run_{uuid.uuid4().hex}"
+    def _write(self, rows: DataFrame, kind: str = "run") -> str:
+        """Rows dealt by print into as many parts as there are buckets, as a run of one sorted file per bucket."""
+        name = f"{kind}_{uuid.uuid4().hex}"
         rows.write.format("parquet").option("compression", "zstd").option("path", self._place(name)).bucketBy(self.buckets, "print").sortBy("print").saveAsTable(name)
         return name
 
@@ -136,19 +147,28 @@ class FingerprintIndex:
         left, right = self.spark.table(a), self.spark.table(b)
         return left.hint("merge").join(right.withColumnRenamed("n", "m"), "print", how)
 
-    def _insert(self, run: str, level: int = 0) -> None:
+    def _insert(self, levels: list[list[str]], run: str, compacted, level: int = 0) -> None:
         """Puts a run into its level; a full level is compacted into one run of the next."""
-        if level == len(self.levels):
-            self.levels.append([])
-        self.levels[level].append(run)
-        if len(self.levels[level]) == FANOUT:
-            full = self.levels[level]
-            total = lambda rows: rows.select("print", (F.coalesce("n", F.lit(0)) + F.coalesce("m", F.lit(0))).alias("n"))
+        if level == len(levels):
+            levels.append([])
+        levels[level].append(run)
+        if len(levels[level]) == FANOUT:
+            full = levels[level]
             with _sorted_scans(self.spark):
-                run = self._write(total(self.merged(*full, "full_outer")))
-            self.levels[level] = []
+                run = compacted(*full)
+            levels[level] = []
             self._outdated += full
-            self._insert(run, level + 1)
+            self._insert(levels, run, compacted, level + 1)
+
+    def _sum(self, a: str, b: str) -> str:
+        return self._write(self.merged(a, b, "full_outer").select("print", (F.coalesce("n", F.lit(0)) + F.coalesce("m", F.lit(0))).alias("n")))
+
+    def _union(self, a: str, b: str) -> str:
+        """Both runs of windows as one; a window of both stays once."""
+        # A union of two bucketed scans claims their partitioning in Spark 4.1 but does not keep it, so duplicates would stay.
+        with _set(self.spark, "spark.sql.unionOutputPartitioning", "false"):
+            rows = self.spark.table(a).unionByName(self.spark.table(b)).repartition(self.buckets, "print").dropDuplicates(["print", "hash", "check"])
+            return self._write(rows, "windows")
 
     def add(self, batch: DataFrame) -> DataFrame:
         """Adds the anchors of a batch as a run. Returns (print): those that history has too, or that the batch has twice."""
@@ -158,39 +178,46 @@ class FingerprintIndex:
             for old in self.runs:
                 seen = seen.unionByName(self.merged(run, old).select("print"))
             seen = saved(seen, "seen")
-        self._insert(run)
+        self._insert(self.levels, run, self._sum)
         return seen
 
-    _outdated: list[str] = []
+    def met(self, prints: DataFrame) -> DataFrame | None:
+        """(hash, check): the windows of earlier calls that have one of these (print), by a merge join with each run of windows."""
+        if not self.window_runs:
+            return None
+        asked = self._write(prints.select("print").repartition(self.buckets, "print"), "prints")
+        self._outdated.append(asked)
+        with _sorted_scans(self.spark):
+            found = [self.meeting(run, asked) for run in self.window_runs]
+            return saved(reduce(DataFrame.unionByName, found).distinct(), "met")
+
+    def meeting(self, run: str, asked: str) -> DataFrame:
+        """The join of one run (to be planned within _sorted_scans)."""
+        return self.spark.table(run).hint("merge").join(self.spark.table(asked), "print").select("hash", "check")
+
+    def remember(self, windows: DataFrame) -> None:
+        """Keeps the windows (print, hash, check) of a call for later ones; equal ones are combined before they move."""
+        rows = windows.groupBy("print", "hash", "check").agg(F.count("*").alias("n")).select("print", "hash", "check")
+        self._insert(self.windows, self._write(rows.repartition(self.buckets, "print"), "windows"), self._union)
 
-    def begin(self, window: int) -> str:
+    def begin(self, window: int) -> None:
         if self.window not in (None, window):
             raise ValueError(f"this index is of windows of {self.window} words, not {window}")
         self.window, self._outdated = window, []
-        return uuid.uuid4().hex
 
-    def store(self, kind: str, call: str, rows: DataFrame) -> DataFrame:
-        place = f"{self.path}/{kind}/{call}"
-        rows.write.option("compression", "zstd").parquet(place)
-        return self.spark.read.schema(rows.schema).parquet(place)
-
-    def earlier(self, kind: str, like: DataFrame) -> DataFrame | None:
-        """What all earlier calls stored of a kind."""
-        return self.spark.read.schema(like.schema).parquet(*[f"{self.path}/{kind}/{c}" for c in self.calls]) if self.calls else None
-
-    def commit(self, call: str, next_row: int) -> None:
+    def commit(self) -> None:
         """Writes the manifest; only then runs that were compacted go."""
-        self.version, self.next_row = self.version + 1, next_row
-        self.calls.append(call)
-        row = (self.version, self.buckets, self.window, self.next_row, self.levels, self.calls)
+        self.version += 1
+        row = (self.version, self.buckets, self.window, self.levels, self.windows)
         self.spark.createDataFrame([row], self.MANIFEST).coalesce(1).write.json(f"{self.path}/manifest/{self.version:09d}")
         for run in self._outdated:
             self.spark.sql(f"DROP TABLE IF EXISTS {run}")
             removed_folder(self.spark, self._place(run))
+        self._outdated = []
 
     def close(self) -> None:
         """Forgets the runs' names in this session; the folder stays."""
-        for run in [*self.runs, *self._outdated]:
+        for run in [*self.runs, *self.window_runs, *self._outdated]:
             self.spark.sql(f"DROP TABLE IF EXISTS {run}")
 
     def delete(self) -> None:
@@ -236,6 +263,27 @@ def _windows(window: int):
     return windows
 
 
+def all_windows(docs: DataFrame, *, text: str = "text", window: int = 35) -> DataFrame:
+    """(print, hash, check) of every window of every text."""
+
+    @F.arrow_udf("array<struct<print:long,hash:long,check:long>>")
+    def found(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in texts:
+            sizes, prints, hashes = [0], [np.zeros(0, np.int64)], [np.zeros((0, 2), np.int64)]
+            for value in batch.cast(pa.binary()):
+                words = (value.as_py() or b"").split()
+                at, grams = minimisers(word_hashes().of(words), window)
+                sizes.append(len(at))
+                if len(at):
+                    prints.append(grams[at].view(np.int64))
+                    hashes.append(_window_hashes(words, np.arange(len(at)), window))
+            both = np.concatenate(hashes)
+            rows = pa.StructArray.from_arrays([pa.array(c) for c in (np.concatenate(prints), both[:, 0].copy(), both[:, 1].copy())], ("print", "hash", "check"))
+            yield pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), rows)
+
+    return docs.select(F.explode(found(F.col(text))).alias("w")).select("w.*")
+
+
 def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", window: int = 35, batches: int = 2, index: FingerprintIndex | None = None) -> DataFrame:
     """key, n_words, n_removed, kept_text, kept_sha256: every word covered by a window that starts anywhere else too goes.
 
@@ -246,30 +294,29 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     spark = docs.sparkSession
     lasting = index is not None
     index = index if lasting else FingerprintIndex(spark, f"{scratch_root(spark)}/index-{uuid.uuid4().hex}")
-    call = index.begin(window)
+    index.begin(window)
     # Row numbers depend on the partitions of the input: they are given once, and every later step reads this table.
-    number = F.monotonically_increasing_id() + F.lit(index.next_row)
-    base = index.store("texts", call, docs.select(number.alias("row"), F.col(key).alias("key"), F.col(text).alias("text")))
-    every = index.store("anchors", call, anchors(base, window=window))
+    base = saved(docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), F.col(text).alias("text")), "texts")
+    every = saved(anchors(base, window=window), "anchors")
     # A print repeats if some batch has it twice or meets it in history; the older occurrences are flagged by the same list.
     seen = [index.add(every.filter(F.pmod(F.xxhash64("row"), F.lit(batches)) == k)) for k in range(batches)]
     # As a table, so that both sides of the join are plain exchanges and adaptive execution can split a print with many occurrences.
     repeated = saved(reduce(DataFrame.unionByName, seen).distinct(), "repeated")
-    flags_of = lambda occurrences: occurrences.join(repeated.hint("merge"), "print").groupBy("row").agg(F.collect_list("pos").alias("flags"))
-    joined = saved(base.join(flags_of(every), "row", "left").withColumn("text", F.coalesce("text", F.lit(""))), "flagged")
+    flags = every.join(repeated.hint("merge"), "print").groupBy("row").agg(F.collect_list("pos").alias("flags"))
+    joined = saved(base.join(flags, "row", "left").withColumn("text", F.coalesce("text", F.lit(""))), "flagged")
     windows = _windows(window)
-    hashed = lambda rows, new: rows.select("row", F.explode(windows("text", "flags")).alias("w")).select("w.hash", "w.check", "row", "w.pos", F.lit(new).alias("new"))
     some, none = joined.filter("flags is not null"), joined.filter("flags is null")
-    checked = hashed(some, True)
-    if (before := index.earlier("anchors", every)) is not None:
-        texts = index.earlier("texts", base).select("row", "text")
-        checked = checked.unionByName(hashed(texts.join(saved(flags_of(before), "past"), "row"), False))
+    checked = some.select("row", F.explode(windows("text", "flags")).alias("w")).select("w.hash", "w.check", "row", "w.pos", F.lit(True).alias("new"))
     if lasting:
-        last = base.agg(F.max("row").alias("row")).first()["row"]
-        index.commit(call, index.next_row if last is None else last + 1)
+        if (before := index.met(repeated)) is not None:
+            nowhere = lambda kind: F.lit(None).cast(kind)
+            checked = checked.unionByName(before.select("hash", "check", nowhere("long").alias("row"), nowhere("int").alias("pos"), F.lit(False).alias("new")))
+        index.remember(all_windows(base, window=window))
+        index.commit()
     else:
         index.delete()
-        dropped(repeated)
+    for table in (repeated, every, base):
+        dropped(table)
     for table in seen:
         dropped(table)
 

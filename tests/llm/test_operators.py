@@ -445,6 +445,8 @@ def test_substrings_repeat_text_of_earlier_sessions(spark, tmp_path):
         before += texts
         asked = {k for k, _ in texts}
         assert sorted((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got.collect()) == [r for r in _repeats(before) if r[0] in asked]
+        # Nothing of the texts stays, and runs of windows are few.
+        assert {p.name for p in (tmp_path / "index").iterdir()} == {"runs", "manifest"} and len(index.window_runs) <= 2
         index.close()
     with pytest.raises(ValueError):
         substring_index.remove_repeats(some(spark, (1, "a")), window=20, index=substring_index.FingerprintIndex(spark, path))
@@ -462,6 +464,15 @@ def test_index_runs_merge_without_exchange_or_sort(spark, tmp_path):
         rows.collect()
         plan = rows._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Exchange" not in plan and "Sort [" not in plan
+    windows = lambda *prints: spark.createDataFrame([(p, p + i, 0) for p in prints for i in range(2)] * 2, "print long, hash long, check long")
+    for some_of in ((1, 2), (2, 3), (9,)):
+        index.remember(windows(*some_of))
+    assert [len(x) for x in index.windows] == [1, 1] and sum(spark.table(r).count() for r in index.window_runs) == 8
+    assert {tuple(r) for r in index.met(batch(2, 9, 77)).collect()} == {(2, 0), (3, 0), (9, 0), (10, 0)}
+    with substring_index._sorted_scans(spark):
+        # History is read in order, where it lies.
+        plan = index.meeting(index.window_runs[0], index._outdated[-1])._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan and "Sort [" not in plan
     assert {r["print"] for r in index.add(batch(3, 77, 78, 78)).collect()} == {3, 78}
     assert [len(x) for x in index.levels] == [0, 1, 1]
     runs = [r for run in index.runs for r in spark.table(run).collect()]
