@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,6 +80,37 @@ def released() -> None:
     _held.clear()
 
 
+#: log2 of the bits of a table of ids.
+ID_BITS = 24
+
+
+def _id_bits(ids: np.ndarray) -> np.ndarray:
+    return ((ids.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - ID_BITS)).astype(np.int64)
+
+
+def among(spark: SparkSession, ids: DataFrame, key: str, many: int = 64) -> Column:
+    """False for most values of key that are not in ids (whole numbers), true for all that are: by a table of 2 MB whatever their number; null gives false."""
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(1 << ID_BITS, bool)
+        for batch in batches:
+            bits[_id_bits(batch.column(0).drop_null().to_numpy())] = True
+        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], ["bits"])
+
+    table = np.zeros(1 << ID_BITS >> 3, np.uint8)
+    for r in ids.select(F.col(key).cast("long")).coalesce(many).mapInArrow(marked, "bits binary").toLocalIterator():
+        table |= np.frombuffer(r["bits"], np.uint8)
+    sent = spark.sparkContext.broadcast(table)
+
+    @F.arrow_udf("boolean")
+    def found(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        bits = np.unpackbits(sent.value).astype(bool)
+        for batch in batches:
+            yield pa.array(bits[_id_bits(batch.fill_null(0).to_numpy(zero_copy_only=False))] & batch.is_valid().to_numpy(zero_copy_only=False))
+
+    return found(F.col(key).cast("long"))
+
+
 def whole(text: Column) -> Column:
     """Null texts count as empty."""
     return F.coalesce(text, F.lit(""))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from caseloom.llm import decontam, langid, linededup, ngram_join, packing
-from caseloom.llm.common import documents, scratch_root
+from caseloom.llm.common import among, documents, saved, scratch_root
 from caseloom.llm.queries import tokenizer_file
 from caseloom.session import ship
 
@@ -40,11 +40,16 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     ship(spark)
     docs = docs.select(*COLUMNS)
-    stays = ngram_join.near_duplicates(docs).filter("id = class_id").groupBy(F.col("id").alias("doc_id")).agg(F.count("*").alias("_rows"))
-    once = docs.join(stays.filter("_rows = 1"), "doc_id", "left_semi")
+    found = saved(ngram_join.near_duplicates(docs).select("id", "class_id"), "near")
+    # Ids that go, and ids that stay on one of several rows. A table of bits, of one size for any input, sorts out the texts that are
+    # none of these where they lie; only the others, and the few that share a bit with them, are joined.
+    goes = found.filter("id <> class_id").select(F.col("id").alias("doc_id")).distinct()
+    several = found.filter("id = class_id").groupBy(F.col("id").alias("doc_id")).agg(F.count("*").alias("_rows")).filter("_rows > 1").select("doc_id")
+    maybe = among(spark, goes.unionByName(several), "doc_id")
+    sure, rest = docs.filter(~maybe), docs.filter(maybe).join(goes, "doc_id", "left_anti")
     first = Window.partitionBy("doc_id").orderBy(F.asc_nulls_last("text"), "lang", "source", "n_chars")
-    repeated = docs.join(stays.filter("_rows > 1"), "doc_id", "left_semi").withColumn("_n", F.row_number().over(first)).filter("_n = 1")
-    return once.unionByName(repeated.select(*COLUMNS)).unionByName(docs.filter("doc_id is null")).select(*COLUMNS)
+    once = rest.withColumn("_n", F.row_number().over(first)).filter("_n = 1")
+    return sure.unionByName(once.select(*COLUMNS)).select(*COLUMNS)
 
 
 def benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
