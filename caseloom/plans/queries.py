@@ -58,7 +58,7 @@ def _cases(spark: SparkSession, sf_dir: str, **columns) -> DataFrame:
     return synth.case_text(spark, sf_dir).select("case_id", *[c.alias(n) for n, c in columns.items()])
 
 
-_SECTIONS_SQL = f"list_concat(list_transform(regexp_extract_all(case_text, {_p(rules.SECTION)}, 0), lambda x: rtrim({_STRIP('x')}, ',;.')), list_transform(list_zip(regexp_extract_all(case_text, {_p(rules.SECTION_INLINE)}, 1), regexp_extract_all(case_text, {_p(rules.SECTION_INLINE)}, 2)), lambda z: 'Section ' || z[1] || ' ' || z[2]))"
+_SECTIONS_SQL = f"list_concat(list_transform(regexp_extract_all(case_text, {_p(rules.SECTION)}, 0), lambda x: rtrim({_STRIP('x')}, ',;.')), list_transform(list_zip(regexp_extract_all(case_text, {_p(rules.SECTION_INLINE)}, 1), regexp_extract_all(case_text, {_p(rules.SECTION_INLINE)}, 2)), lambda z: 'Section ' || z[1] || ' ' || {_STRIP('z[2]')}))"
 _ACTS_SQL = f"list_filter(list_transform(regexp_extract_all(case_text, {_p(rules.ACT)}, 1), lambda x: {_STRIP('regexp_replace(' + _COLLAPSE('rtrim(' + _STRIP('x') + ', ' + chr(39) + ',;.' + chr(39) + ')') + ', ' + _p(rules.ACT_LEAD) + ', ' + chr(39) * 2 + ')')}), lambda x: length(x) > 4 AND NOT regexp_matches(x, '^\\d') AND NOT regexp_matches(lower(x), {_p(rules.ACT_BARRED)}))"
 
 

@@ -7,7 +7,8 @@ from dataclasses import dataclass, field
 # Text patterns, case-insensitive unless said otherwise. They are written so that Java's and RE2's
 # engines read them alike.
 SECTION = r"(?:Section|Sec\.?|u/?s\.?|under)\s+(?:\d+[A-Za-z]?(?:\s*[,&/]\s*\d+[A-Za-z]?)*)(?:\s*(?:IPC|CrPC|CPC|IEA|Evidence Act|Code))?"
-SECTION_INLINE = r"(\d{2,3})\s*(?:IPC|CrPC|CPC)\s{0,17}(IPC|CrPC|CPC|IEA)"
+# The second code ends within twenty characters of the first.
+SECTION_INLINE = r"(\d{2,3})\s*(?:IPC|CrPC|CPC)(\s{0,17}(?:IPC|CPC|IEA)|\s{0,16}CrPC)"
 SECTION_INLINE_INTENT = r"(\d{2,3})\s*(IPC|CrPC|CPC|IEA)"
 ACT = (
     r"\b((?:Indian\s+(?:Penal\s+Code|Evidence\s+Act|Succession\s+Act|Contract\s+Act|Stamp\s+Act|Trusts\s+Act|Partnership\s+Act|Arbitration\s*(?:and\s*)?Conciliation\s*Act)"

@@ -27,6 +27,12 @@ def test_sections(spark, text, want):
     assert one(spark, text, extract.sections) == want
 
 
+@pytest.mark.parametrize(("blanks", "code", "found"), [(17, "IPC", True), (18, "IPC", False), (16, "CrPC", True), (17, "CrPC", False), (0, "IEA", True)])
+def test_second_code_ends_within_twenty_characters(spark, blanks, code, found):
+    text = spark.createDataFrame([(f"the 302 IPC{' ' * blanks}{code} applies",)], "t string")
+    assert text.select(extract.sections(F.col("t"))).first()[0] == ([f"Section 302 {code}"] if found else [])
+
+
 def test_inline_sections_by_intent(spark):
     assert one(spark, "302 IPC", extract.sections) == []
     assert one(spark, "302 IPC", lambda t: extract.sections(t, intent=True)) == ["Section 302 IPC"]
