@@ -89,7 +89,7 @@ class PivotIndex:
             self.near[r["cell"]], self.far[r["cell"]], self.count[r["cell"]] = r["near"], r["far"], r["n"]
 
     def _pairs(self, queries: DataFrame, k: int) -> DataFrame:
-        """(id, v, cell) for each cell that a query (id, v[, limit]) meets."""
+        """(id, v, limit, cell) for each cell that a query (id, v[, limit]) meets."""
         pivots, bounded = self.pivots, "limit" in queries.columns
         cells = self.near, self.far, self.count
 
@@ -100,9 +100,10 @@ class PivotIndex:
                 at = np.repeat(np.arange(len(met)), [len(c) for c in met])
                 for i in range(0, len(at), 4096):
                     rows = batch.take(pa.array(at[i : i + 4096]))
-                    yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(np.concatenate(met)[i : i + 4096], pa.int32())], ["id", "v", "cell"])
+                    most = rows.column(2) if bounded else pa.array(np.full(rows.num_rows, np.inf))
+                    yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), most, pa.array(np.concatenate(met)[i : i + 4096], pa.int32())], ["id", "v", "limit", "cell"])
 
-        return queries.mapInArrow(found, "id long, v array<float>, cell int")
+        return queries.mapInArrow(found, "id long, v array<float>, limit double, cell int")
 
     def _candidates(self, pairs: DataFrame, k: int, least: Callable) -> DataFrame:
         """(query_id, vec_id, distance): of each unit of a cell the k best for each of its queries."""
@@ -113,12 +114,12 @@ class PivotIndex:
         units = lambda n: F.element_at(F.array(*[F.lit(int(-(-max(1, x) // (8 * self.block)))) for x in n]), F.col("cell") + 1)
         own = lambda n: F.pmod(F.xxhash64("id"), units(n)).cast("int")
         every = lambda n: F.explode(F.sequence(F.lit(0), units(n) - 1))
-        left = pairs.select("id", "v", "cell", own(asked).alias("_q"), every(self.count).alias("_x"))
+        left = pairs.select("id", "v", "limit", "cell", own(asked).alias("_q"), every(self.count).alias("_x"))
         right = self.rows.filter(F.element_at(F.array(*[F.lit(bool(x)) for x in asked]), F.col("cell") + 1)).select("id", "v", "cell", every(asked).alias("_q"), own(self.count).alias("_x"))
         block = self.block
 
         def pair(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
-            return least(q["id"].to_numpy(), np.stack(q["v"].to_numpy()).astype(np.float32) if len(q) else np.zeros((0, 0), np.float32), iter([x[["id", "v"]]]), k, block)
+            return least(q["id"].to_numpy(), np.stack(q["v"].to_numpy()).astype(np.float32) if len(q) else np.zeros((0, 0), np.float32), iter([x[["id", "v"]]]), k, block, (q["limit"].to_numpy() * (1 + GIVE)) ** 2)
 
         keys = ("cell", "_q", "_x")
         return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(pair, "query_id long, vec_id long, distance double")
@@ -128,14 +129,13 @@ class PivotIndex:
         self.visited, self.cells_by_queries = 0, queries.count() * int((self.count > 0).sum())
         if not len(self.pivots):
             return queries.sparkSession.createDataFrame([], "query_id long, vec_id long, distance double")
+        # Pairs repeat a vector for each cell it meets: they are made twice, once to be counted, and never written.
         asked = stored(queries.select("id", "v"), "asked")
-        tables = [first := stored(self._pairs(asked, k), "pairs")]
-        found = stored(self._candidates(first, k, least), "found")
+        found = stored(self._candidates(self._pairs(asked, k), k, least), "found")
         best = Window.partitionBy("query_id").orderBy("distance", "vec_id")
         kth = found.withColumn("_n", F.row_number().over(best)).filter(F.col("_n") == k).select(F.col("query_id").alias("id"), F.sqrt("distance").alias("limit"))
-        limited = asked.join(kth, "id", "left").select("id", "v", F.coalesce("limit", F.lit(float("inf"))).alias("limit"))
-        tables.append(others := stored(self._pairs(limited, k), "pairs"))
-        out = found.unionByName(stored(self._candidates(others, k, least), "found"))
-        for table in (asked, *tables):
+        limited = stored(asked.join(kth, "id", "left").select("id", "v", F.coalesce("limit", F.lit(float("inf"))).alias("limit")), "limited")
+        out = found.unionByName(stored(self._candidates(self._pairs(limited, k), k, least), "found"))
+        for table in (asked, limited):
             removed(table)
         return out

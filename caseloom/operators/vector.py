@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
@@ -13,9 +14,14 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions.text import cut_at_space
+from ..session import stored
 from .pivots import PivotIndex
 
 
+#: Texts that an encoder gets at once: a worker's memory does not grow with the batches that Spark makes.
+AT_ONCE = 256
+
+
 def normalise(v: Column) -> Column:
     """VEC-5: unit length in double; a zero vector stays."""
     d = F.transform(v, lambda x: x.cast("double"))
@@ -23,6 +29,19 @@ def normalise(v: Column) -> Column:
     return F.when(norm > 0, F.transform(d, lambda x: x / norm)).otherwise(d)
 
 
+def digest(vectors: Column) -> Column:
+    """Sixteen bytes that vectors of the same elements share; null for null."""
+
+    @F.arrow_udf("binary")
+    def digested(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            flat, ends = batch.values.to_numpy(zero_copy_only=False), batch.offsets.to_numpy()
+            found = [blake2b(flat[a:e].tobytes(), digest_size=16).digest() for a, e in zip(ends[:-1], ends[1:], strict=True)]
+            yield pa.array(found, pa.binary(), mask=batch.is_null().to_numpy(zero_copy_only=False))
+
+    return digested(vectors)
+
+
 def squared_distance(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x)
 
@@ -64,10 +83,17 @@ def _sound(df: DataFrame, key: str, vector: str) -> DataFrame:
 def _nearest(queries: DataFrame, index: DataFrame, k: int, dimension: int, block: int, max_broadcast_mb: int, pivots: int) -> DataFrame:
     """Candidates (query_id, vec_id, distance) of sound vectors (id, v) of one dimension."""
     if queries.count() * dimension * 4 > max_broadcast_mb << 20:
-        return PivotIndex(index, pivots=pivots, block=block).search(queries, k, _least)
+        # A query goes once to each cell it meets, so cells are not smaller than a unit of work.
+        return PivotIndex(index, pivots=min(pivots, -(-index.count() // (8 * block))), block=block).search(queries, k, _least)
     rows = queries.toPandas()
     sent = queries.sparkSession.sparkContext.broadcast((rows["id"].to_numpy(), _matrix(rows["v"])))
-    return index.mapInPandas(_candidates(sent, k, block), "query_id long, vec_id long, distance double")
+    return _spread(index).mapInPandas(_candidates(sent, k, block), "query_id long, vec_id long, distance double")
+
+
+def _spread(rows: DataFrame) -> DataFrame:
+    """Rows in at least as many parts as there are cores: each is met by all queries, however few bytes they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores, "id") if rows.rdd.getNumPartitions() < cores else rows
 
 
 def _matrix(vectors: pd.Series) -> np.ndarray:
@@ -102,15 +128,15 @@ def _first_copies(ids: np.ndarray, x: np.ndarray, k: int) -> np.ndarray:
     return np.array(kept, np.int64)
 
 
-def _least(ids: np.ndarray, q: np.ndarray, frames: Iterator[pd.DataFrame], k: int, block: int) -> pd.DataFrame:
-    """(query_id, vec_id, distance): for each query the k least of all rows by (exact distance, id).
+def _least(ids: np.ndarray, q: np.ndarray, frames: Iterator[pd.DataFrame], k: int, block: int, limit: np.ndarray | None = None) -> pd.DataFrame:
+    """(query_id, vec_id, distance): for each query the k least of all rows by (exact distance, id), or those of them that are within its limit.
 
     A row is left out only if its approximate distance less its rounding bound lies above k others' approximate distances plus theirs,
     or above the k-th exact distance so far.
     """
     q2 = (q.astype(np.float64) ** 2).sum(axis=1)
     held = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))  # number of the query, id, distance
-    limit = np.full(len(q), np.inf)
+    limit = np.full(len(q), np.inf) if limit is None else limit.copy()
     for frame in frames if len(q) else ():
         for at in range(0, len(frame), block):
             rows = frame.iloc[at : at + block]
@@ -139,8 +165,8 @@ def _least(ids: np.ndarray, q: np.ndarray, frames: Iterator[pd.DataFrame], k: in
             order = np.lexsort((found, distance, qi))
             qi, found, distance = qi[order], found[order], distance[order]
             place = np.arange(len(qi)) - np.searchsorted(qi, qi)
-            limit[qi[place == k - 1]] = distance[place == k - 1]
-            held = tuple(c[place < k] for c in (qi, found, distance))
+            limit[qi[place == k - 1]] = np.minimum(limit[qi[place == k - 1]], distance[place == k - 1])
+            held = tuple(c[(place < k) & (distance <= limit[qi])] for c in (qi, found, distance))
     return pd.DataFrame({"query_id": ids[held[0]], "vec_id": held[1], "distance": held[2]})
 
 
@@ -156,6 +182,7 @@ def supplement(hits: DataFrame, keyword: DataFrame, k: int = 10, query_id: str =
     The places are cut first and ids already there (or repeated among the keyword rows) taken out after that, so a query may stay below k.
     Similarity 0. Ranks of keyword rows follow those of hits, which are at most k; of hits without a rank it is null.
     """
+    hits = stored(hits, "hits")
     left = hits.groupBy(query_id).agg(F.count("*").alias("_have"))
     place = Window.partitionBy(query_id).orderBy("ordinal")
     more = keyword.select(query_id, "ordinal", doc_id).join(left, query_id, "left").withColumn("_at", F.row_number().over(place)).filter(F.col("_at") <= F.lit(k) - F.coalesce("_have", F.lit(0)))
@@ -202,9 +229,9 @@ def encode(docs: DataFrame, encoder: Callable[[list[str]], np.ndarray], *, text:
     # A map over batches: an expression could not take a text made by array functions.
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            found = unit(np.asarray(encoder([x or "" for x in batch.column(at).to_pylist()])))
-            yield pa.RecordBatch.from_arrays([*batch.columns, found], [*batch.schema.names, out])
+            for i in range(0, batch.num_rows, AT_ONCE):
+                some = batch.slice(i, AT_ONCE)
+                found = unit(np.asarray(encoder([x or "" for x in some.column(at).to_pylist()])))
+                yield pa.RecordBatch.from_arrays([*some.columns, found], [*some.schema.names, out])
 
     return kept.mapInArrow(vectors, T.StructType([*kept.schema.fields, T.StructField(out, T.ArrayType(T.FloatType()))]))

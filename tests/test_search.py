@@ -118,6 +118,48 @@ def test_pivots_skip_cells_and_stay_exact(spark):
     assert index.visited < index.cells_by_queries / 3
 
 
+def test_a_search_by_pivots_writes_each_vector_once(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(400)]
+    written = []
+    kept = pivots.stored
+    monkeypatch.setattr(pivots, "stored", lambda df, name: written.append((name, (out := kept(df, name)).count(), "v" in df.columns)) or out)
+    got = vector.nearest(_vectors(spark, rows, "query_id"), _vectors(spark, rows), 3, max_broadcast_mb=0, block=4, pivots=12).collect()
+    assert {(r["query_id"], r["rank"], r["vec_id"]) for r in got} == _plain_nearest(rows, rows, 3)
+    assert all(n <= 400 for _, n, vectors in written if vectors)
+    # Cells after the first give only what lies within the limit found there.
+    assert sum(n for name, n, _ in written if name == "found") < 400 * 3 * 12
+
+
+def test_hits_are_worked_out_once_for_their_supplement(spark, monkeypatch):
+    stored = []
+    kept = vector.stored
+    monkeypatch.setattr(vector, "stored", lambda df, name: stored.append(name) or kept(df, name))
+    hits = spark.createDataFrame([(1, "a", 1, 0.5)], "query_id long, doc_id string, rank int, similarity double")
+    more = spark.createDataFrame([(1, 0, "a"), (1, 1, "b")], "query_id long, ordinal int, doc_id string")
+    assert {(r["doc_id"], r["rank"]) for r in vector.supplement(hits, more, 3).collect()} == {("a", 1), ("b", 5)}
+    assert stored == ["hits"]
+
+
+def test_same_vectors_are_searched_once_and_keywords_only_for_places_left(spark, monkeypatch):
+    seen, asked_for = [], []
+    nearest = pipelines.nearest
+    monkeypatch.setattr(pipelines, "nearest", lambda queries, *rest: seen.append(queries.count()) or nearest(queries, *rest))
+
+    def keyword(questions):
+        asked_for.extend(r["query"] for r in questions.collect())
+        return questions.selectExpr("query_id", "0 as ordinal", "'30' as doc_id")
+
+    asked = spark.createDataFrame([(1, "ab"), (2, "ba"), (3, "a"), (4, "xa")], "query_id long, query string")
+    found = pipelines.search(asked, _toy_index(spark), 3, keyword=keyword, encoder=_toy).collect()
+    assert seen == [2] and len(asked_for) > 0
+    of = lambda q: sorted((r["rank"], r["doc_id"]) for r in found if r["query_id"] == q)
+    assert of(1) == of(2) and of(3) == of(4)
+    asked_for.clear()
+    full = pipelines.search(asked, _toy_index(spark).filter("vec_id > 1"), 3, keyword=keyword, encoder=_toy)
+    assert asked_for == [] and full.filter("source = 'keyword'").count() == 0
+
+
 def _toy(texts):
     """Two features: how many a and b a text has."""
     return np.array([[t.count("a"), t.count("b")] for t in texts], np.float32)
