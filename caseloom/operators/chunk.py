@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import strip, text_or
 
+#: Texts that are held in words at once.
+AT_ONCE = 256
 _END = re.compile(r"(?<=[.!?])\s+")
 
 
@@ -50,7 +52,8 @@ def chunks(docs: DataFrame, *, text: str = "text", target: int = 500, overlap: i
     @F.arrow_udf("array<string>")
     def cut(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in texts:
-            yield pa.array([chunk_words(x.as_py(), target, overlap) for x in batch], pa.list_(pa.string()))
+            for i in range(0, len(batch), AT_ONCE):
+                yield pa.array([chunk_words(x.as_py(), target, overlap) for x in batch.slice(i, AT_ONCE)], pa.list_(pa.string()))
 
     kept = [c for c in docs.columns if c not in (text, "chunk_index", "total_chunks", "_chunks")]
     parts = docs.select(*kept, cut(F.col(text)).alias("_chunks"))

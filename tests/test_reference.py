@@ -348,3 +348,52 @@ def test_latest_status_of_a_stream(spark, tmp_path):
     found = stream.latest_status(stream.read_stream(spark, str(tmp_path / "log"), log.schema))
     stream.run_available(found, lambda df, _: out.extend(df.collect()), str(tmp_path / "checkpoint"), mode="update")
     assert {(r["task_id"], r["status"]) for r in out} == {("a", "completed"), ("b", "failed")}
+
+
+def test_elements_in_one_pass_equal_the_view_of_the_tables(spark, sf_dir):
+    from caseloom.plans import synth
+
+    profiles, cited = synth.case_profile(spark, sf_dir), synth.precedents(spark, sf_dir)
+    n, e = graph.nodes(profiles, cited), graph.built_edges(profiles, cited)
+    weak = graph.weak_claims(n, e)
+    seen, numbered = graph.element_view(n, e, weak)
+    want = [("node", r["case_id"], r["id"], r["id"], r["weak"]) for r in seen.collect()] + [("edge", r["case_id"], r["element_id"], r["id"], None) for r in numbered.collect()]
+    one = graph.elements(profiles, cited)
+    assert sorted(map(str, want)) == sorted(str((r["kind"], r["case_id"], r["element_id"], r["id"], r["weak"])) for r in one.collect())
+    assert one._jdf.queryExecution().optimizedPlan().toString().count("Generate") <= 2
+    listed = graph.graph_stats(profiles).selectExpr("case_id", "explode(weak_nodes) as id")
+    assert sorted(map(tuple, listed.collect())) == sorted(map(tuple, weak.select("case_id", "id").collect()))
+
+
+def test_profiles_are_extracted_once_for_nodes_and_edges(spark, monkeypatch):
+    from caseloom.plans import pipelines
+
+    stored = []
+    kept = pipelines.stored
+    monkeypatch.setattr(pipelines, "stored", lambda df, name: stored.append(name) or kept(df, name))
+    pipelines.extract_to_graph(spark.createDataFrame([(1, "Whether the order is valid in law?")], "case_id long, case_text string"))
+    assert stored == ["profiles"]
+
+
+def test_edges_are_built_for_the_cases_found_alone(spark, sf_dir):
+    from caseloom.plans import synth
+
+    profiles, cited = synth.case_profile(spark, sf_dir), synth.precedents(spark, sf_dir)
+    asked = []
+    of = lambda cases: asked.append(cases.count()) or graph.edges(profiles.join(cases, "case_id", "left_semi"), cited)
+    rows = lambda pair: [sorted(map(str, df.collect())) for df in pair]
+    n = graph.nodes(profiles, cited)
+    assert rows(graph.query_graph(n, of, "order 77")) == rows(graph.query_graph(n, graph.edges(profiles, cited), "order 77"))
+    assert asked and asked[0] <= 20
+
+
+def test_encoders_chunks_and_pages_are_worked_on_a_few_at_a_time(spark):
+    from caseloom.operators import html, vector
+
+    rows = spark.range(1500, numPartitions=1)
+    most = lambda texts: np.full((len(texts), 1), float(len(texts)), np.float32) if len(texts) <= 256 else 1 / 0
+    assert vector.encode(rows.selectExpr("id", "'a' as text"), most).count() == 1500
+    chunks = chunk.chunks(rows.selectExpr("id", "repeat(concat(id, ' '), 600) as text"), text="text")
+    assert chunks.filter("text like concat(id, ' %')").count() == chunks.count() == 3000
+    pages = html.parse_judgments(rows.selectExpr("id as page_id", "concat('<h1>', id, '</h1><body>x</body>') as html"))
+    assert pages.filter("title = page_id").count() == 1500
