@@ -71,6 +71,7 @@ def held(kind: str, key: object, make: Callable[[], object]):
     """What a worker keeps between its tasks: one thing at a time, so that operators that follow each other in a worker don't add up."""
     if (kind, key) not in _held:
         _held.clear()
+        pa.default_memory_pool().release_unused()
         _held[kind, key] = make()
     return _held[kind, key]
 
