@@ -397,3 +397,20 @@ def test_encoders_chunks_and_pages_are_worked_on_a_few_at_a_time(spark):
     assert chunks.filter("text like concat(id, ' %')").count() == chunks.count() == 3000
     pages = html.parse_judgments(rows.selectExpr("id as page_id", "concat('<h1>', id, '</h1><body>x</body>') as html"))
     assert pages.filter("title = page_id").count() == 1500
+
+
+def test_profile_searches_only_texts_that_can_match(spark):
+    """A search of a whole text runs where a word of its pattern stands, and once; texts beyond ASCII are always searched, since case folds further there."""
+    from caseloom import rules
+
+    cases = spark.createDataFrame([(1, "x ſection 5 IPC and the Carriage Act, 1950. Writ petition.  "), (2, "Section 5 IPC and the Carriage ACT, 1950. K writ petition"), (3, "nothing")], "case_id long, case_text string")
+    got = {r["case_id"]: r for r in extract.extract_profiles(cases).collect()}
+    assert got[1]["ipc_sections"] == ["ſection 5 IPC"] and got[2]["ipc_sections"] == ["Section 5 IPC"] and got[3]["ipc_sections"] == []
+    assert [got[i]["case_type"] for i in (1, 2, 3)] == ["constitutional", "constitutional", "other"]
+    plan = extract.extract_profiles(cases)._jdf.queryExecution().optimizedPlan().toString()
+    # By flags of ASCII and of other texts, each side of the parties once.
+    assert plan.count(f"regexp_extract(_text") <= 2 * 6
+    plain = "theft of goods. " * 3
+    for pattern, words in rules.NEEDS.items():
+        assert not any(w in "zzz 123" for w in words) and all(w == w.lower() for w in words), pattern
+    assert [r[0] for r in spark.createDataFrame([(plain,)], "t string").select(extract.case_type(F.col("t"))).collect()] == ["criminal"]
