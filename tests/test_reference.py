@@ -414,3 +414,17 @@ def test_profile_searches_only_texts_that_can_match(spark):
     for pattern, words in rules.NEEDS.items():
         assert not any(w in "zzz 123" for w in words) and all(w == w.lower() for w in words), pattern
     assert [r[0] for r in spark.createDataFrame([(plain,)], "t string").select(extract.case_type(F.col("t"))).collect()] == ["criminal"]
+
+
+def test_texts_of_profiles_do_not_move_for_precedents(spark, sf_dir):
+    """Nodes and edges of a case need no exchange; what meets the precedents are keys and ids of issues."""
+    profiles = spark.createDataFrame([(1, "P", "R", ["Whether clause 1 holds"], ["Section 5 IPC"], ["Act 1"], "High Court", "civil", ["Fact 1"], "Costs")], "case_id long, petitioner string, respondent string, legal_issues array<string>, ipc_sections array<string>, acts_referenced array<string>, court_level string, case_type string, key_facts array<string>, relief_sought string")
+    cited = spark.createDataFrame([(1, r, str(r), "T", "C", "D", 0.5) for r in (1, 2, 3, 4)], "case_id long, rank int, doc_id string, title string, court string, date string, similarity_score double")
+    for table, rows in ((graph.nodes(profiles, cited), 9), (graph.built_edges(profiles, cited), 12)):
+        plan = table._jdf.queryExecution().optimizedPlan().toString()
+        below = [part for part in plan.split("Join")[1:]]
+        assert below and not any("key_facts" in line and "transform" in line for part in below for line in part.splitlines() if "Generate" in line or "_facts" in line)
+        assert table.count() == rows
+    assert sorted(r["ordinal"] for r in graph.built_edges(profiles, cited).collect()) == list(range(12))
+    # A blank line inside a name stays; underscores at the end alone go.
+    assert spark.createDataFrame([("a_\n b/ _",)], "t string").select(slug("x", F.col("t"))).first()[0] == "x:a_\n_b"
