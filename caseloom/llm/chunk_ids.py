@@ -15,7 +15,7 @@ from .common import held
 from .tokencount import specials, tokenizer
 
 #: Runs and bytes that one generation of the cache holds; two are kept.
-RUNS, BYTES = 120_000, 4_000_000
+RUNS, BYTES = 300_000, 6_000_000
 #: Runs in one string for the library; short strings cost it less a run than long ones.
 TOGETHER = 64
 #: The first bytes of U+0300 to U+037F in UTF-8.
