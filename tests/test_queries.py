@@ -55,3 +55,14 @@ def test_stream_equals_batch(spark, sf_dir, tmp_path):
     stream.run_available(profiles, lambda df, _: df.write.mode("append").parquet(out), str(tmp_path / "checkpoint"))
     want = Counter(map(str, extract_profiles(cases).select("case_id", "court_level", "key_facts").collect()))
     assert Counter(map(str, spark.read.parquet(out).select("case_id", "court_level", "key_facts").collect())) == want
+
+
+@pytest.mark.parametrize("name", ["htm_01_clean_text", "htm_02_03_search_rows"])
+def test_cut_references_as_in_sql(spark, tmp_path, name):
+    cut = ("a &quot", "a &amp", "a &am", "a &quo", "a &copy", "a &", "R&ampD &quotx; &nosuch; &middotx", "&amp;quot &amp;lt; &quot;b&quot;")
+    pages = [(i, f"<html><head><title>{t}</title></head><body><a href='/x?a=1&copy=2'>l</a><article><h1>{t}</h1><p>{t}</p></article></body></html>") for i, t in enumerate(cut)]
+    spark.createDataFrame(pages, "page_id long, html string").coalesce(1).write.parquet(str(tmp_path / "made"))
+    sf_dir = tmp_path / "in"
+    sf_dir.mkdir()
+    (sf_dir / "pages.parquet").write_bytes(next((tmp_path / "made").glob("*.parquet")).read_bytes())
+    compare(spark, str(sf_dir), queries.QUERIES[name], queries.ORACLE_SQL[name])
