@@ -57,7 +57,7 @@ def test_stream_equals_batch(spark, sf_dir, tmp_path):
     assert Counter(map(str, spark.read.parquet(out).select("case_id", "court_level", "key_facts").collect())) == want
 
 
-@pytest.mark.parametrize("name", ["htm_01_clean_text", "htm_02_03_search_rows"])
+@pytest.mark.parametrize("name", ["htm_01_clean_text", "htm_02_03_search_rows", "htm_04_judgment_pages"])
 def test_cut_references_as_in_sql(spark, tmp_path, name):
     cut = ("a &quot", "a &amp", "a &am", "a &quo", "a &copy", "a &", "R&ampD &quotx; &nosuch; &middotx", "&amp;quot &amp;lt; &quot;b&quot;")
     pages = [(i, f"<html><head><title>{t}</title></head><body><a href='/x?a=1&copy=2'>l</a><article><h1>{t}</h1><p>{t}</p></article></body></html>") for i, t in enumerate(cut)]
