@@ -57,8 +57,8 @@ def nearest(
 ) -> DataFrame:
     """VEC-6: (query_id, rank, vec_id, distance, similarity) of the k least squared distances; ties by vec_id.
 
-    While ``max_broadcast_mb`` holds the queries they are sent round, and each task of the index keeps k candidates per query, by matrix
-    products over blocks. Beyond that the index is dealt into cells around ``pivots``, of which each query meets only those that the
+    While ``max_broadcast_mb`` holds the queries, or their places that are not zero, they are sent round, and each task of the index keeps k
+    candidates per query, by matrix products over blocks. Beyond that the index is dealt into cells around ``pivots``, of which each query meets only those that the
     triangle inequality leaves (``operators.pivots``), and nothing passes the driver. Either way the result is exact in double precision.
 
     Defined results: a vector that is null or empty, or that has a null, NaN or infinite element, has no neighbours and is no neighbour.
@@ -82,12 +82,69 @@ def _sound(df: DataFrame, key: str, vector: str) -> DataFrame:
 
 def _nearest(queries: DataFrame, index: DataFrame, k: int, dimension: int, block: int, max_broadcast_mb: int, pivots: int) -> DataFrame:
     """Candidates (query_id, vec_id, distance) of sound vectors (id, v) of one dimension."""
-    if queries.count() * dimension * 4 > max_broadcast_mb << 20:
+    seen = queries.agg(F.count("*").alias("n"), F.sum(F.size(F.filter("v", lambda x: x != 0))).alias("places")).first()
+    if seen["n"] * dimension * 4 <= max_broadcast_mb << 20:
+        rows = queries.toPandas()
+        sent = rows["id"].to_numpy(), _matrix(rows["v"])
+    elif seen["n"] * 16 + seen["places"] * 8 <= max_broadcast_mb << 20:
+        sent = _collected(queries, dimension)
+    else:
         # A query goes once to each cell it meets, so cells are not smaller than a unit of work.
         return PivotIndex(index, pivots=min(pivots, -(-index.count() // (8 * block))), block=block).search(queries, k, _least)
-    rows = queries.toPandas()
-    sent = queries.sparkSession.sparkContext.broadcast((rows["id"].to_numpy(), _matrix(rows["v"])))
-    return _spread(index).mapInPandas(_candidates(sent, k, block), "query_id long, vec_id long, distance double")
+    shared = queries.sparkSession.sparkContext.broadcast(sent)
+    return _spread(index).mapInPandas(_candidates(shared, k, block), "query_id long, vec_id long, distance double")
+
+
+class _Sparse:
+    """Vectors by their places that are not zero; rows taken from them are dense."""
+
+    def __init__(self, ends: np.ndarray, places: np.ndarray, values: np.ndarray, dimension: int):
+        self.ends, self.places, self.values, self.shape = ends, places, values, (len(ends) - 1, dimension)
+
+    def __len__(self) -> int:
+        return self.shape[0]
+
+    def _flat(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The number among rows, and the spot in places and values, of each place of rows."""
+        begin, n = self.ends[rows], self.ends[rows + 1] - self.ends[rows]
+        return np.repeat(np.arange(len(rows)), n), np.arange(n.sum()) + np.repeat(begin - (np.cumsum(n) - n), n)
+
+    def __getitem__(self, rows: slice | np.ndarray) -> np.ndarray:
+        rows = np.arange(len(self))[rows]
+        out = np.zeros((len(rows), self.shape[1]), np.float32)
+        at, spot = self._flat(rows)
+        out[at, self.places[spot]] = self.values[spot]
+        return out
+
+    def taken(self, rows: np.ndarray) -> _Sparse:
+        at, spot = self._flat(rows)
+        return _Sparse(np.concatenate([[0], np.cumsum(np.bincount(at, minlength=len(rows)))]), self.places[spot], self.values[spot], self.shape[1])
+
+    def alike(self) -> np.ndarray:
+        """Row numbers such that rows with the same of the usual places stand together."""
+        usual = np.flatnonzero(np.bincount(self.places, minlength=self.shape[1]) > len(self) / 50)
+        has = np.zeros((len(self), len(usual)), bool)
+        for i in range(0, len(self), 4096):
+            has[i : i + 4096] = self[i : i + 4096][:, usual] != 0
+        bits = np.packbits(has, axis=1)
+        return np.lexsort(bits.T) if bits.shape[1] else np.arange(len(self))
+
+
+def _collected(queries: DataFrame, dimension: int) -> tuple[np.ndarray, _Sparse]:
+    """Ids and vectors of queries (id, v) at the driver, of which only places that are not zero pass to it."""
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            v = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(batch.num_rows, dimension)
+            held = [np.flatnonzero(x).astype(np.int32) for x in v]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([c.tobytes() for c in held], pa.binary()), pa.array([x[c].tobytes() for x, c in zip(v, held, strict=True)], pa.binary())], ["id", "places", "vals"])
+
+    rows = queries.select("id", "v").mapInArrow(packed, "id long, places binary, vals binary").toArrow()
+    places, values = (np.frombuffer(b"".join(rows[c].to_pylist()), t) for c, t in (("places", np.int32), ("vals", np.float32)))
+    ends = np.concatenate([[0], np.cumsum([len(p) // 4 for p in rows["places"].to_pylist()], dtype=np.int64)])
+    all_of = _Sparse(ends.astype(np.int64), places, values, dimension)
+    order = all_of.alike()
+    return rows["id"].to_numpy()[order], all_of.taken(order)
 
 
 def _spread(rows: DataFrame) -> DataFrame:
@@ -128,39 +185,60 @@ def _first_copies(ids: np.ndarray, x: np.ndarray, k: int) -> np.ndarray:
     return np.array(kept, np.int64)
 
 
-def _least(ids: np.ndarray, q: np.ndarray, frames: Iterator[pd.DataFrame], k: int, block: int, limit: np.ndarray | None = None) -> pd.DataFrame:
+def _products(q: np.ndarray, xt: np.ndarray) -> np.ndarray:
+    """q @ xt: by the places that many rows of q have, and row by row at the others, where those are few."""
+    there = q != 0
+    often = there.mean(axis=0) > 0.25
+    rest = there & ~often
+    if rest.sum() * 24 + often.sum() * len(q) > q.size:
+        return q @ xt
+    out = q[:, often] @ xt[often]
+    for i, c in zip(*np.nonzero(rest), strict=True):
+        out[i] += q[i, c] * xt[c]
+    return out
+
+
+def _least(ids: np.ndarray, q: np.ndarray | _Sparse, frames: Iterator[pd.DataFrame], k: int, block: int, limit: np.ndarray | None = None) -> pd.DataFrame:
     """(query_id, vec_id, distance): for each query the k least of all rows by (exact distance, id), or those of them that are within its limit.
 
     A row is left out only if its approximate distance less its rounding bound lies above k others' approximate distances plus theirs,
     or above the k-th exact distance so far.
     """
-    q2 = (q.astype(np.float64) ** 2).sum(axis=1)
+    q2 = np.concatenate([np.zeros(0), *((q[i : i + block].astype(np.float64) ** 2).sum(axis=1) for i in range(0, len(q), block))])
     held = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))  # number of the query, id, distance
     limit = np.full(len(q), np.inf) if limit is None else limit.copy()
     for frame in frames if len(q) else ():
-        for at in range(0, len(frame), block):
-            rows = frame.iloc[at : at + block]
+        for at in range(0, len(frame), 8 * block):
+            rows = frame.iloc[at : at + 8 * block]
             vid, x = rows.iloc[:, 0].to_numpy(), _matrix(rows.iloc[:, 1])
             some = _first_copies(vid, x, k)
             vid, x = vid[some], x[some]
             x2 = (x.astype(np.float64) ** 2).sum(axis=1)
+            xt, half, most2 = np.ascontiguousarray(x.T), (x2 / 2).astype(np.float32) if x2.max() < 1e37 else None, x2.max()
             d = x.shape[1] + 8
+            u = d * 2.0**-24
             new = [held]
             for i in range(0, len(q), block):
-                part = slice(i, i + block)
-                with np.errstate(over="ignore", invalid="ignore"):
-                    scale = q2[part, None] + x2[None, :]
-                    near = scale - 2 * (q[part] @ x.T).astype(np.float64)
-                    # Any order of summation: |fl(q.x) - q.x| <= g |q| |x| with g = d u / (1 - d u), u = 2**-24; then the steps in double.
-                    u = d * 2.0**-24
-                    bound = 2 * u / (1 - u) * np.sqrt(q2[part, None] * x2[None, :]) + 8 * d * 2.0**-53 * scale + d * 2.0**-147
-                    low, high = near - bound, near + bound
-                low[~np.isfinite(low)], high[~np.isfinite(high)] = -np.inf, np.inf
-                most = limit[part]
-                if len(vid) > k:
-                    most = np.minimum(most, np.partition(high, k - 1, axis=1)[:, k - 1])
-                qi, xi = np.nonzero(low <= most[:, None])
-                new.append((qi + i, vid[xi], _exact(q, x, qi + i, xi)))
+                part, rows2 = q[i : i + block], q2[i : i + block]
+                most = limit[i : i + block]
+                if half is None or rows2.max() >= 1e37:  # sums beyond what a float holds: all are measured
+                    qi, xi = (c.ravel() for c in np.indices((len(part), len(vid))))
+                    all_of = _exact(part, x, qi, xi).reshape(len(part), -1)
+                    qi, xi = np.nonzero(all_of <= np.partition(all_of, min(k, len(vid)) - 1, axis=1)[:, min(k, len(vid)) - 1, None])
+                else:
+                    # near is q.x - x.x / 2, so that a distance is q.q less twice of it. Any order of summation: |fl(q.x) - q.x| <= g |q| |x| with
+                    # g = d u / (1 - d u), u = 2**-24, of which d has room for the steps after it.
+                    near = _products(part, xt)
+                    near -= half
+                    bound = u / (1 - u) * (np.sqrt(rows2 * most2) + most2) + 8 * d * 2.0**-53 * (rows2 + most2) + d * 2.0**-147
+                    if len(vid) > k and not np.isfinite(most).all():
+                        kth = np.partition(near, len(vid) - k, axis=1)[:, len(vid) - k]
+                        most = np.minimum(most, rows2 - 2 * (kth - bound))
+                    floor = (rows2 - most) / 2 - bound
+                    with np.errstate(over="ignore"):
+                        floor = np.nextafter(floor.astype(np.float32), np.float32(-np.inf))
+                    qi, xi = np.divmod(np.flatnonzero(near >= floor[:, None]), len(vid))
+                new.append((qi + i, vid[xi], _exact(part, x, qi, xi)))
             qi, found, distance = (np.concatenate(c) for c in zip(*new, strict=True))
             order = np.lexsort((found, distance, qi))
             qi, found, distance = qi[order], found[order], distance[order]

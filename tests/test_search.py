@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from caseloom.operators import keyword, pivots, vector
@@ -207,3 +208,28 @@ def test_failing_keyword_search_is_left_out(spark):
         return questions.selectExpr("query_id", "explode(array(struct(0 as ordinal, '30' as doc_id, 502 as status), struct(1 as ordinal, '31' as doc_id, 200 as status))) as r").select("query_id", "r.*")
 
     assert [r["doc_id"] for r in pipelines.search(asked, _toy_index(spark), 3, keyword=partly, encoder=_toy).orderBy("rank").collect()] == ["10", "12", "31"]
+
+
+def test_sparse_queries_are_sent_by_their_places(spark, monkeypatch):
+    """More queries than the bound holds as dense vectors, few of whose places are not zero: no query is copied to cells."""
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.integers(-2, 3, 1024).astype(float).tolist()) for i in range(60)] + [(60, [0.0] * 1024), (61, [1e25] * 1024)]
+    asked = []
+    for i in range(300):
+        v = np.zeros(1024)
+        v[:9], v[rng.integers(9, 1024, i % 3)] = i % 5, 1.0
+        asked.append((i, v.tolist()))
+    monkeypatch.setattr(vector, "PivotIndex", None)
+    got = vector.nearest(_vectors(spark, asked, "query_id").repartition(3), _vectors(spark, rows).repartition(2), 4, max_broadcast_mb=1, block=8).collect()
+    assert {(r["query_id"], r["rank"], r["vec_id"]) for r in got} == _plain_nearest(rows, asked, 4)
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e-30, 3e18, 1e30])
+def test_least_rows_of_any_size(scale):
+    rng = np.random.default_rng(6)
+    x, q = (rng.integers(-3, 4, (n, 12)).astype(np.float32) * np.float32(scale) for n in (90, 25))
+    q[:, 4:] *= rng.random((25, 8)) < 0.1
+    got = vector._least(np.arange(25), q, iter([pd.DataFrame({"id": np.arange(90)[i : i + 30], "v": list(x[i : i + 30])}) for i in (0, 30, 60)]), 5, 8)
+    d = ((q[:, None].astype(np.float64) - x[None]) ** 2).cumsum(axis=2)[:, :, -1]
+    want = {(i, int(j)) for i in range(25) for j in np.lexsort((np.arange(90), d[i]))[:5]}
+    assert set(zip(got["query_id"], got["vec_id"], strict=True)) == want
